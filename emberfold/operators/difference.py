@@ -114,22 +114,23 @@ def _power(base: list[int], e: int, mod: list[int]) -> list[int]:
 
 def _roots(f: list[int], rng: random.Random) -> list[int] | None:
     """All roots of a monic ``f``; None unless it has as many different ones as its degree."""
-    if len(f) <= 1:
-        return []
-    x = [0, 1]
-    if len(f) > 2 and _sub(_power(x, P, f), x):
-        return None
     todo, out = [f], []
     while todo:
         f = todo.pop()
-        if len(f) == 2:
-            out.append(-f[0] * pow(f[1], -1, P) % P)
+        if len(f) <= 2:
+            out += [-f[0] * pow(f[1], -1, P) % P] if len(f) == 2 else []
+            continue
+        a = rng.randrange(P)
+        if not _at(f, -a % P):
+            linear = [a, 1]
+            todo += [linear, _divmod(f, linear)[0]]
             continue
-        part: list[int] = []
-        while not 1 < len(part) < len(f):
-            shifted = _power([rng.randrange(P), 1], (P - 1) // 2, f)
-            part = _gcd(f, _sub(shifted, [1])) if _sub(shifted, [1]) else []
-        todo += [part, _divmod(f, part)[0]]
+        # at a root, (x + a)^((p - 1) / 2) is 1 or -1; a factor that isn't linear, or stands twice, divides neither part
+        power = _power([a, 1], (P - 1) // 2, f)
+        one, other = (_gcd(f, _sub(power, [x])) for x in (1, P - 1))
+        if len(one) + len(other) - 2 < len(f) - 1:
+            return None
+        todo += [one, other]
     return out
 
 
@@ -263,12 +264,14 @@ def table_difference(
     sides = [_elements(x, key, fields, buckets) for x in (base, copy)]
     distinct = [materialize(x.select("__bucket", "__h").distinct()) for x in sides]
     found, open_, bound = [], None, first_bound
+    tasks = max(base.sparkSession.sparkContext.defaultParallelism, buckets // 1000)
     while open_ is None or not open_.isEmpty():
         own = distinct if open_ is None else [x.join(open_, "__bucket", "left_semi") for x in distinct]
         a, b = (_sketch(x, bound + CHECKS).select("__bucket", F.col("n").alias(f"n_{s}"), F.col("values").alias(s)) for x, s in zip(own, "ab", strict=True))
         # sides whose values all agree hold the same rows
         pairs = a.join(b, "__bucket", "full_outer").where(~F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("a") == F.col("b")), F.lit(False)))
-        result = materialize(_solve(pairs, bound))
+        # sketches are small and dear to solve: their number, not their size, sets the tasks
+        result = materialize(_solve(pairs.repartition(tasks, "__bucket"), bound))
         found.append(result.where("solved").select("__bucket", "__h"))
         open_ = result.where("not solved").select("__bucket").distinct()
         bound *= 2
