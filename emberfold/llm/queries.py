@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .heavy_hitters import exact_figures, frequent_items
 from ..storage import materialize
+from .leakage import leaked_items
 
 HITS = {"key": "hit_id", "item": "name", "weight": "self_weight", "share": 0.004, "epsilon": 0.0004}
 
@@ -24,7 +25,15 @@ def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
     return frequent_items(table(spark, d, "frame_hits"), **HITS)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_intervals)}
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where("run_words >= 12").select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p7_found, p7_leaks)}
 
 ORACLES = {
     "p4_found": """
