@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .heavy_hitters import exact_figures, frequent_items
 from ..storage import materialize
+from .language import languages
 from .leakage import leaked_items
+from .packing import pack, token_counts
 
 HITS = {"key": "hit_id", "item": "name", "weight": "self_weight", "share": 0.004, "epsilon": 0.0004}
 
@@ -33,7 +35,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("run_words >= 12").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p7_found, p7_leaks)}
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    sized = materialize(token_counts(table(spark, d, "documents")))
+    return pack(sized).withColumnRenamed("id", "doc_id")
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    wrong = (F.col("para_no") >= 0) | ~F.col("lang").eqNullSafe(F.col("label"))
+    return p8_languages(spark, d).where(wrong & F.col("lang").isNotNull()).select("doc_id", "para_no", "lang").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p6_pack, p7_found, p7_leaks, p8_found, p8_languages)}
 
 ORACLES = {
     "p4_found": """
