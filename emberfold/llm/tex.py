@@ -66,9 +66,11 @@ def bare(text: str | None) -> bytes:
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
 _PIECE = 1 << 18
+#: The most bytes or characters whose hashes come from one running sum.
+MOST_TOGETHER = 4 * _PIECE
 _ODD = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(4 * _PIECE, _ODD, np.uint64))), dtype=np.uint64)
-_INVERSE = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(4 * _PIECE, pow(_ODD, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+POWERS = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(MOST_TOGETHER, _ODD, np.uint64))), dtype=np.uint64)
+INVERSE = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(MOST_TOGETHER, pow(_ODD, -1, 1 << 64), np.uint64))), dtype=np.uint64)
 _VALUES = np.where(_IN_WORD, (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) >> np.uint64(17)), np.uint64(0))
 
 
@@ -86,12 +88,12 @@ def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     while lo < len(start):  # pieces keep the running sums short, however long a text is
         hi = max(lo + 1, int(np.searchsorted(end, start[lo] + _PIECE, "right")))
         a, b = int(start[lo]), int(end[hi - 1])
-        if b - a > 4 * _PIECE:  # one word longer than a piece
+        if b - a > MOST_TOGETHER:  # one word longer than a piece
             hashes[lo] = np.uint64(hash_bytes(whole[a:b].tobytes()))
         else:
             sums = np.zeros(b - a + 1, dtype=np.uint64)
-            np.cumsum(_VALUES[whole[a:b]] * _POWERS[: b - a], out=sums[1:])
-            hashes[lo:hi] = (sums[end[lo:hi] - a] - sums[start[lo:hi] - a]) * _INVERSE[start[lo:hi] - a]
+            np.cumsum(_VALUES[whole[a:b]] * POWERS[: b - a], out=sums[1:])
+            hashes[lo:hi] = (sums[end[lo:hi] - a] - sums[start[lo:hi] - a]) * INVERSE[start[lo:hi] - a]
         lo = hi
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     place = np.searchsorted(np.cumsum(size), start, "right")
