@@ -11,10 +11,22 @@ from ..storage import materialize
 from .language import languages
 from .leakage import leaked_items
 from .packing import pack, token_counts
+from .subsequences import distinct_stacks, frequent_subsequences
 
 HITS = {"key": "hit_id", "item": "name", "weight": "self_weight", "share": 0.004, "epsilon": 0.0004}
 
 
+def p1_patterns(spark: SparkSession, d: str) -> DataFrame:
+    stacks = distinct_stacks(table(spark, d, "stack_records"))
+    return frequent_subsequences(stacks, count_share=(3, 100), weight_share=(6, 100)).withColumn("steps", F.array_join("steps", ";"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    by_stacks = F.when(F.col("support") * 100 >= F.col("all_support") * 3, F.lit("stacks"))
+    by_weight = F.when((F.col("weight") * 100 >= F.col("all_weight") * 6) & (F.col("weight") > 0), F.lit("weight"))
+    return p1_patterns(spark, d).select("steps", F.explode(F.array_compact(F.array(by_stacks, by_weight))).alias("basis"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "frame_hits")
     candidates = materialize(frequent_items(hits, **HITS))
@@ -49,7 +61,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_languages(spark, d).where(wrong & F.col("lang").isNotNull()).select("doc_id", "para_no", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_intervals, p6_pack, p7_found, p7_leaks, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p4_found, p4_intervals, p6_pack, p7_found, p7_leaks, p8_found, p8_languages)}
 
 ORACLES = {
     "p4_found": """
