@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """Computes ``df`` once into the shared folder; survives the loss of executors and cuts its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once an application, through the shared folder; where that is no mounted folder, ``--py-files`` or PYTHONPATH must do it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    folder = shared_dir(spark).removeprefix("file:")
+    if "://" in folder:
+        return
+    folder = Path("/" + folder.lstrip("/"))
+    folder.mkdir(parents=True, exist_ok=True)
+    package, target = Path(__file__).parent, folder / "emberfold.zip"
+    with zipfile.ZipFile(own := f"{target}.{os.getpid()}", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    os.replace(own, target)
+    sc.addPyFile(str(target))
