@@ -1,0 +1,348 @@
+"""The operators of the subpackage against plain restatements on small tables, with nulls, ties, repeated, empty and very long ones."""
+
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from emberfold.llm.heavy_hitters import LossyCounter, exact_figures, frequent_items
+from emberfold.llm.language import Model, Scorer, fit, languages
+from emberfold.llm.leakage import Index, fingerprints, leaked_items, shingle_hashes, weights_of, word_ids
+from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, token_counts
+from emberfold.llm.subsequences import distinct_stacks, frequent_subsequences, parts_by_pivot, shortened
+from emberfold.llm.tex import bare, word_table
+
+# Frequent subsequences
+
+
+def subsequences(s, longest):
+    return {c for n in range(1, longest + 1) for c in itertools.combinations(s, n)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=12), st.integers(1, 4))
+def test_shortening_keeps_all_short_subsequences(seq, longest):
+    assert subsequences(seq, longest) == subsequences(shortened(seq, longest), longest)
+    for pivot, part in parts_by_pivot(seq, longest):
+        assert {s for s in subsequences(seq, longest) if max(s) == pivot} == {s for s in subsequences(part, longest) if max(s) == pivot}
+
+
+@pytest.mark.parametrize("block_rows", [3, 4000])
+def test_frequent_subsequences(spark, block_rows):
+    rng = random.Random(block_rows)
+    seqs = [([rng.choice("aaabcdé ") for _ in range(rng.randrange(0, 9))], rng.choice([None, 0, 1, 5, 40])) for _ in range(150)] + [(None, 9), (["a", None, "b", "a"], 3), ([None], 1)] + [(["a", "b"] * 200, 1)]
+    df = spark.createDataFrame([(f, w, "x") for f, w in seqs], "frames array<string>, weight bigint, item string")
+    got = {(tuple(r["steps"]), r["support"], r["weight"]) for r in frequent_subsequences(df, count_share=(6, 100), weight_share=(7, 100), block_rows=block_rows).collect()}
+    n, w = Counter(), Counter()
+    held = [(f, x or 0) for f, x in seqs if f is not None]
+    for f, x in held:
+        f = [y for y in f if y is not None]
+        for s in subsequences(f if len(f) < 30 else f[:8], 4):  # eight of two alternating items hold all patterns of four
+            if len(s) >= 3:
+                n[s] += 1
+                w[s] += x
+    total = sum(x for _, x in held)
+    assert got == {(s, n[s], w[s]) for s in n if n[s] * 100 >= 6 * len(held) or w[s] * 100 >= 7 * total} and got
+    assert frequent_subsequences(df.limit(0), count_share=(1, 10), weight_share=(1, 10)).count() == 0
+
+
+def test_stacks_are_distinct(spark):
+    rows = [(1, 1, ["a"], 2), (1, 1, ["a"], 2), (1, 2, ["a"], 3), (1, 3, ["a"], None), (1, 4, None, 7), (2, 1, ["a"], None)]
+    df = spark.createDataFrame(rows, "profile_id bigint, stack_id bigint, frames array<string>, weight bigint")
+    assert {(r[0], tuple(r[1]), r[2]) for r in distinct_stacks(df).collect()} == {(1, ("a",), 5), (2, ("a",), 0)}
+
+
+# Most frequent items
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 9)), max_size=400), st.sampled_from([0.02, 0.1, 0.3]))
+def test_lossy_bounds(rows, epsilon):
+    c, true = LossyCounter(epsilon), Counter()
+    for lo in range(0, len(rows), 7):
+        part = Counter()
+        for x, n in rows[lo : lo + 7]:
+            part[x] += n
+        c.add(list(part), list(part.values()), sum(part.values()))
+        true.update(part)
+    for x, n in true.items():
+        low, delta = c.entries.get(x, [0, c.bound])
+        assert low <= n <= low + delta and delta <= epsilon * c.mass
+
+
+def test_frequent_items(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "hot", f"x{rng.randrange(40)}", f"r{i}"]), rng.choice([None, 0, 1, 3])) for i in range(6000)]
+    rows += rows[::50] + [(9000, "heavy", 900), (None, "hot", 1), (None, "hot", 1)]
+    df = spark.createDataFrame([(*r, "y") for r in rows], "hit_id bigint, name string, self_weight bigint, item string").repartition(5)
+    args = {"key": "hit_id", "item": "name", "weight": "self_weight", "share": 0.004, "epsilon": 0.0004}
+    found = frequent_items(df, **args)
+    n, w = Counter(), Counter()
+    for k, x, y in {r for r in rows if r[0] is not None} | {(-i, *r[1:]) for i, r in enumerate(rows, 1) if r[0] is None}:
+        n[x] += 1
+        w[x] += y or 0
+    want = {("rows", x) for x in n if x and n[x] >= 0.004 * n.total()} | {("weight", x) for x in w if x and w[x] >= 0.004 * w.total()}
+    got = {(r["basis"], r["item"]): r for r in found.collect()}
+    assert want <= set(got) and ("weight", "heavy") in got
+    for (basis, x), r in got.items():
+        true = (n if basis == "rows" else w)
+        assert r["low"] <= true[x] <= r["high"] and r["mass"] == true.total() and r["high"] - r["low"] <= 0.0004 * r["mass"] + 1
+    for r in exact_figures(df, found, **args).collect():
+        assert (r["rows"], r["weight"]) == (n[r["item"]], w[r["item"]])
+    assert frequent_items(df.limit(0), **args).count() == 0
+
+
+# Containers
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 25), max_size=12))
+def test_plan_is_best_fit(sizes):
+    capacity, used, seen = 30, Counter(), Counter()
+    for length, rank, number, first in plan(sizes, capacity):
+        assert rank == seen[length]
+        seen[length] += number
+        for k in range(number):
+            used[first + k] += length
+    room = []
+    for x in sorted((x for x, n in sizes.items() for _ in range(n)), reverse=True):
+        fits = [i for i, r in enumerate(room) if r >= x]
+        if fits:
+            room[min(fits, key=lambda i: room[i])] -= x
+        else:
+            room.append(capacity - x)
+    assert seen == Counter(sizes) and sorted(used) == list(range(len(room))) and sorted(used.values()) == sorted(capacity - r for r in room)
+
+
+def test_pack(spark):
+    sizes = [0, None, 1, 10, 10, 10, 4096, 4097, 9000, 8192, 4000, 95, 96, 97, *[300] * 60]
+    df = spark.createDataFrame([(i, n, 1) for i, n in enumerate(sizes)] + [(5, 10, 1)], "id bigint, tokens bigint, size int")
+    rows = pack(df, capacity=4096, spread=3).collect()
+    held = defaultdict(list)
+    for r in rows:
+        held[r["container"]].append(r)
+    assert all(sum(r["size"] for r in x) <= 4096 for x in held.values())
+    for i, n in enumerate(sizes):
+        own = sorted((r["first_token"], r["size"]) for r in rows if r["id"] == i)
+        if i != 5:
+            assert len(own) == max(1, -(-(n or 0) // 4096)) and sum(s for _, s in own) == (n or 0) and all(a == 4096 * k for k, (a, _) in enumerate(own))
+    assert sum(r["id"] == 5 for r in rows) == 2
+    assert len(held) <= -(-sum(filter(None, sizes)) // 4096) + 1
+    assert pack(df.limit(0)).count() == 0
+
+
+def test_token_counts(spark):
+    count = TokenCounter(VOCABULARY)
+    rng = random.Random(1)
+    bits = ["a", "b", "'s", "'", " ", " ", "\n", "\t", "'ll", "'re", "s", "_", "1", "٣", "é", "\u0301", "ж", "\xa0", "\x85", ".", "–", "“", "ª", "\xad", "\u200b", "\x1c", "²", "𝒳", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))) for _ in range(3000)] + ["word " * 300_000, "x" * 3000, None, ""]
+    assert count(texts).tolist() == [len(count.encode(t)) if t else 0 for t in texts]
+    assert TokenCounter(VOCABULARY, SPLIT_PATTERN.replace("'ll|", ""))(["we'll"])[0] > 0
+    df = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (3, "", "x")], "doc_id bigint, text string, tokens string")
+    assert sorted(tuple(r) for r in token_counts(df).collect()) == [(1, 2), (2, 0), (3, 0)]
+
+
+# Words and leaked passages
+
+
+def read(text):
+    whole, _, start, end, _ = word_table([bare(text)])
+    return [whole[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("Gr{\\\"o}{\\ss}e na\\\"{\\i}ve \\'Elan gar\\c{c}on cr{\\'{\\i}}tico", "größe naïve élan garçon crítico"),
+        ("a \\emph{b} {\\bf c.} d~e\\ f \\cite[p. 1]{g}h", "a b c d e f h"),
+        ("% sol-\n% ution, ex-\nact", "solution exact"),
+        ("A_b «c» – D2 E\u0301", "a b c d2 é"),
+        (None, ""),
+        ("", ""),
+    ],
+)
+def test_words(text, expected):
+    assert " ".join(read(text)) == expected
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abé1") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 400))) for _ in range(60)] + ["y" * 3_000_000 + " z " + "w " * 400_000]
+    whole, hashes, start, end, place = word_table([bare(t) for t in texts])
+    seen = {}
+    for h, a, b in zip(hashes.tolist(), start.tolist(), end.tolist(), strict=True):
+        assert seen.setdefault(h, whole[a:b].tobytes()) == whole[a:b].tobytes()
+    assert len(set(seen.values())) == len(seen) and np.bincount(place, minlength=61).tolist() == [len(t.split()) for t in texts]
+
+
+def test_fingerprints_and_blocks_miss_none():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, 40)) for _ in range(30)]
+    ix = Index(list(range(30)), texts, 12, 2)
+    flips = np.uint64(1) << rng.integers(0, 64, (len(ix.prints), 2)).astype(np.uint64)
+    asked = ix.prints ^ flips[:, 0] ^ flips[:, 1]
+    a, b = ix.near(asked)
+    want = {(i, j) for i, x in enumerate(asked.tolist()) for j, y in enumerate(ix.prints.tolist()) if (x ^ y).bit_count() <= 2}
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    ids, _ = word_ids(texts[:1])
+    sh = shingle_hashes(ids)
+    w = weights_of([sh])
+    for i, p in enumerate(fingerprints(sh, w, 8).tolist()):
+        sums = [sum(int(w[int(h) >> 48]) * (int(h) >> (63 - b) & 1) for h in sh[i : i + 8]) for b in range(64)]
+        whole = sum(int(w[int(h) >> 48]) for h in sh[i : i + 8])
+        assert p == int("".join("1" if s > whole // 2 else "0" for s in sums), 2)
+
+
+def test_leaks(spark):
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(300)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(rng.choice([5, 11, 12, 13, 40, 90])) for _ in range(40)]
+    docs = []
+    for i in range(120):
+        body = say(rng.randrange(0, 200))
+        for _ in range(rng.randrange(0, 3)):
+            x = rng.choice(items)
+            a = rng.randrange(len(x))
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = x[a : a + rng.choice([11, 12, 13, 30])]
+        docs.append(" ".join(body))
+    runs = defaultdict(set)
+    for j, x in enumerate(items):
+        for a in range(len(x) - 11):
+            runs[tuple(x[a : a + 12])].add(j)
+    want = {(i, j) for i, t in enumerate(docs) for a in range(len(t.split()) - 11) for j in runs.get(tuple(t.split()[a : a + 12]), ())}
+    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(docs)] + [(0, docs[0], 0), (900, None, 0), (901, "", 0)], "doc_id bigint, text string, item_id int")
+    e = spark.createDataFrame([(j, " ".join(x).upper()) for j, x in enumerate(items)] + [(99, None)], "item_id bigint, text string")
+    for block in (300, 4_000_000):
+        rows = leaked_items(d, e, block_chars=block).collect()
+        assert len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows}) and {(r["doc_id"], r["item_id"]) for r in rows if r["run_words"] >= 12} == want and want
+    for r in rows:
+        x, t = items[r["item_id"]], docs[r["doc_id"]].split()
+        longest = max((n for a in range(len(x)) for n in range(12, len(x) - a + 1) if any(t[k : k + n] == x[a : a + n] for k in range(len(t) - n + 1))), default=0)
+        assert r["run_words"] == longest
+    assert leaked_items(d, e.limit(0)).count() == 0 == leaked_items(d.limit(0), e).count()
+
+
+# Languages
+
+
+def test_code_lengths_are_those_of_a_coder():
+    counts = {"en": Counter({b"the": 9, b"then": 2, b"a": 5}), "de": Counter({b"der": 9, b"das": 4})}
+    m = Model(counts, order=2)
+
+    def length(words, word):
+        tree = defaultdict(Counter)
+        for x, n in words.items():
+            y = b" " + x + b" "
+            for i in range(1, len(y)):
+                for k in range(min(2, i) + 1):
+                    tree[y[i - k : i]][y[i]] += n
+        y, p = b" " + word + b" ", 1.0
+        for i in range(1, len(y)):
+            for k in range(min(2, i), -1, -1):
+                seen = tree.get(y[i - k : i])
+                if seen:
+                    if y[i] in seen:
+                        p *= seen[y[i]] / (seen.total() + len(seen))
+                        break
+                    p *= len(seen) / (seen.total() + len(seen))
+            else:
+                p /= 256
+        return -np.log2(p)
+
+    for w in (b"the", b"der", b"thaz", b"q", "жы".encode()):
+        assert np.allclose(m.cost(w), [length(counts[c], w) for c in m.codes], rtol=1e-4)
+    assert Scorer(m).evidence(b"x2") == 0.0
+
+
+SAMPLES = {
+    "en": "the house stands near the river and every child knows that the water is cold in the morning when nobody has lit the fire yet",
+    "de": "das haus steht nahe am fluss und jedes kind weiß dass das wasser am morgen kalt ist wenn noch niemand das feuer gemacht hat",
+    "fr": "la maison se trouve près de la rivière et chaque enfant sait que l'eau est froide le matin quand personne n'a encore allumé le feu",
+}
+
+
+def made(code, n, rng):
+    return " ".join(rng.choice(SAMPLES[code].split()) for _ in range(n))
+
+
+def test_languages(spark):
+    rng = random.Random(5)
+    rows, want = [], set()
+    labels = {"en": ["en", "EN", "eng", "en-GB", "English"], "de": ["de", "deu", "de-AT", " German "], "fr": ["fr", "fra", "fr_CA", "French"]}
+    for i in range(150):
+        code = rng.choice(list(SAMPLES))
+        paras, other = [made(code, rng.randrange(40, 90), rng) for _ in range(4)], rng.choice([c for c in SAMPLES if c != code])
+        if i % 5 == 0:
+            k, n = rng.randrange(4), rng.choice([12, 45])
+            paras[k] = rng.choice([f"% {made(other, n, rng)}", f"{paras[k]} {made(other, n, rng)}"])
+            if n == 45:
+                want.add((i, k + 1, other))
+        label = rng.choice(labels[code])
+        if i % 7 == 0:
+            label = rng.choice([None, "", "und", "xx", "n/a", "ja", rng.choice(labels[other])])
+            want.add((i, -1, code))
+        text = "\\documentclass{article}\n\\begin{document}\n\n" + "\n\n".join(paras) + "\n\n\\begin{thebibliography}{9}" + made(other, 60, rng) + "\\end{thebibliography}"
+        rows.append((i, text, label, "c"))
+    rows += [(900, None, "en", "c"), (901, "", None, "c"), (902, "12 34 $x$", "de", "c"), (3, *rows[3][1:])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, confidence string").repartition(3)
+    out = languages(df, sample_rows=30)
+    got = out.collect()
+    found = {(r["doc_id"], r["para_no"], r["lang"]) for r in got if r["lang"] and (r["para_no"] >= 0 or r["label"] != r["lang"])}
+    assert found == want
+    assert all(0 < r["confidence"] <= 1 for r in got if r["lang"]) and {r["doc_id"] for r in got if r["lang"] is None} == {900, 901, 902}
+    assert sum(r["doc_id"] == 3 and r["para_no"] == -1 for r in got) == 2
+    unlabelled = languages(df.withColumn("lang", df.lang.substr(0, 0)))
+    assert unlabelled.where("lang is not null").count() == 0 and unlabelled.count() == len(rows)
+    assert languages(df.limit(0)).count() == 0
+    assert fit([("en", None), ("de", "12")]) is None
+
+
+def test_held_out_accuracy(spark):
+    """Models of one half of the labelled documents on the other half."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["code"], r["text"]) for r in _labelled(df).collect()]
+    m = fit(rows[::2])
+    scorer = Scorer(m)
+    right = total = 0
+    for code, text in rows[1::2]:
+        from emberfold.llm.language import body
+
+        costs = scorer.words(*word_table([body(text)])[:4])
+        if len(costs):
+            total += 1
+            right += m.codes[int(costs.sum(axis=0).argmin())] == code
+    # some labels are wrong
+    assert right / total > 0.9
+
+
+def _labelled(df):
+    from emberfold.llm.language import label_code
+
+    return df.select(label_code().alias("code"), "text").where("code is not null and text is not null")
+
+
+def test_registered_queries_against_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from emberfold.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for p in glob.glob(f"{folder}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    for name, sql in queries.ORACLES.items():
+        df, want = queries.QUERIES[name](spark, folder), c.sql(sql)
+        assert sorted(df.columns) == sorted(want.columns)
+        at = [want.columns.index(x) for x in df.columns]
+        assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+    assert re.fullmatch(r"(p\d_\w+,?)+", ",".join(queries.QUERIES))
