@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The most frame names that are sent to every task; beyond, the join is shuffled and adaptive execution splits hot names.
+MOST_NAMES_SENT = 200_000
+
 
 def stacks_per_frame(records: DataFrame, profile: str = "profile_id", frames: str = "frames") -> DataFrame:
     """``profile, name, stack_count``: the distinct non-null stacks of the profile that hold the frame, each once however often the frame recurs in it.
@@ -28,9 +31,12 @@ def counts_that_disagree(records: DataFrame, frames: DataFrame, stored: DataFram
     An absent row, an absent pair and a null count are 0. Repeated stored rows count once; if a pair is stored with several counts, it disagrees unless all are right, and the one reported is the largest that is wrong.
     Frames without an entry in ``frames`` have no id and can't be compared.
     """
+    # a frame of every profile would make its name a hot key of a shuffled join; sent to all tasks only while counted to be small
+    ids = frames.select("frame_id", "name").distinct()
+    ids = F.broadcast(ids) if frames.count() <= MOST_NAMES_SENT else ids
     actual = (
         stacks_per_frame(records.select("profile_id", "frames"))
-        .join(frames.select("frame_id", "name").distinct(), "name")
+        .join(ids, "name")
         .select(F.col("profile_id").alias("p"), F.col("frame_id").alias("f"), F.col("stack_count").alias("actual"))
     )
     held = stored.select(F.col("profile_id").alias("p"), F.col("frame_id").alias("f"), F.coalesce(F.col("stack_count").cast("bigint"), F.lit(0)).alias("held")).distinct()

@@ -60,7 +60,7 @@ def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes:
     scope = every.where("depth = 0").select(F.col("total_weight").alias("scope"))
     every = every.join(F.broadcast(scope)).withColumn("scope_percent", percent(F.col("total_weight"), F.col("scope")))
     fits = (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent)
-    inside = materialize(every.where(fits | (F.col("depth") > 0)).withColumn("fits", fits))
+    inside = materialize(every.withColumn("fits", fits))
     steps = (
         inside.where((F.col("depth") <= max_depth) & F.col("fits"))
         .select("path", F.explode(F.sequence(F.lit(0), F.col("depth").cast("int"))).alias("d"))
