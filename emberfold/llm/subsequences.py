@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, stored
 
 
 def shortened(seq: list[int], longest: int) -> list[int]:
@@ -125,7 +125,7 @@ def frequent_subsequences(
     """
     spark = sequences.sparkSession
     (cn, cd), (wn, wd) = count_share, weight_share
-    own = materialize(sequences.where(F.col(f"`{items}`").isNotNull()).select(F.col(f"`{items}`").alias("items"), F.greatest(F.coalesce(F.col(f"`{weight}`"), F.lit(0)), F.lit(0)).cast("bigint").alias("w")))
+    own = stored(sequences.where(F.col(f"`{items}`").isNotNull()).select(F.col(f"`{items}`").alias("items"), F.greatest(F.coalesce(F.col(f"`{weight}`"), F.lit(0)), F.lit(0)).cast("bigint").alias("w")))
     schema = "steps array<string>, support bigint, weight bigint, all_support bigint, all_weight bigint"
     total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
     if not total.n:
