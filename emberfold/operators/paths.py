@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import percent
+from .profile import containing, weight_of
 
 
 @dataclass(frozen=True)
@@ -67,11 +68,8 @@ def selected_paths(stacks: DataFrame, name: str, limit: int = 10, window: FrameW
 
 def paths(stacks: DataFrame, name: str, **kw) -> DataFrame:
     """The rows of :func:`selected_paths` that the budget reaches, with both percentages and what was left out on either side."""
-    total = stacks.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("total"))
-    scope = stacks.where(F.array_contains("frames", name)).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("scope"))
     rows = selected_paths(stacks, name, **kw).where("available > 0")
-    # two sides of exactly one row
-    held = rows.join(F.broadcast(total)).join(F.broadcast(scope))
+    held = rows.withColumns({"total": weight_of(stacks), "scope": weight_of(containing(stacks, name))})
     return held.select(
         "rank", "frames", "weight", percent(F.col("weight"), F.col("total")).alias("profile_percent"), percent(F.col("weight"), F.col("scope")).alias("scope_percent"), "target_positions", "display_target_positions", "total_depth",
         "requested_start", "requested_end", "frame_start", "frame_end", F.col("frame_start").alias("omitted_before"), (F.col("total_depth") - F.col("frame_end")).alias("omitted_after"),

@@ -20,6 +20,11 @@ def unique_stacks(rows: DataFrame, frames: str = "frames", weight: str = "weight
     return valid.groupBy(f.alias("frames")).agg(F.sum(w).cast("bigint").alias("weight"))
 
 
+def weight_of(stacks: DataFrame) -> Column:
+    """The summed weight, 0 without stacks, as a scalar subquery."""
+    return stacks.agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("bigint")).scalar()
+
+
 def totals(stacks: DataFrame) -> DataFrame:
     """One row: ``total_weight, unique_stack_count, max_depth``, all 0 for an empty profile."""
     return stacks.agg(
@@ -69,10 +74,8 @@ def containing(stacks: DataFrame, name: str) -> DataFrame:
 
 
 def with_scope(stats: DataFrame, stacks: DataFrame, in_scope: DataFrame) -> DataFrame:
-    """``stats`` with the one-row sums ``total`` and ``scope``; a side of exactly one row is sent to all tasks."""
-    total = stacks.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("total"))
-    scope = in_scope.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("scope"))
-    return stats.join(F.broadcast(total)).join(F.broadcast(scope))
+    """``stats`` with ``total`` and ``scope``, the weights of both sets of stacks."""
+    return stats.withColumns({"total": weight_of(stacks), "scope": weight_of(in_scope)})
 
 
 def top(stacks: DataFrame, metric: str = "self_weight", limit: int = 20, focus: str | None = None, name_regex: str | None = None) -> DataFrame:
@@ -113,12 +116,11 @@ def diff(base: DataFrame, candidate: DataFrame, metric: str = "self_weight", sor
     """``rank, name, baseline_weight, candidate_weight, baseline_percent, candidate_percent, delta_pp`` of all names of either side; percentages are of each side's own total."""
     sides = []
     for x, p in ((base, "baseline"), (candidate, "candidate")):
-        sides.append((frame_stats(x).select("name", F.col(metric).alias(f"{p}_weight")), x.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias(f"{p}_total"))))
-    joined = sides[0][0].join(sides[1][0], "name", "full_outer").na.fill(0, ["baseline_weight", "candidate_weight"])
+        sides.append(frame_stats(x).select("name", F.col(metric).alias(f"{p}_weight")))
+    joined = sides[0].join(sides[1], "name", "full_outer").na.fill(0, ["baseline_weight", "candidate_weight"])
     if name_regex is not None:
         joined = joined.where(F.col("name").rlike(name_regex))
-    # each total is exactly one row
-    held = joined.join(F.broadcast(sides[0][1])).join(F.broadcast(sides[1][1]))
+    held = joined.withColumns({"baseline_total": weight_of(base), "candidate_total": weight_of(candidate)})
     rows = held.select("name", "baseline_weight", "candidate_weight", percent(F.col("baseline_weight"), F.col("baseline_total")).alias("baseline_percent"), percent(F.col("candidate_weight"), F.col("candidate_total")).alias("candidate_percent"))
     rows = rows.withColumn("delta_pp", F.col("candidate_percent") - F.col("baseline_percent"))
     order = {"regression": F.desc("delta_pp"), "improvement": F.asc("delta_pp"), "absolute": F.desc(F.abs("delta_pp"))}[sort]

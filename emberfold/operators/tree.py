@@ -41,7 +41,7 @@ def numbered_by(rows: DataFrame, order: str, name: str) -> DataFrame:
 
 def node_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
     """``node_id, path, self_weight, total_weight`` of the whole tree: ids rank the nodes by the frame ids of their paths, the root being 0. ``ids`` is ``frame_id, name``."""
-    known = stacks.withColumn("__s", F.monotonically_increasing_id())
+    known = materialize(stacks.withColumn("__s", F.monotonically_increasing_id()))  # numbers must stay, also where a task runs again
     coded = (
         known.select("__s", "weight", F.posexplode("frames").alias("pos", "name"))
         .join(ids, "name")
@@ -57,8 +57,8 @@ def node_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
 def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes: int, min_percent: float) -> tuple[DataFrame, DataFrame]:
     """Rendered nodes and all nodes down to one level below the page, both with ``key`` and ``scope``."""
     every = nodes(stacks, root, max_depth + 1)
-    scope = every.where("depth = 0").select(F.col("total_weight").alias("scope"))
-    every = every.join(F.broadcast(scope)).withColumn("scope_percent", percent(F.col("total_weight"), F.col("scope")))
+    # the root stands for all stacks below it
+    every = every.withColumn("scope", every.where("depth = 0").select("total_weight").scalar()).withColumn("scope_percent", percent(F.col("total_weight"), F.col("scope")))
     fits = (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent)
     inside = materialize(every.withColumn("fits", fits))
     steps = (

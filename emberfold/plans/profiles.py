@@ -82,7 +82,7 @@ for _b in ("star", "events", "recorded"):
     add(
         f"summary_totals_{_b}",
         _b,
-        lambda s: P.totals(s).join(F.broadcast(P.frame_stats(s).agg(F.count(F.lit(1)).alias("frame_count"), F.coalesce(F.sum(F.when(F.col("name") == P.UNKNOWN, F.col("inclusive_weight"))), F.lit(0)).cast("bigint").alias("unknown_frame_weight")))),
+        lambda s: P.totals(s).withColumns({"frame_count": P.frame_stats(s).agg(F.count(F.lit(1))).scalar(), "unknown_frame_weight": P.weight_of(P.containing(s, P.UNKNOWN))}),
         "SELECT total AS total_weight, (SELECT count(*) FROM s) AS unique_stack_count, (SELECT coalesce(max(len(frames)), 0)::BIGINT FROM s) AS max_depth, (SELECT count(*) FROM st) AS frame_count, (SELECT coalesce(sum(inclusive_weight) FILTER (name = '[unknown]'), 0)::BIGINT FROM st) AS unknown_frame_weight FROM t",
         stats_sql("s"),
     )

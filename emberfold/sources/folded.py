@@ -63,7 +63,7 @@ def read_profile(spark: SparkSession, path: str, limits: Limits = Limits(), meta
         raise ApiError("profile_not_found", f"No profile at {path}", {"profile": path}, "Give the path of an existing file.")
     if (size := os.path.getsize(path)) > limits.file_bytes:
         raise ApiError("profile_too_large", f"The profile has {size} bytes, more than {limits.file_bytes}", {"byte_len": size, "limit": limits.file_bytes}, "Raise the limit or make a smaller profile.")
-    lines = parsed_lines(folded_lines(spark, path), limits)
+    lines = parsed_lines(folded_lines(spark, os.path.abspath(path)), limits)
     bad = lines.where("size(__errors) > 0").orderBy("at").limit(1).select(F.element_at("__errors", 1).alias("code"), F.regexp_replace(F.left(F.make_valid_utf8("value"), F.lit(200)), r"\p{Cc}", "�").alias("preview"), "at").first()
     if bad is not None:
         number = lines.where((F.col("at.block") < bad["at"]["block"]) | ((F.col("at.block") == bad["at"]["block"]) & (F.col("at.row") <= bad["at"]["row"]))).count()

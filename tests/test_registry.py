@@ -67,3 +67,18 @@ def test_engine_over_registry(spark, tmp_path):
     assert s["data"]["total_weight"] == 5 and s["data"]["registry"]["active"] == "p" and len(s["profile"]["fingerprint"]) == 64
     put(tmp_path, "q.folded", "root;A 8\n")
     assert e.summary()["scope_weight"] == 8 and e.diff("p", "q")["scope_weight"] == {"baseline": 5, "candidate": 8}
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from emberfold.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    assert main(["list"]) == 1 and "workspace_not_registered" in capsys.readouterr().err
+    (tmp_path / "good.folded").write_text("root;A 3\n")
+    (tmp_path / "bad.folded").write_text("root;A 3\nroot;;A 1\n")
+    assert main(["register", "bad.folded"]) == 1 and '"line": 2' in capsys.readouterr().err
+    assert main(["register", "good.folded"]) == main(["register", "good.folded", "--name", "again"]) == 0
+    assert main(["use", "good"]) == main(["list"]) == main(["gc", "--dry-run"]) == 0
+    assert "* good" in capsys.readouterr().out
+    assert main(["query", "paths", '{"through": {"frame_name": "A"}, "frame_window": {"mode": "head", "lines": 1}}']) == 0
+    assert json.loads(capsys.readouterr().out)["data"]["paths"][0]["frames"] == ["root"]
