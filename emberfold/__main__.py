@@ -1,4 +1,4 @@
-"""``python -m emberfold``: register, list, use, gc and query."""
+"""``python -m emberfold``: register, list, use, gc, query and serve."""
 
 from __future__ import annotations
 
@@ -35,6 +35,7 @@ def main(args: list[str] | None = None) -> int:
     c = commands.add_parser("query", help="one question, its arguments as JSON")
     c.add_argument("tool", choices=["summary", "find_symbols", "top", "tree", "callers", "callees", "paths", "diff"])
     c.add_argument("arguments", nargs="?", default="{}")
+    commands.add_parser("serve", help="answer questions as tools over standard input and output")
     a = parser.parse_args(args)
     here, most = Path.cwd(), a.max_file_size_mib * 1024 * 1024
     try:
@@ -51,6 +52,12 @@ def main(args: list[str] | None = None) -> int:
             print(f"active={registry.set_active(here, a.alias)['active']}")
         elif a.command == "gc":
             print(json.dumps(registry.gc(here, a.dry_run)))
+        elif a.command == "serve":
+            from .api import Engine
+            from .server import Server
+            from .sources.folded import Limits
+
+            Server(Engine(_spark(), here, a.cache_capacity, Limits(file_bytes=most))).serve(sys.stdin, sys.stdout)
         else:
             from .api import Engine
             from .operators.paths import FrameWindow
