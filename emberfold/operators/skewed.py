@@ -29,16 +29,15 @@ def counts_that_disagree(records: DataFrame, frames: DataFrame, stored: DataFram
     """``profile_id, frame_id, stored_count, stack_count`` of each pair whose stored count isn't the true one.
 
     An absent row, an absent pair and a null count are 0. Repeated stored rows count once; if a pair is stored with several counts, it disagrees unless all are right, and the one reported is the largest that is wrong.
-    Frames without an entry in ``frames`` have no id and can't be compared.
+    Frames without an entry in ``frames`` have no id and can't be compared. Names are told apart by 64-bit hashes.
     """
     # a frame of every profile would make its name a hot key of a shuffled join; sent to all tasks only while counted to be small
-    ids = frames.select("frame_id", "name").distinct()
+    ids = frames.select(F.xxhash64("name").alias("h"), "frame_id").distinct()
     ids = F.broadcast(ids) if frames.count() <= MOST_NAMES_SENT else ids
-    actual = (
-        stacks_per_frame(records.select("profile_id", "frames"))
-        .join(ids, "name")
-        .select(F.col("profile_id").alias("p"), F.col("frame_id").alias("f"), F.col("stack_count").alias("actual"))
-    )
+    # names are shuffled as 64-bit hashes, in stacks as well, as only known names are wanted
+    stacks = records.where("frames is not null").select("profile_id", F.transform("frames", lambda x: F.xxhash64(x)).alias("f")).distinct()
+    each = stacks.select("profile_id", F.explode(F.array_distinct("f")).alias("h")).groupBy("profile_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    actual = each.join(ids, "h").select(F.col("profile_id").alias("p"), F.col("frame_id").alias("f"), F.col("n").alias("actual"))
     held = stored.select(F.col("profile_id").alias("p"), F.col("frame_id").alias("f"), F.coalesce(F.col("stack_count").cast("bigint"), F.lit(0)).alias("held")).distinct()
     both = held.select("p", "f", "held", F.lit(0).cast("bigint").alias("actual")).unionByName(actual.select("p", "f", F.lit(None).cast("bigint").alias("held"), "actual"))
     joined = both.groupBy("p", "f").agg(F.sum("actual").alias("actual"), F.min("held").alias("low"), F.max("held").alias("high"))
