@@ -11,14 +11,13 @@ from ..storage import materialize
 from .language import languages
 from .leakage import leaked_items
 from .packing import pack, token_counts
-from .subsequences import distinct_stacks, frequent_subsequences
+from .subsequences import frequent_paths
 
 HITS = {"key": "hit_id", "item": "name", "weight": "self_weight", "share": 0.004, "epsilon": 0.0004}
 
 
 def p1_patterns(spark: SparkSession, d: str) -> DataFrame:
-    stacks = distinct_stacks(table(spark, d, "stack_records"))
-    return frequent_subsequences(stacks, count_share=(3, 100), weight_share=(6, 100)).withColumn("steps", F.array_join("steps", ";"))
+    return frequent_paths(table(spark, d, "stack_records"), count_share=(3, 100), weight_share=(6, 100)).withColumn("steps", F.array_join("steps", ";"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

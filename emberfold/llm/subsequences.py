@@ -117,7 +117,7 @@ def support(parts: list[list[int]], count: np.ndarray, weight: np.ndarray, patte
 def frequent_subsequences(
     sequences: DataFrame, *, items: str = "frames", weight: str = "weight", count_share: tuple[int, int], weight_share: tuple[int, int], shortest: int = 3, longest: int = 4, block_rows: int = 4000
 ) -> DataFrame:
-    """``steps`` (array of names), ``support``, ``weight``, ``all_support``, ``all_weight``: every pattern of ``shortest`` to ``longest`` items that reaches either share of all sequences or of their weight.
+    """``steps`` (array of items, which are strings or bigints), ``support``, ``weight``, ``all_support``, ``all_weight``: every pattern of ``shortest`` to ``longest`` items that reaches either share of all sequences or of their weight.
 
     A sequence supports a pattern once if its items occur in this order, gaps allowed; an item may recur in a pattern. Shares are fractions (numerator, denominator) and compared exactly.
     Each row is a sequence of its own; one with null ``items`` counts for nothing, null items inside it are gaps, an empty one counts in the totals only, a null or negative weight is 0. An empty table gives no rows.
@@ -125,8 +125,9 @@ def frequent_subsequences(
     """
     spark = sequences.sparkSession
     (cn, cd), (wn, wd) = count_share, weight_share
+    kind = sequences.schema[items].dataType.elementType
     own = stored(sequences.where(F.col(f"`{items}`").isNotNull()).select(F.col(f"`{items}`").alias("items"), F.greatest(F.coalesce(F.col(f"`{weight}`"), F.lit(0)), F.lit(0)).cast("bigint").alias("w")))
-    schema = "steps array<string>, support bigint, weight bigint, all_support bigint, all_weight bigint"
+    schema = f"steps array<{kind.simpleString()}>, support bigint, weight bigint, all_support bigint, all_weight bigint"
     total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
     if not total.n:
         return spark.createDataFrame([], schema)
@@ -139,7 +140,7 @@ def frequent_subsequences(
     ranks = spark.sparkContext.broadcast(names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(ranks.value, pa.string())
+        known = pa.array(ranks.value, pa.int64() if isinstance(ranks.value[0], int) else pa.string())
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
@@ -197,6 +198,25 @@ def frequent_subsequences(
     return frequent.select(spell.alias("steps"), "support", "weight", F.lit(total.n).cast("bigint").alias("all_support"), F.lit(total.w).cast("bigint").alias("all_weight"))
 
 
+def frequent_paths(records: DataFrame, **shares) -> DataFrame:
+    """:func:`frequent_subsequences` of the :func:`distinct_stacks` of ``records``, whose names are shuffled as 64-bit hashes; the few names in patterns are looked up in the end.
+
+    Should two names have the hash of a frequent item, names are used instead, so that no pattern joins them.
+    """
+    code = F.transform("frames", lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
+    coded = distinct_stacks(records.select("profile_id", "stack_id", code.alias("frames"), "weight"))
+    found = materialize(frequent_subsequences(coded, **shares))
+    # frequent items only, of which there are at most (mean length) / share
+    used = [r["h"] for r in found.select(F.explode("steps").alias("h")).distinct().collect()]
+    each = records.select(F.explode(F.array_distinct("frames")).alias("name")).where("name is not null").withColumn("h", F.xxhash64("name"))
+    names = each.where(F.col("h").isin(used)).distinct().collect() if used else []
+    if len(names) != len(used):
+        return frequent_subsequences(distinct_stacks(records), **shares)
+    pairs = [F.lit(x) for r in names for x in (r["h"], r["name"])]
+    spelled = F.transform("steps", lambda h: F.create_map(*pairs)[h]) if pairs else F.array().cast("array<string>")
+    return found.withColumn("steps", spelled)
+
+
 def distinct_stacks(records: DataFrame) -> DataFrame:
     """``profile_id, frames, weight`` of each different stack; its weight is the sum over its different ``stack_id``, a null one 0. If an id has several weights the largest holds."""
     return (

@@ -14,7 +14,7 @@ from emberfold.llm.heavy_hitters import LossyCounter, exact_figures, frequent_it
 from emberfold.llm.language import Model, Scorer, fit, languages
 from emberfold.llm.leakage import Index, fingerprints, leaked_items, shingle_hashes, weights_of, word_ids
 from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, token_counts
-from emberfold.llm.subsequences import distinct_stacks, frequent_subsequences, parts_by_pivot, shortened
+from emberfold.llm.subsequences import distinct_stacks, frequent_paths, frequent_subsequences, parts_by_pivot, shortened
 from emberfold.llm.tex import bare, word_table
 
 # Frequent subsequences
@@ -57,6 +57,18 @@ def test_stacks_are_distinct(spark):
     assert {(r[0], tuple(r[1]), r[2]) for r in distinct_stacks(df).collect()} == {(1, ("a",), 5), (2, ("a",), 0)}
 
 
+def test_frequent_paths(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), i, [rng.choice(["a", "b", "é;", None]) for _ in range(rng.randrange(0, 7))], rng.choice([None, 2, 9])) for i in range(120)] + [(1, 500, None, 3)]
+    df = spark.createDataFrame(rows + rows[::9], "profile_id bigint, stack_id bigint, frames array<string>, weight bigint")
+    args = {"count_share": (10, 100), "weight_share": (12, 100)}
+    named = lambda x: {(tuple(r["steps"]), *r[1:]) for r in x.collect()}
+    got = named(frequent_paths(df, **args))
+    assert got == named(frequent_subsequences(distinct_stacks(df), **args)) and got
+    assert frequent_paths(df.limit(0), **args).count() == 0
+    assert frequent_paths(df, count_share=(1, 1), weight_share=(1, 1)).count() == 0
+
+
 # Most frequent items
 
 
