@@ -3,27 +3,35 @@
 Each side turns every distinct row into one element of GF(2^61 - 1) and every bucket of rows into the
 values of its characteristic polynomial at a few points. Only these values meet. The quotient of both
 sides' values is a rational function whose numerator and denominator vanish at the rows held by one side
-only; it is interpolated under a degree bound that doubles, for the buckets that fail verification, until
-all are solved. The keys behind the recovered roots are then fetched from both sides and compared exactly.
+only; both are interpolated under a degree bound that doubles, for the buckets that fail verification.
+The coefficients go back to the sides, where a bucket's own elements that are roots are the rows that the other
+side lacks. The keys of these rows are then fetched from both sides and compared exactly.
+
+Buckets are hashes of whole rows, so no key fills one, whatever number of different rows it has. A bucket that only one side has differs
+as a whole; one whose differences exceed ``most_bound`` has no sketch that is smaller than its elements, so the elements themselves are held against each other.
+All of it is linear in the rows at any rate of differences.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, stored
 
 P = (1 << 61) - 1
 _M61, _M31, _M30 = np.uint64(P), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
-_KEY_BITS, _ROW_BITS = 20, 41
 #: Values beyond the degree bound, which a wrong function meets with a chance of about (degree / 2^61)^CHECKS.
 CHECKS = 2
+#: Elements are at or above it and points of evaluation below.
+FIRST_ELEMENT = 4096
+#: The most affected keys (8 bytes each) that are sent to all tasks; beyond, the tables are joined by hash.
+MOST_KEYS_SENT = 1_000_000
 
 
 def mul_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,234 +60,246 @@ def characteristic(h: np.ndarray, starts: np.ndarray, points: int) -> np.ndarray
     return values
 
 
-# Polynomials are lists of Python integers, lowest coefficient first, without leading zeros.
-
+def sub_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a >= b, a - b, a + _M61 - b)
 
-def _trim(a: list[int]) -> list[int]:
-    while a and not a[-1]:
-        a.pop()
-    return a
 
+def inverse(a: np.ndarray) -> np.ndarray:
+    """Inverses of elements that aren't 0, by Fermat's theorem; 0 stays 0."""
+    out, square = None, a
+    for bit in reversed(bin(P - 2)[2:]):
+        if bit == "1":
+            out = square if out is None else mul_mod(out, square)
+        square = mul_mod(square, square)
+    return out
 
-def _divmod(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    a, q = a[:], [0] * max(0, len(a) - len(b) + 1)
-    inv, low = pow(b[-1], -1, P), b[:-1]
-    for i in range(len(a) - len(b), -1, -1):
-        c = q[i] = a[i + len(b) - 1] * inv % P
-        if c:
-            for j, x in enumerate(low, i):
-                a[j] = (a[j] - c * x) % P
-    return _trim(q), _trim(a[: len(b) - 1])
 
+def interpolate(a: np.ndarray, b: np.ndarray, degree_a: np.ndarray, degree_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of values at 1, 2, ..: coefficients of monic ``num`` and ``den`` of the given degrees with ``num / den = a / b``, the degree of what both have in common, and whether the further values agree.
 
-def _mul(a: list[int], b: list[int]) -> list[int]:
-    out = [0] * (len(a) + len(b) - 1) if a and b else []
-    for i, x in enumerate(a):
-        for j, y in enumerate(b, i):
-            out[j] += x * y
-    return _trim([x % P for x in out])
+    ``degree_a + degree_b`` is the same number ``m`` for all rows; the first ``m`` values give one linear system for each row, solved by elimination in all rows at once.
+    Each difference that a pair has less than ``m`` takes one from the system's rank and stands in both polynomials as a factor.
+    """
+    rows, points = a.shape
+    m = int(degree_a[0] + degree_b[0])
+    z = np.ones((points, m + 1), np.uint64)
+    for i in range(m):
+        z[:, i + 1] = mul_mod(z[:, i], np.arange(1, points + 1, dtype=np.uint64))
+    f = mul_mod(a, inverse(b))
+    minus_f = sub_mod(np.zeros_like(f), f)
+    column = np.arange(m)[None, :]
+    of_a = column < degree_a[:, None]
+    power = np.where(of_a, column, column - degree_a[:, None])
+    powers = z[np.arange(m)[None, :, None], power[:, None, :]]
+    system = np.empty((rows, m, m + 1), np.uint64)
+    system[:, :, :m] = np.where(of_a[:, None, :], powers, mul_mod(powers, minus_f[:, :m, None]))
+    system[:, :, m] = sub_mod(mul_mod(f[:, :m], z[np.arange(m)[None, :], degree_b[:, None]]), z[np.arange(m)[None, :], degree_a[:, None]])
+    at = np.arange(rows)
+    used, solved_by = np.zeros((rows, m), bool), np.full((rows, m), -1)
+    for c in range(m):
+        usable = (system[:, :, c] != 0) & ~used
+        row = usable.argmax(axis=1)
+        has = usable[at, row]
+        own = system[at, row, c:]
+        own = np.where(has[:, None], mul_mod(own, inverse(own[:, 0])[:, None]), np.uint64(0))
+        factor = system[:, :, c].copy()
+        factor[at, row] = 0
+        system[:, :, c:] = sub_mod(system[:, :, c:], mul_mod(factor[:, :, None], own[:, None, :]))
+        system[at[has], row[has], c:] = own[has]
+        used[at[has], row[has]] = True
+        solved_by[:, c] = np.where(has, row, -1)
+    value = np.where(solved_by >= 0, system[at[:, None], np.maximum(solved_by, 0), m], np.uint64(0))
+    num, den = np.zeros((rows, m + 1), np.uint64), np.zeros((rows, m + 1), np.uint64)
+    r, c = np.nonzero(of_a)
+    num[r, power[r, c]] = value[r, c]
+    r, c = np.nonzero(~of_a)
+    den[r, power[r, c]] = value[r, c]
+    num[at, degree_a] = 1
+    den[at, degree_b] = 1
+    fits = np.ones(rows, bool)
+    for k in range(m, points):
+        fits &= horner(num, np.uint64(k + 1)) == mul_mod(f[:, k], horner(den, np.uint64(k + 1)))
+    return num, den, (solved_by < 0).sum(axis=1), fits
+
+
+def horner(coefficients: np.ndarray, x: np.ndarray | np.uint64) -> np.ndarray:
+    """The value of each row's polynomial (lowest coefficient first) at the row's ``x``."""
+    out = coefficients[:, -1]
+    for i in range(coefficients.shape[1] - 2, -1, -1):
+        out = mul_mod(out, x) + coefficients[:, i]
+        out = np.where(out >= _M61, out - _M61, out)
+    return out
 
 
-def _sub(a: list[int], b: list[int]) -> list[int]:
-    n = max(len(a), len(b))
-    return _trim([(x - y) % P for x, y in zip(a + [0] * (n - len(a)), b + [0] * (n - len(b)), strict=True)])
+def reconcile(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``solved, num, den, only_a, only_b`` of pairs of sets, from their sizes and their values at 1..bound + CHECKS: the polynomials among whose roots are the elements of either side only, and the numbers of these.
 
+    A pair has a parity that the difference of its sizes gives, so pairs of even and odd bounds are solved apart. A pair isn't solved if the bound is too low for it.
+    """
+    d = n_a - n_b
+    rows = len(d)
+    num, den = np.zeros((rows, bound + 1), np.uint64), np.zeros((rows, bound + 1), np.uint64)
+    only_a, only_b, solved = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, bool)
+    for m in (bound, bound - 1):
+        own = np.flatnonzero(((d - m) % 2 == 0) & (np.abs(d) <= m))
+        step = max(1, 1_000_000 // (m * m + 1))
+        for lo in range(0, len(own), step):
+            part = own[lo : lo + step]
+            of_a, of_b = (m + d[part]) // 2, (m - d[part]) // 2
+            p, q, common, fits = interpolate(a[part], b[part], of_a, of_b)
+            num[part, : m + 1], den[part, : m + 1] = p, q
+            only_a[part], only_b[part] = of_a - common, of_b - common
+            solved[part] = fits & (only_a[part] >= 0) & (only_b[part] >= 0)
+    return solved, num, den, only_a, only_b
 
-def _gcd(a: list[int], b: list[int]) -> list[int]:
-    while b:
-        a, b = b, _divmod(a, b)[1]
-    return _monic(a)
 
+def _hash(names: list[str], salt: str) -> Column:
+    """Nulls hash as values of their own."""
+    return F.xxhash64(F.lit(salt), *[x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
 
-def _monic(a: list[int]) -> list[int]:
-    inv = pow(a[-1], -1, P)
-    return [x * inv % P for x in a]
 
+def _lists(starts: np.ndarray, *flat: np.ndarray) -> list[pa.Array]:
+    ends = pa.array(np.append(starts, len(flat[0])).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in flat]
 
-def _at(a: list[int], z: int) -> int:
-    v = 0
-    for c in reversed(a):
-        v = (v * z + c) % P
-    return v
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists and where each list begins, with the end of the last."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
 
-def _power(base: list[int], e: int, mod: list[int]) -> list[int]:
-    out = [1]
-    for bit in bin(e)[2:]:
-        out = _divmod(_mul(out, out), mod)[1]
-        if bit == "1":
-            out = _divmod(_mul(out, base), mod)[1]
-    return out
 
+def _packets(df: DataFrame, key: list[str], fields: list[str], buckets: int) -> DataFrame:
+    """``bucket, hs, ks``: the elements of one side's different rows and the hashes of their keys, a row for each bucket. Repeated rows are dropped within batches before they move and for good behind the shuffle."""
+    element = F.pmod(_hash(key + fields, "row"), F.lit(P - FIRST_ELEMENT)) + FIRST_ELEMENT
+    rows = df.select(F.pmod(_hash(key + fields, "bucket"), F.lit(buckets)).alias("bucket"), element.alias("h"), _hash(key, "key").alias("k"))
 
-def _roots(f: list[int], rng: random.Random) -> list[int] | None:
-    """All roots of a monic ``f``; None unless it has as many different ones as its degree."""
-    todo, out = [f], []
-    while todo:
-        f = todo.pop()
-        if len(f) <= 2:
-            out += [-f[0] * pow(f[1], -1, P) % P] if len(f) == 2 else []
-            continue
-        a = rng.randrange(P)
-        if not _at(f, -a % P):
-            linear = [a, 1]
-            todo += [linear, _divmod(f, linear)[0]]
-            continue
-        # at a root, (x + a)^((p - 1) / 2) is 1 or -1; a factor that isn't linear, or stands twice, divides neither part
-        power = _power([a, 1], (P - 1) // 2, f)
-        one, other = (_gcd(f, _sub(power, [x])) for x in (1, P - 1))
-        if len(one) + len(other) - 2 < len(f) - 1:
-            return None
-        todo += [one, other]
-    return out
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, first = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_index=True)
+            yield batch if len(first) == batch.num_rows else batch.take(pa.array(first))
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
 
-def reconcile(n_a: int, n_b: int, a: list[int], b: list[int], bound: int) -> tuple[list[int], list[int]] | None:
-    """The elements of either side only, from both sides' values at 1..bound + CHECKS; None if the bound is too low.
+        def out(b: np.ndarray, h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(b[starts]), *_lists(starts, h, k)], names=["bucket", "hs", "ks"])
 
-    ``n_a`` and ``n_b`` are the sides' sizes, whose difference is that of the degrees. A pair is accepted only if it meets the values at the further points
-    and both polynomials split into different linear factors.
-    """
-    d = n_a - n_b
-    if abs(d) >= bound:
-        return None
-    quotient = [x * pow(y, -1, P) % P for x, y in zip(a, b, strict=True)]
-    n = bound
-    # Newton's interpolation through the first points
-    coef = quotient[:n]
-    for k in range(1, n):
-        inv = pow(k, -1, P)
-        for i in range(n - 1, k - 1, -1):
-            coef[i] = (coef[i] - coef[i - 1]) * inv % P
-    poly: list[int] = []
-    whole = [1]
-    for k in range(n):
-        poly = _sub(poly, [(-coef[k] * c) % P for c in whole])
-        whole = _sub([0, *whole], [(k + 1) * c % P for c in whole])
-    # Euclid's remainders until the numerator's degree fits
-    top = (bound - 1 + d) // 2
-    r0, r1, t0, t1 = whole, poly, [], [1]
-    while len(r1) - 1 > top:
-        q, r = _divmod(r0, r1)
-        r0, r1, t0, t1 = r1, r, t1, _sub(t0, _mul(q, t1))
-    if not r1 or not t1:
-        return None
-    common = _gcd(r1, t1)
-    if len(common) > 1:
-        r1, t1 = _divmod(r1, common)[0], _divmod(t1, common)[0]
-    if len(r1) - len(t1) != d or r1[-1] != t1[-1]:
-        return None
-    num, den = _monic(r1), _monic(t1)
-    if any(_at(num, z) != quotient[z - 1] * _at(den, z) % P for z in range(1, bound + CHECKS + 1)):
-        return None
-    rng = random.Random(bound)
-    only_a = _roots(num, rng)
-    only_b = None if only_a is None else _roots(den, rng)
-    return None if only_b is None else (only_a, only_b)
-
-
-def _elements(df: DataFrame, key: list[str], fields: list[str], buckets: int) -> DataFrame:
-    """Adds ``__bucket`` and ``__kid`` (both from the key) and ``__h``, the row's field element; nulls hash as values of their own."""
-    def hashed(names: list[str], salt: str) -> Column:
-        return F.xxhash64(F.lit(salt), *[x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
-
-    of_key = hashed(key, "key")
-    # 1 .. 2^20 - 2, so that an element is above every point and below the modulus
-    kid = F.pmod(F.shiftright(of_key, 24), F.lit((1 << _KEY_BITS) - 2)) + 1
-    row = hashed(key + fields, "row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return df.select(
-        *[F.col(f"`{c}`") for c in key + fields],
-        F.pmod(hashed(key, "bucket"), F.lit(buckets)).alias("__bucket"),
-        kid.alias("__kid"),
-        (F.shiftleft(kid, _ROW_BITS) + row).alias("__h"),
-    )
+        for batch in batches:
+            b, h, k = (np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held))
+            if not len(b):
+                continue
+            new = np.append(True, (b[1:] != b[:-1]) | (h[1:] != h[:-1]))
+            b, h, k = b[new], h[new], k[new]
+            last = int(np.searchsorted(b, b[-1]))  # its rows may go on in the next batch
+            if last:
+                yield out(b[:last], h[:last], k[:last])
+            held = [b[last:], h[last:], k[last:]]
+        if len(held[0]):
+            yield out(*held)
+
+    schema = "bucket bigint, h bigint, k bigint"
+    moved = rows.mapInArrow(once, schema).repartition("bucket").sortWithinPartitions("bucket", "h")
+    return moved.mapInArrow(gather, "bucket bigint, hs array<bigint>, ks array<bigint>")
+
+
+def _sketch(packets: DataFrame, points: int, side: str) -> DataFrame:
+    """``bucket, n_<side>, <side>``: the number of elements and the values of their characteristic polynomial at 1..points."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(lo, 1000) for lo in range(0, batch.num_rows, 1000)):
+                h, ends = _flat(part.column(1))
+                values = characteristic(h.astype(np.uint64), ends[:-1], points)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), *_lists(np.arange(len(values)) * points, values.reshape(-1))], names=["bucket", f"n_{side}", side])
 
-def _sketch(elements: DataFrame, points: int) -> DataFrame:
-    """``__bucket, n, values``: one side's polynomials, one row a bucket. ``elements`` are distinct."""
-    schema = pa.schema([("__bucket", pa.int64()), ("n", pa.int64()), ("values", pa.list_(pa.int64()))])
+    return packets.select("bucket", "hs").mapInArrow(run, f"bucket bigint, n_{side} bigint, {side} array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_bucket, open_n, open_values = None, 0, None
 
-        def out(buckets, ns, values):
-            flat = pa.array(values.reshape(-1).astype(np.int64))
-            offsets = pa.array(np.arange(len(ns) + 1, dtype=np.int32) * points)
-            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ns), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
+def _solve(pairs: DataFrame, bound: int) -> DataFrame:
+    """``bucket, solved, a, b, only_a, only_b``: each side's polynomial and how many of its elements are roots. If one side has nothing, the other's polynomial is 0, of which all elements are roots."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket = batch.column(0).to_numpy(zero_copy_only=False)
-            h = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-            step = max(1, 2_000_000 // points)
-            for lo in range(0, len(h), step):
-                b, x = bucket[lo : lo + step], h[lo : lo + step]
-                starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                values = characteristic(x, starts, points)
-                ids, ns = b[starts].astype(np.int64), np.diff(np.append(starts, len(b))).astype(np.int64)
-                if open_bucket == ids[0]:  # its rows began in the piece before
-                    ns[0] += open_n
-                    values[0] = mul_mod(values[0], open_values)
-                elif open_bucket is not None:
-                    yield out(np.array([open_bucket]), np.array([open_n]), open_values[None, :])
-                if len(ids) > 1:
-                    yield out(ids[:-1], ns[:-1], values[:-1])
-                open_bucket, open_n, open_values = int(ids[-1]), int(ns[-1]), values[-1]
-        if open_bucket is not None:
-            yield out(np.array([open_bucket]), np.array([open_n]), open_values[None, :])
-
-    ordered = elements.select("__bucket", "__h").repartition("__bucket").sortWithinPartitions("__bucket")
-    return ordered.mapInArrow(run, "__bucket bigint, n bigint, values array<bigint>")
-
-
-def _solve(sketches: DataFrame, bound: int) -> DataFrame:
-    """``__bucket, solved, __h``: the elements of one side only; a row with a null element for each bucket that the bound is too low for."""
-    empty = [1] * (bound + CHECKS)
+            n = [x.to_numpy(zero_copy_only=False) for x in (pc.fill_null(batch.column(1), 0), pc.fill_null(batch.column(3), 0))]
+            values = []
+            for i in (2, 4):
+                there = batch.column(i).is_valid().to_numpy(zero_copy_only=False)
+                own = np.ones((batch.num_rows, bound + CHECKS), np.uint64)
+                own[there] = batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(-1, bound + CHECKS)
+                values.append(own)
+            solved, num, den, only_a, only_b = reconcile(*n, *values, bound)
+            for own, other, poly, only, rest in ((n[0], n[1], num, only_a, only_b), (n[1], n[0], den, only_b, only_a)):
+                alone = (other == 0) & (own > 0)
+                poly[alone], only[alone], rest[alone], solved[alone] = 0, own[alone], 0, True
+            starts = np.arange(batch.num_rows) * (bound + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(solved), *_lists(starts, num.reshape(-1), den.reshape(-1)), pa.array(only_a), pa.array(only_b)], names=["bucket", "solved", "a", "b", "only_a", "only_b"])
+
+    return pairs.mapInArrow(run, "bucket bigint, solved boolean, a array<bigint>, b array<bigint>, only_a bigint, only_b bigint")
+
+
+def _roots(packets: DataFrame, solved: DataFrame, side: str) -> DataFrame:
+    """``bucket, k``: the key hashes of this side's elements that are roots; a null one for a bucket with another number of them than the solution has."""
+    asked = solved.where(F.col("solved") & (F.col(f"only_{side}") > 0)).select("bucket", F.col(side).alias("poly"), F.col(f"only_{side}").alias("only"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, bool, int | None]] = []
-            for r in batch.to_pylist():
-                found = reconcile(r["n_a"] or 0, r["n_b"] or 0, r["a"] or empty, r["b"] or empty, bound)
-                rows += [(r["__bucket"], False, None)] if found is None else [(r["__bucket"], True, h) for side in found for h in side]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())],
-                names=["__bucket", "solved", "__h"],
-            )
+            for part in (batch.slice(lo, 1000) for lo in range(0, batch.num_rows, 1000)):
+                h, ends = _flat(part.column(1))
+                k, _ = _flat(part.column(2))
+                poly = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(part.num_rows, -1)
+                place = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                root = horner(poly[place], h.astype(np.uint64)) == 0
+                bucket = part.column(0).to_numpy(zero_copy_only=False)
+                wrong = bucket[np.bincount(place[root], minlength=part.num_rows) != part.column(4).to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(bucket[place[root]], wrong)), pa.array(np.append(k[root], wrong), mask=np.append(np.zeros(root.sum(), bool), np.ones(len(wrong), bool)))], names=["bucket", "k"])
 
-    return sketches.mapInArrow(run, "__bucket bigint, solved boolean, __h bigint")
+    return packets.join(asked, "bucket").mapInArrow(run, "bucket bigint, k bigint")
 
 
 def table_difference(
-    base: DataFrame, copy: DataFrame, key: list[str], fields: list[str], *, bucket_rows: int = 64, first_bound: int = 16
+    base: DataFrame, copy: DataFrame, key: list[str], fields: list[str], *, bucket_rows: int = 32, first_bound: int = 12, most_bound: int = 48
 ) -> DataFrame:
     """Differing rows of two copies: ``key columns, field``, where ``field`` is ``missing_in_copy``, ``missing_in_base`` or a name of ``fields``.
 
     Repeated rows count once; row order and columns other than ``key`` and ``fields`` don't matter. Null equals only null, in keys too. If one side has several
     different rows of a key, a field differs unless both sides have the same set of values. Two empty tables give no rows; an empty side makes all keys
-    of the other missing. ``bucket_rows`` is the mean size of a bucket; ``first_bound`` is the degree bound of the first round, doubled in each further round for unsolved buckets, which ends when
-    the bound reaches a bucket's rows at the latest. Differences whose 61-bit elements agree go unseen, about one in 2^41 changed rows.
+    of the other missing. ``bucket_rows`` is the mean size of a bucket; ``first_bound`` is the degree bound of the first round, doubled for unsolved buckets up to ``most_bound``; buckets with
+    more differences are compared element by element. Differing rows go unseen only if their 61-bit elements agree inside a bucket.
     """
     rows = max(base.count(), copy.count())
     buckets = max(1, -(-rows // bucket_rows))
-    sides = [_elements(x, key, fields, buckets) for x in (base, copy)]
-    distinct = [materialize(x.select("__bucket", "__h").distinct()) for x in sides]
-    found, open_, bound = [], None, first_bound
-    tasks = max(base.sparkSession.sparkContext.defaultParallelism, buckets // 1000)
-    while open_ is None or not open_.isEmpty():
-        own = distinct if open_ is None else [x.join(open_, "__bucket", "left_semi") for x in distinct]
-        a, b = (_sketch(x, bound + CHECKS).select("__bucket", F.col("n").alias(f"n_{s}"), F.col("values").alias(s)) for x, s in zip(own, "ab", strict=True))
+    own = [stored(_packets(x, key, fields, buckets)) for x in (base, copy)]
+    found: list[DataFrame] = []
+    left, bound = own, first_bound
+    while True:
+        a, b = (_sketch(x, bound + CHECKS, s) for x, s in zip(left, "ab", strict=True))
         # sides whose values all agree hold the same rows
-        pairs = a.join(b, "__bucket", "full_outer").where(~F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("a") == F.col("b")), F.lit(False)))
-        # sketches are small and dear to solve: their number, not their size, sets the tasks
-        result = materialize(_solve(pairs.repartition(tasks, "__bucket"), bound))
-        found.append(result.where("solved").select("__bucket", "__h"))
-        open_ = result.where("not solved").select("__bucket").distinct()
+        pairs = a.join(b, "bucket", "full_outer").where(~F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("a") == F.col("b")), F.lit(False)))
+        solved = stored(_solve(pairs.select("bucket", "n_a", "a", "n_b", "b"), bound))
+        roots = [_roots(x, solved, s) for x, s in zip(left, "ab", strict=True)]
+        result = materialize(roots[0].unionByName(roots[1]).unionByName(solved.where(~F.col("solved")).selectExpr("bucket", "cast(null as bigint) as k")))
+        found.append(result.where("k is not null").select("k"))
+        open_ = result.where("k is null").select("bucket").distinct()
+        if open_.isEmpty():
+            break
+        left = [x.join(open_, "bucket", "left_semi") for x in left]
         bound *= 2
+        if bound > most_bound:
+            each = [x.select("bucket", F.explode(F.arrays_zip("hs", "ks")).alias("e"), F.lit(s).alias("s")) for s, x in enumerate(left)]
+            alone = each[0].unionByName(each[1]).groupBy("bucket", F.col("e.hs").alias("h")).agg(F.first("e.ks").alias("k"), F.min("s").alias("low"), F.max("s").alias("high"))
+            found.append(alone.where("low = high").select("k"))
+            break
     affected = found[0]
     for x in found[1:]:
         affected = affected.unionByName(x)
-    affected = affected.select("__bucket", F.shiftright("__h", _ROW_BITS).alias("__kid")).distinct()
-    fetched = [x.join(affected, ["__bucket", "__kid"], "left_semi").select(*[F.col(f"`{c}`") for c in key + fields], F.lit(s == 0).alias("__a"), F.lit(s == 1).alias("__b")) for s, x in enumerate(sides)]
+    affected = materialize(affected.distinct())
+    affected = F.broadcast(affected) if affected.count() <= MOST_KEYS_SENT else affected
+    fetched = []
+    for s, x in enumerate((base, copy)):
+        own_rows = x.select(*[F.col(f"`{c}`") for c in key + fields], _hash(key, "key").alias("__k")).join(affected.withColumnRenamed("k", "__k"), "__k", "left_semi")
+        fetched.append(own_rows.drop("__k").withColumns({"__a": F.lit(s == 0), "__b": F.lit(s == 1)}))
     return _compare(fetched[0].unionByName(fetched[1]), key, fields)
 
 

@@ -6,24 +6,28 @@ import numpy as np
 import pytest
 
 from emberfold.operators.badrows import failed_records, valid_records
-from emberfold.operators.difference import CHECKS, P, characteristic, reconcile, table_difference
+from emberfold.operators.difference import CHECKS, FIRST_ELEMENT, P, characteristic, horner, reconcile, table_difference
 from emberfold.operators.skewed import counts_that_disagree, stacks_per_frame
 
 ROW = "profile_id bigint, frame_id int, name string, self_weight bigint, inclusive_weight bigint, field string, side double"
 
 
 def sketch(x, points):
-    return characteristic(np.array(x, dtype=np.uint64), np.array([0]), points)[0].tolist() if x else [1] * points
+    return characteristic(np.array(x, dtype=np.uint64), np.array([0]), points) if x else np.ones((1, points), np.uint64)
 
 
-@pytest.mark.parametrize("own_a, own_b, common", [(0, 0, 5), (3, 0, 5), (0, 4, 0), (5, 5, 90), (1, 1, 0), (15, 0, 3)])
+@pytest.mark.parametrize("own_a, own_b, common", [(0, 0, 5), (3, 0, 5), (0, 4, 0), (5, 5, 90), (1, 1, 0), (15, 0, 3), (0, 32, 7), (9, 4, 2000)])
 def test_reconciliation(own_a, own_b, common):
     rng = random.Random(own_a * 31 + own_b)
-    shared, a, b = ([rng.randrange(1 << 42, P) for _ in range(n)] for n in (common, own_a, own_b))
+    shared, a, b = ([rng.randrange(FIRST_ELEMENT, P) for _ in range(n)] for n in (common, own_a, own_b))
+    n_a, n_b = np.array([common + own_a]), np.array([common + own_b])
     for bound in (2, 4, 8, 16, 32):
-        got = reconcile(common + own_a, common + own_b, sketch(shared + a, bound + CHECKS), sketch(shared + b, bound + CHECKS), bound)
-        assert got is None or (set(got[0]), set(got[1])) == (set(a), set(b))
-    assert got is not None
+        solved, num, den, only_a, only_b = reconcile(n_a, n_b, sketch(shared + a, bound + CHECKS), sketch(shared + b, bound + CHECKS), bound)
+        assert solved[0] == (own_a + own_b <= bound)
+        if solved[0]:
+            assert (only_a[0], only_b[0]) == (own_a, own_b)
+            for poly, own, all_ in ((num, a, shared + a), (den, b, shared + b)):
+                assert [x for x in all_ if horner(poly, np.uint64(x))[0] == 0] == own
 
 
 def exact(base, copy):
@@ -44,11 +48,21 @@ def test_difference(spark, seed, n, changed):
     base = [row(k) for k in keys] * 2
     copy = [r if rng.random() > changed else rng.choice([row(r[:2]), row((99, rng.randrange(50)))]) for r in base[:n] if rng.random() > 0.05]
     rng.shuffle(copy)
-    got = table_difference(spark.createDataFrame(base, ROW), spark.createDataFrame(copy, ROW), ["profile_id", "frame_id"], ["name", "self_weight", "inclusive_weight"], bucket_rows=40, first_bound=4)
+    got = table_difference(spark.createDataFrame(base, ROW), spark.createDataFrame(copy, ROW), ["profile_id", "frame_id"], ["name", "self_weight", "inclusive_weight"], bucket_rows=40, first_bound=4, most_bound=16)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == exact(base, copy)
 
 
+@pytest.mark.parametrize("most", [48, 1])
+def test_difference_of_hot_keys_and_absent_rows(spark, most):
+    """A copy without rows, half a copy, and one key with very many different rows: each in time linear in the rows."""
+    base = spark.range(100_000).selectExpr("if(id % 3 = 0, null, id) as profile_id", "if(id % 3 = 0, null, 1) as frame_id", "cast(id as string) as name", "id as self_weight", "id as inclusive_weight")
+    args = (["profile_id", "frame_id"], ["name", "self_weight", "inclusive_weight"])
+    for copy, missing, fields in ((base.limit(0), 66_667, 0), (base.where("self_weight < 50000"), 33_333, 3), (base.where("self_weight % 3 > 0 or self_weight < 3000"), 0, 3)):
+        got = table_difference(base, copy, *args, first_bound=min(12, most), most_bound=most).groupBy("field").count().collect()
+        assert {r["field"]: r["count"] for r in got} == ({"missing_in_copy": missing} if missing else {}) | ({f: 1 for f in args[1]} if fields else {})
+
+
 LINES = [
     ("folded", "a;b 1", None),
     ("folded", "  ", "blank"),
