@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 from collections import Counter, defaultdict
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -14,7 +15,8 @@ from emberfold.llm.heavy_hitters import LossyCounter, exact_figures, frequent_it
 from emberfold.llm.language import Model, Scorer, fit, languages
 from emberfold.llm.leakage import Index, fingerprints, leaked_items, shingle_hashes, weights_of, word_ids
 from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, token_counts
-from emberfold.llm.subsequences import distinct_stacks, frequent_paths, frequent_subsequences, parts_by_pivot, shortened
+from emberfold.llm import subsequences as subsequences_module
+from emberfold.llm.subsequences import distinct_stacks, frequent_paths, frequent_subsequences, mine, parts_by_pivot, shortened
 from emberfold.llm.tex import bare, word_table
 
 # Frequent subsequences
@@ -25,19 +27,48 @@ def subsequences(s, longest):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=12), st.integers(1, 4))
-def test_shortening_keeps_all_short_subsequences(seq, longest):
-    assert subsequences(seq, longest) == subsequences(shortened(seq, longest), longest)
-    for pivot, part in parts_by_pivot(seq, longest):
-        assert {s for s in subsequences(seq, longest) if max(s) == pivot} == {s for s in subsequences(part, longest) if max(s) == pivot}
-
-
-@pytest.mark.parametrize("block_rows", [3, 4000])
-def test_frequent_subsequences(spark, block_rows):
-    rng = random.Random(block_rows)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=12), max_size=4), st.integers(1, 4), st.sampled_from([3, 2_000_000]))
+def test_shortening_keeps_all_short_subsequences(seqs, longest, places):
+    code, row = np.array([x for s in seqs for x in s], np.uint8), np.repeat(np.arange(len(seqs)), [len(s) for s in seqs]).astype(np.int64)
+    kept, own = shortened(code, row, longest)
+    got = defaultdict(list)
+    with mock.patch.object(subsequences_module, "MOST_PLACES", places):
+        for r, pivot, size, flat in parts_by_pivot(code, row, 1, longest):
+            for i, p, part in zip(r.tolist(), pivot.tolist(), np.split(flat, np.cumsum(size)[:-1]), strict=True):
+                got[i].append((p, part.tolist()))
+    for i, seq in enumerate(seqs):
+        assert subsequences(seq, longest) == subsequences(kept[own == i].tolist(), longest)
+        assert sorted(p for p, _ in got[i]) == sorted(set(seq))
+        for pivot, part in got[i]:
+            assert {s for s in subsequences(seq, longest) if max(s) == pivot} == {s for s in subsequences(part, longest) if max(s) == pivot}
+
+
+def test_recursion_is_bounded():
+    """However deep two items alternate, a few places hold all subsequences of four."""
+    code = np.array([0, 1] * 2000 + [2] + [1] * 50, np.uint8)
+    assert len(shortened(code, np.zeros(len(code), np.int64), 4)[0]) <= 16
+
+
+def test_wide_rows_are_mined_in_little_memory():
+    """1,000 parts of 200 items out of 1,000: well under 1 GB, as nothing is held for each item."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    code, size = rng.integers(0, 1000, 200_000).astype(np.uint16), np.full(1000, 200)
+    code[::200] = 999
+    tracemalloc.start()
+    got = mine(code, size, np.ones(1000, np.int64), np.ones(1000, np.int64), 999, 3, 4, 40, float("inf"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and all(n >= 40 for _, n, _ in got)
+
+
+@pytest.mark.parametrize("block_bytes", [40, 4 << 20])
+def test_frequent_subsequences(spark, block_bytes):
+    rng = random.Random(block_bytes)
     seqs = [([rng.choice("aaabcdé ") for _ in range(rng.randrange(0, 9))], rng.choice([None, 0, 1, 5, 40])) for _ in range(150)] + [(None, 9), (["a", None, "b", "a"], 3), ([None], 1)] + [(["a", "b"] * 200, 1)]
     df = spark.createDataFrame([(f, w, "x") for f, w in seqs], "frames array<string>, weight bigint, item string")
-    got = {(tuple(r["steps"]), r["support"], r["weight"]) for r in frequent_subsequences(df, count_share=(6, 100), weight_share=(7, 100), block_rows=block_rows).collect()}
+    got = {(tuple(r["steps"]), r["support"], r["weight"]) for r in frequent_subsequences(df, count_share=(6, 100), weight_share=(7, 100), block_bytes=block_bytes).collect()}
     n, w = Counter(), Counter()
     held = [(f, x or 0) for f, x in seqs if f is not None]
     for f, x in held:
