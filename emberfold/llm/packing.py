@@ -1,7 +1,8 @@
 """Items of varying length in containers of fixed capacity, planned on lengths instead of items.
 
 The number of items of each length is all that best fit needs, so the plan is made on a table of at most ``capacity`` rows,
-whatever the number of items. It says, for each length, which ranks go to which containers; items take their slots by their rank within their length.
+whatever the number of items. It says, for each length, which ranks go to which containers; each item looks its slot up by its rank within its length,
+so as many rows leave as come.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
 from .tex import INVERSE, MOST_TOGETHER, POWERS
 
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
@@ -134,10 +134,11 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tokens bigint")
 
 
-def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """Best fit by falling length over counts: ``length, first rank, number, first container``; ranks and containers of an entry run side by side.
+def plan(sizes: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit by falling length over counts, as rows ``length, first rank, width, first container``: the item of rank r of a length goes to container ``first container + (r - first rank) % width``.
 
-    Containers with the same room are one run of numbers, so an entry fills as many at once as there are items or containers, and the plan's size depends on the number of lengths, not of items.
+    Containers with the same room are one run of numbers, so a row fills as many at once as there are items or containers. Each step gives at most two rows, and either ends a length, which leaves at most three runs more,
+    or leaves a run with less than half of its room. So there are at most ``2 * lengths * (1 + 3 * log2(capacity))`` rows, whatever the number of items.
     """
     out: list[tuple[int, int, int, int]] = []
     rooms: list[int] = []  # ascending, the room of some open containers
@@ -167,29 +168,44 @@ def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]
             # the tightest container stays the tightest until no more of this length fit, so containers are filled one after the other
             each = room // length
             full = min(number, left // each)
-            for _ in range(each if full else 0):
+            if full:
                 out.append((length, rank, full, first))
-                rank += full
+                rank += full * each
             left -= full * each
             put(room - each * length, first, full)
             rest = min(left, each) if full < number else 0
-            for _ in range(rest):
-                out.append((length, rank, 1, first + full))
-                rank += 1
-            left -= rest
             if rest:
+                out.append((length, rank, 1, first + full))
+                rank += rest
+                left -= rest
                 put(room - rest * length, first + full, 1)
             used = full + (rest > 0)
             put(room, first + used, number - used)
-    return out
-
-
-def pack(sized: DataFrame, *, capacity: int = 4096, spread: int = 64) -> DataFrame:
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
+def slots_of(entries: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The container of each item, by its length and its rank within that: a binary search in the plan. Items of no length are in container 0."""
+    if not len(entries):
+        return np.zeros(len(size), np.int64)
+    order = np.lexsort((entries[:, 1], entries[:, 0]))
+    length, first_rank, width, first = entries[order].T
+    # places of the lengths, then of the ranks within them
+    lo, hi = np.searchsorted(length, size, "left"), np.searchsorted(length, size, "right")
+    while (open_ := hi - lo > 1).any():
+        middle = (lo + hi) // 2
+        right = open_ & (first_rank[np.minimum(middle, len(length) - 1)] <= rank)
+        lo, hi = np.where(right, middle, lo), np.where(open_ & ~right, middle, hi)
+    lo = np.minimum(lo, len(length) - 1)
+    return np.where(size > 0, first[lo] + (rank - first_rank[lo]) % width[lo], 0)
+
+
+def pack(sized: DataFrame, *, capacity: int = 4096, part_rows: int = 200_000) -> DataFrame:
     """``id, piece, tokens, first_token, size, container`` from ``id, tokens``: every item in a container of ``capacity``, in pieces if and only if it is larger.
 
     A larger item gives full pieces, each a container of its own, and a rest that is packed as an item. ``first_token`` is a piece's place in its item. Items of no tokens stand in container 0
-    and take no room; a null size counts as 0. Repeated rows are items of their own. No two containers could be poured into one by a best fit that sees all lengths first. Ranks within a length are counted in ``spread`` parts of
-    the items, so a length that most items have isn't ranked in one task. An empty table gives no rows.
+    and take no room; a null size counts as 0. Repeated rows are items of their own. No two containers could be poured into one by a best fit that sees all lengths first. Ranks within a length are counted in parts of
+    about ``part_rows`` items, so the tasks follow the counts and a length that most items have isn't ranked in one. An empty table gives no rows.
     """
     spark = sized.sparkSession
     items = sized.select("id", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).alias("tokens"))
@@ -197,17 +213,19 @@ def pack(sized: DataFrame, *, capacity: int = 4096, spread: int = 64) -> DataFra
     pieces = items.select("id", "tokens", F.explode(F.sequence(F.lit(0), whole)).alias("piece")).select(
         "id", "tokens", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("bigint").alias("size")
     )
-    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(spread)).cast("int"))
-    # at most capacity * spread rows, of which capacity sums reach the driver
-    counts = materialize(keyed.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
-    entries = plan({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).toLocalIterator()}, capacity)
-    slots = spark.createDataFrame(entries or [(0, 0, 0, 0)], "size bigint, from bigint, number bigint, container_from bigint")
-    offsets = counts.withColumn("before", F.expr("sum(n) over (partition by size order by part) - n")).select("size", "part", "before")
-    ranked = (
-        keyed.withColumn("own", F.expr("row_number() over (partition by size, part order by id, piece)"))
-        .join(offsets, ["size", "part"])
-        .withColumn("rank", F.col("own") - 1 + F.col("before"))
-    )
-    # the plan's size is bounded by the lengths there are; it is sent whole only while small
-    joined = ranked.join(F.broadcast(slots) if len(entries) <= 200_000 else slots, "size", "left").where((F.col("size") == 0) | ((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("from") + F.col("number"))))
-    return joined.select("id", F.col("piece").cast("int"), "tokens", "first_token", "size", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("container_from") + F.col("rank") - F.col("from")).cast("bigint").alias("container"))
+    # at most capacity + 1 rows
+    counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = spark.createDataFrame([(x, -(-n // part_rows)) for x, n in sorted(counts.items())], "size bigint, parts bigint")
+    keyed = pieces.join(F.broadcast(parts), "size").withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.col("parts"))).drop("parts")
+    offsets = keyed.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.expr("sum(n) over (partition by size order by part) - n")).select("size", "part", "before")
+    ranked = keyed.withColumn("own", F.expr("row_number() over (partition by size, part order by id, piece)")).join(offsets, ["size", "part"])
+    # the plan's size has a bound, which depends on the capacity only
+    sent = spark.sparkContext.broadcast(plan(counts, capacity))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(slots_of(sent.value, size, rank))], names=["id", "piece", "tokens", "first_token", "size", "container"])
+
+    rows = ranked.select("id", F.col("piece").cast("int"), "tokens", "first_token", "size", (F.col("own") - 1 + F.col("before")).cast("bigint").alias("rank"))
+    return rows.mapInArrow(place, f"id {rows.schema['id'].dataType.simpleString()}, piece int, tokens bigint, first_token bigint, size bigint, container bigint")

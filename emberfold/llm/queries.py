@@ -51,6 +51,16 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(sized).withColumnRenamed("id", "doc_id")
 
 
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of :func:`p6_pack`: the documents packed, containers above their capacity, documents whose pieces aren't their tokens or are more than need be, and whether the containers are within 1 % (and one) of the fewest that hold all tokens."""
+    packed = materialize(p6_pack(spark, d))
+    held = packed.where("size > 0").groupBy("container").agg(F.sum("size").alias("held")).agg(F.count_if(F.col("held") > 4096).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.sum("held").alias("tokens"))
+    each = packed.groupBy("doc_id").agg(F.sum("size").alias("held"), F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    torn = (F.col("held") != F.col("tokens")) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / 4096)))
+    near = F.col("containers") <= F.ceil(F.col("tokens") / 4096) * 1.01 + 1
+    return held.select(each.agg(F.count(F.lit(1))).scalar().alias("documents"), "overfull", each.agg(F.count_if(torn)).scalar().alias("torn"), near.alias("near_bound"))
+
+
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages(table(spark, d, "documents"))
 
@@ -60,9 +70,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_languages(spark, d).where(wrong & F.col("lang").isNotNull()).select("doc_id", "para_no", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p4_found, p4_intervals, p6_pack, p7_found, p7_leaks, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p4_found, p4_intervals, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_languages)}
 
 ORACLES = {
+    "p6_fill": "SELECT count(*) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS torn, true AS near_bound FROM documents",
     "p4_found": """
 WITH h AS (SELECT DISTINCT hit_id, name, self_weight FROM frame_hits),
 t AS (SELECT count(*) AS n, sum(self_weight) AS w FROM h),

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from emberfold.llm.heavy_hitters import LossyCounter, exact_figures, frequent_items
 from emberfold.llm.language import Model, Scorer, fit, languages
 from emberfold.llm.leakage import Index, fingerprints, leaked_items, shingle_hashes, weights_of, word_ids
-from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, token_counts
+from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, slots_of, token_counts
 from emberfold.llm import subsequences as subsequences_module
 from emberfold.llm.subsequences import distinct_stacks, frequent_paths, frequent_subsequences, mine, parts_by_pivot, shortened
 from emberfold.llm.tex import bare, word_table
@@ -147,11 +147,12 @@ def test_frequent_items(spark):
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 25), max_size=12))
 def test_plan_is_best_fit(sizes):
     capacity, used, seen = 30, Counter(), Counter()
-    for length, rank, number, first in plan(sizes, capacity):
-        assert rank == seen[length]
+    entries = plan(sizes, capacity)
+    assert len(entries) <= 2 * len(sizes) * (1 + 3 * np.log2(capacity))
+    for length, number in sizes.items():
+        for c in slots_of(entries, np.full(number, length), np.arange(number)).tolist():
+            used[c] += length
         seen[length] += number
-        for k in range(number):
-            used[first + k] += length
     room = []
     for x in sorted((x for x, n in sizes.items() for _ in range(n)), reverse=True):
         fits = [i for i, r in enumerate(room) if r >= x]
@@ -165,7 +166,7 @@ def test_plan_is_best_fit(sizes):
 def test_pack(spark):
     sizes = [0, None, 1, 10, 10, 10, 4096, 4097, 9000, 8192, 4000, 95, 96, 97, *[300] * 60]
     df = spark.createDataFrame([(i, n, 1) for i, n in enumerate(sizes)] + [(5, 10, 1)], "id bigint, tokens bigint, size int")
-    rows = pack(df, capacity=4096, spread=3).collect()
+    rows = pack(df, capacity=4096, part_rows=7).collect()
     held = defaultdict(list)
     for r in rows:
         held[r["container"]].append(r)
