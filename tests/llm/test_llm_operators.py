@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from emberfold.llm.heavy_hitters import LossyCounter, exact_figures, frequent_items
 from emberfold.llm.language import Model, Scorer, fit, languages
-from emberfold.llm.leakage import Index, fingerprints, leaked_items, shingle_hashes, weights_of, word_ids
+from emberfold.llm.leakage import Index, Weights, Windows, fingerprints, leaked_items, shingle_hashes, size_class, word_ids
 from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, slots_of, token_counts
 from emberfold.llm import subsequences as subsequences_module
 from emberfold.llm.subsequences import distinct_stacks, frequent_paths, frequent_subsequences, mine, parts_by_pivot, shortened
@@ -224,22 +224,69 @@ def test_word_hashes_tell_words_apart():
     assert len(set(seen.values())) == len(seen) and np.bincount(place, minlength=61).tolist() == [len(t.split()) for t in texts]
 
 
-def test_fingerprints_and_blocks_miss_none():
+@pytest.mark.parametrize("blocks, flips", [(3, 0), (4, 2), (1, 1)])
+def test_blocks_miss_none(blocks, flips):
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, 40)) for _ in range(30)]
-    ix = Index(list(range(30)), texts, 12, 2)
-    flips = np.uint64(1) << rng.integers(0, 64, (len(ix.prints), 2)).astype(np.uint64)
-    asked = ix.prints ^ flips[:, 0] ^ flips[:, 1]
+    prints = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+    ix = Windows(12, prints, np.arange(300), blocks, flips)
+    asked = prints.copy()
+    for i in range(300):
+        for b in rng.choice(64, i % (ix.radius + 2), replace=False).tolist():
+            asked[i] ^= np.uint64(1 << b)
     a, b = ix.near(asked)
-    want = {(i, j) for i, x in enumerate(asked.tolist()) for j, y in enumerate(ix.prints.tolist()) if (x ^ y).bit_count() <= 2}
+    want = {(i, j) for i, x in enumerate(asked.tolist()) for j, y in enumerate(prints.tolist()) if (x ^ y).bit_count() <= ix.radius}
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
-    ids, _ = word_ids(texts[:1])
-    sh = shingle_hashes(ids)
-    w = weights_of([sh])
-    for i, p in enumerate(fingerprints(sh, w, 8).tolist()):
-        sums = [sum(int(w[int(h) >> 48]) * (int(h) >> (63 - b) & 1) for h in sh[i : i + 8]) for b in range(64)]
-        whole = sum(int(w[int(h) >> 48]) for h in sh[i : i + 8])
-        assert p == int("".join("1" if s > whole // 2 else "0" for s in sums), 2)
+
+
+def test_fingerprints():
+    rng = np.random.default_rng(3)
+    ids, _ = word_ids([" ".join(f"w{x}" for x in rng.integers(0, 50, 400))])
+    weights = Weights(ids[:9].tolist())
+    sh, w = shingle_hashes(ids), weights(ids)
+    assert w.tolist() == [2 if sum(x not in set(ids[:9].tolist()) for x in ids[i : i + 5].tolist()) >= 3 else 1 for i in range(len(sh))] and set(w.tolist()) == {1, 2}
+    for size, got in zip((8, 120, 140), fingerprints(sh, w, [8, 120, 140]), strict=True):
+        assert len(got) == len(sh) - size + 1
+        for i in (0, 7, len(got) - 1):
+            sums = [sum(int(x) * (int(h) >> (63 - b) & 1) for h, x in zip(sh[i : i + size], w[i : i + size], strict=True)) for b in range(64)]
+            assert int(got[i]) == int("".join("1" if s > int(w[i : i + size].sum()) // 2 else "0" for s in sums), 2)
+
+
+def test_similarity_of_windows():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(2)]
+    ix = Index([1], texts[:1], 12, (3, 0), (4, 2), Weights([]))
+    words, _ = word_ids(texts[1:])
+    for size in (12, 34):
+        at, item_at = np.array([0, 3, 20]), np.array([5, 0, 20])
+        got = ix.similarity(shingle_hashes(words), ix.weights(words), at, item_at, size)
+        for g, i, j in zip(got, at, item_at, strict=True):
+            a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (texts[1].split()[i : i + size], texts[0].split()[j : j + size]))
+            assert g == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_recall_of_edited_items(spark):
+    """Of items with one word changed in about every 60, windows of the items' own size find at least nine in ten of those that an exact comparison finds."""
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [say(rng.choice([34, 60, 78, 101, 130])) for _ in range(200)]
+    docs, want = [], set()
+    for i, x in enumerate(items):
+        body, y = say(300), list(x)
+        for k in range(max(1, len(y) // 60)):
+            y[rng.randrange(60 * k, min(len(y), 60 * k + 60))] = "changed"
+        body[100:100] = y
+        docs.append(" ".join(body))
+        size = size_class(len(x), 12)
+        cut = lambda z, a: {tuple(z[k : k + 5]) for k in range(a, a + size - 4)}  # noqa: E731, B023
+        own = [cut(x, a) for a in {0, (len(x) - size) // 2, len(x) - size}]
+        if any(len(o & c) >= 0.8 * len(o | c) for o in own for c in (cut(body, a) for a in range(60, 140))):
+            want.add(i)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    e = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id bigint, text string")
+    got = leaked_items(d, e).collect()
+    whole = {r["doc_id"] for r in got if r["window"] == size_class(len(items[r["item_id"]]), 12)}
+    assert all(r["doc_id"] == r["item_id"] and r["similarity"] >= 0.8 for r in got) and len(got) >= 195
+    assert whole <= want and len(want) > 100 and len(whole) >= 0.9 * len(want)
 
 
 def test_leaks(spark):
