@@ -35,6 +35,22 @@ def p5_stack_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_valid, p5_found, p5_stack_counts)}
 
+_PARSED = r"""WITH l AS (SELECT raw_id, profile_id, fmt, line, rtrim(line, chr(32) || chr(9) || chr(12) || chr(13)) AS kept FROM raw_stacks WHERE line IS NOT NULL),
+s AS (SELECT *, CASE WHEN fmt = 'folded' THEN regexp_matches(kept, '[ \t\f\r]') END AS has_ws,
+  CASE WHEN fmt = 'csv' THEN NOT regexp_full_match(line, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') END AS broken FROM l),
+f AS (SELECT *, CASE WHEN fmt = 'csv' AND NOT broken THEN regexp_extract_all(',' || line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) END AS q FROM s),
+p AS (SELECT *, CASE WHEN fmt = 'folded' AND has_ws THEN regexp_extract(kept, '(?s)^(.*?)[ \t\f\r]+[^ \t\f\r]+$', 1)
+    WHEN len(q) = 4 THEN CASE WHEN q[3][1] = '"' THEN replace(q[3][2:-2], '""', '"') ELSE q[3] END END AS stack,
+  CASE WHEN fmt = 'folded' AND has_ws THEN regexp_extract(kept, '(?s)([^ \t\f\r]+)$', 1)
+    WHEN len(q) = 4 THEN CASE WHEN q[4][1] = '"' THEN replace(q[4][2:-2], '""', '"') ELSE q[4] END END AS w FROM f),
+v AS (SELECT *, string_split(stack, ';') AS fr, CASE WHEN regexp_full_match(w, '\+?[0-9]+') THEN ltrim(ltrim(w, '+'), '0') END AS digits FROM p),
+r AS (SELECT *, CASE
+  WHEN fmt = 'folded' AND kept = '' THEN NULL
+  WHEN broken THEN 'broken_quoting' WHEN fmt = 'csv' AND len(q) <> 4 THEN 'column_count'
+  WHEN fmt = 'folded' AND NOT has_ws THEN 'invalid_folded_line' WHEN stack = '' THEN 'invalid_folded_line'
+  WHEN digits IS NULL OR digits = '' THEN 'invalid_weight'
+  WHEN len(digits) > 16 OR try_cast(digits AS BIGINT) > 9007199254740991 THEN 'weight_overflow'
+  WHEN list_contains(fr, '') THEN 'invalid_folded_line' WHEN len(fr) > 4096 THEN 'stack_too_deep' END AS reason FROM v)"""
 _DIFFS = " UNION ALL ".join(
     f"SELECT profile_id, frame_id, '{c}' AS field FROM j WHERE in_a AND in_b AND a_{c} IS DISTINCT FROM b_{c}" for c in FIELDS
 )
@@ -55,22 +71,10 @@ SELECT DISTINCT profile_id, frame_id FROM i FULL JOIN h USING (profile_id, frame
     "p5_stack_counts": """
 WITH s AS (SELECT DISTINCT profile_id, frames FROM stack_records WHERE frames IS NOT NULL)
 SELECT profile_id, name, count(*) AS stack_count FROM (SELECT profile_id, unnest(list_distinct(frames)) AS name FROM s) GROUP BY ALL""",
-    "p3_found": r"""
-WITH l AS (SELECT raw_id, fmt, line, rtrim(line, chr(32) || chr(9) || chr(12) || chr(13)) AS kept FROM raw_stacks WHERE line IS NOT NULL),
-s AS (SELECT *, CASE WHEN fmt = 'folded' THEN regexp_matches(kept, '[ \t\f\r]') END AS has_ws,
-  CASE WHEN fmt = 'csv' THEN NOT regexp_full_match(line, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') END AS broken FROM l),
-f AS (SELECT *, CASE WHEN fmt = 'csv' AND NOT broken THEN regexp_extract_all(',' || line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) END AS q FROM s),
-p AS (SELECT *, CASE WHEN fmt = 'folded' AND has_ws THEN regexp_extract(kept, '(?s)^(.*?)[ \t\f\r]+[^ \t\f\r]+$', 1)
-    WHEN len(q) = 4 THEN CASE WHEN q[3][1] = '"' THEN replace(q[3][2:-2], '""', '"') ELSE q[3] END END AS stack,
-  CASE WHEN fmt = 'folded' AND has_ws THEN regexp_extract(kept, '(?s)([^ \t\f\r]+)$', 1)
-    WHEN len(q) = 4 THEN CASE WHEN q[4][1] = '"' THEN replace(q[4][2:-2], '""', '"') ELSE q[4] END END AS w FROM f),
-v AS (SELECT *, string_split(stack, ';') AS fr, CASE WHEN regexp_full_match(w, '\+?[0-9]+') THEN ltrim(ltrim(w, '+'), '0') END AS digits FROM p),
-r AS (SELECT raw_id, CASE
-  WHEN fmt = 'folded' AND kept = '' THEN NULL
-  WHEN broken THEN 'broken_quoting' WHEN fmt = 'csv' AND len(q) <> 4 THEN 'column_count'
-  WHEN fmt = 'folded' AND NOT has_ws THEN 'invalid_folded_line' WHEN stack = '' THEN 'invalid_folded_line'
-  WHEN digits IS NULL OR digits = '' THEN 'invalid_weight'
-  WHEN len(digits) > 16 OR try_cast(digits AS BIGINT) > 9007199254740991 THEN 'weight_overflow'
-  WHEN list_contains(fr, '') THEN 'invalid_folded_line' WHEN len(fr) > 4096 THEN 'stack_too_deep' END AS reason FROM v)
-SELECT raw_id, reason FROM r WHERE reason IS NOT NULL""",
+    "p3_found": _PARSED + " SELECT raw_id, reason FROM r WHERE reason IS NOT NULL",
+    "p3_valid": _PARSED
+    + r""" SELECT raw_id, CASE WHEN fmt = 'csv' AND regexp_full_match(trim(p), '[+-]?[0-9]+') THEN coalesce(try_cast(trim(p) AS BIGINT), profile_id) ELSE profile_id END AS profile_id,
+CASE WHEN fmt = 'csv' AND regexp_full_match(trim(k), '[+-]?[0-9]+') THEN try_cast(trim(k) AS BIGINT) END AS stack_id, stack, digits::BIGINT AS weight
+FROM (SELECT *, CASE WHEN q[1][1] = '"' THEN replace(q[1][2:-2], '""', '"') ELSE q[1] END AS p, CASE WHEN q[2][1] = '"' THEN replace(q[2][2:-2], '""', '"') ELSE q[2] END AS k FROM r)
+WHERE reason IS NULL AND NOT (fmt = 'folded' AND kept = '')""",
 }
