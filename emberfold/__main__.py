@@ -7,7 +7,7 @@ import json
 import sys
 from pathlib import Path
 
-from . import registry
+from . import __version__, registry
 from .errors import ApiError
 
 
@@ -23,6 +23,7 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="emberfold", description="Folded-stack profiles on Spark")
     parser.add_argument("--max-file-size-mib", type=int, default=512)
     parser.add_argument("--cache-capacity", type=int, default=8)
+    parser.add_argument("--version", action="version", version=f"emberfold {__version__}")
     commands = parser.add_subparsers(dest="command", required=True)
     c = commands.add_parser("register", help="store a profile and make it active")
     c.add_argument("profile", type=Path)
@@ -35,7 +36,8 @@ def main(args: list[str] | None = None) -> int:
     c = commands.add_parser("query", help="one question, its arguments as JSON")
     c.add_argument("tool", choices=["summary", "find_symbols", "top", "tree", "callers", "callees", "paths", "diff"])
     c.add_argument("arguments", nargs="?", default="{}")
-    commands.add_parser("serve", help="answer questions as tools over standard input and output")
+    c = commands.add_parser("serve", help="answer questions as tools over standard input and output")
+    c.add_argument("--mcp", action="store_true", required=True, help="the protocol to speak")
     a = parser.parse_args(args)
     here, most = Path.cwd(), a.max_file_size_mib * 1024 * 1024
     try:
@@ -49,9 +51,14 @@ def main(args: list[str] | None = None) -> int:
             for e in s["profiles"]:
                 print(f"{'*' if e['alias'] == s['active'] else ' '} {e['alias']} fingerprint={e['fingerprint']} bytes={e['byte_len']} source={e['source_name']}")
         elif a.command == "use":
-            print(f"active={registry.set_active(here, a.alias)['active']}")
+            print(f"active alias={registry.set_active(here, a.alias)['active']}")
         elif a.command == "gc":
-            print(json.dumps(registry.gc(here, a.dry_run)))
+            done = registry.gc(here, a.dry_run)
+            print(f"registry={done['registry_root']}\ndry_run={str(done['dry_run']).lower()}")
+            for name in done["removed"]:
+                print(f"{'would remove' if a.dry_run else 'removed'} {name}")
+            for name in done["skipped"]:
+                print(f"skipped {name}", file=sys.stderr)
         elif a.command == "serve":
             from .api import Engine
             from .server import Server

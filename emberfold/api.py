@@ -71,7 +71,7 @@ class Engine:
         if key not in self._read:
             if registry.fingerprint(path) != entry["fingerprint"]:
                 raise ApiError("registry_corrupt", "A stored profile isn't what was registered", {"alias": alias}, "Register the profile again.")
-            meta = {"canonical_path": str(path), "fingerprint": entry["fingerprint"], "byte_len": stat.st_size, "modified_unix_ms": stat.st_mtime_ns // 1_000_000, "alias": alias}
+            meta = {"canonical_path": registry.text_of(path.resolve()), "fingerprint": entry["fingerprint"], "byte_len": stat.st_size, "modified_unix_ms": stat.st_mtime_ns // 1_000_000, "alias": alias}
             self._read[key] = read_profile(self.spark, str(path), self.limits, meta)
             while len(self._read) > self.kept:
                 self._read.popitem(last=False)
@@ -157,7 +157,7 @@ class Engine:
         stats = P.frame_stats(own)
         if pattern is not None:
             stats = stats.where(F.col("name").rlike(pattern))
-        rows = stats.withColumn("available", F.expr("count(*) over ()")).orderBy(*P.order_of(METRICS[sort])).limit(limit).collect()
+        rows = stats.withColumn("available", stats.agg(F.count(F.lit(1))).scalar()).orderBy(*P.order_of(METRICS[sort])).limit(limit).collect()
         data = {"sort": sort, "focus": frame and frame[0], "rows": self._frame_rows(p, rows, METRICS[sort], scope)}
         return self._envelope(p, scope, _row_limit(limit, rows[0]["available"] if rows else 0), [], data)
 

@@ -40,8 +40,9 @@ def with_errors(raw: DataFrame, *, fmt: str = "fmt", line: str = "line", max_wei
     ``fmt`` is ``folded`` (``stack WS weight``) or ``csv`` (``profile_id,stack_id,stack,weight``, fields may stand in double quotes). Rules in order: ``unknown_format`` (null or any other format);
     for csv ``broken_quoting``, ``column_count``; for folded ``invalid_folded_line`` without whitespace before a weight; then for both ``invalid_folded_line``
     (empty stack), ``invalid_weight`` (not ASCII digits after at most one plus, or zero), ``weight_overflow``, ``invalid_folded_line`` (an empty frame), ``stack_too_deep``.
-    A null line and a folded line of whitespace only are blank: no record and no failure.
+    A null line and a folded line of whitespace only are blank: no record and no failure. ``__weight`` is a bigint, or a decimal if ``max_weight`` is larger than one.
     """
+    kind = "bigint" if max_weight < 1 << 63 else "decimal(20,0)"
     text, form = F.col(f"`{line}`"), F.col(f"`{fmt}`")
     folded, csv = form.eqNullSafe("folded"), form.eqNullSafe("csv")
     kept, folded_stack, folded_weight = folded_parts(text)
@@ -67,7 +68,7 @@ def with_errors(raw: DataFrame, *, fmt: str = "fmt", line: str = "line", max_wei
     )
     known = parts.withColumns({"__all": F.split("__stack", ";", -1), "__digits": weight_digits(F.col("__weight_text"))})
     stack, digits, frames = F.col("__stack"), F.col("__digits"), F.col("__all")
-    over = (F.length(digits) > len(str(max_weight))) | (F.expr("try_cast(__digits as bigint)") > max_weight)
+    over = (F.length(digits) > len(str(max_weight))) | (F.expr(f"try_cast(__digits as {kind})") > F.expr(f"cast('{max_weight}' as {kind})"))
     fails = [
         (~folded & ~csv, "unknown_format"),
         (F.col("__broken"), "broken_quoting"),
@@ -83,7 +84,7 @@ def with_errors(raw: DataFrame, *, fmt: str = "fmt", line: str = "line", max_wei
     # a generator, as a filter on its output isn't pushed below it, where every rule would be evaluated again for each use
     checked = known.select("*", F.inline(F.array(F.struct(F.when(F.col("__blank"), F.array().cast("array<string>")).otherwise(errors).alias("__errors")))))
     fine = (F.size("__errors") == 0) & ~F.col("__blank")
-    return checked.withColumns({"__frames": F.when(fine, frames), "__weight": F.when(fine, F.expr("try_cast(__digits as bigint)"))}).drop(
+    return checked.withColumns({"__frames": F.when(fine, frames), "__weight": F.when(fine, F.expr(f"try_cast(__digits as {kind})"))}).drop(
         "__fields", "__broken", "__folded_stack", "__folded_weight", "__stack", "__weight_text", "__all", "__digits"
     )
 

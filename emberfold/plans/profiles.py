@@ -175,6 +175,11 @@ FROM (SELECT n.*, [m[x] for x in n.path] AS ids FROM n, (SELECT map(list(name),
 n AS ({nodes_sql('s')})""",
     )
 
+for _b, _root in (("star", ["ASIA"]), ("events", ["view", "click"]), ("recorded", ["boot_main"])):
+    _d, _n, _m = PAGES[_b]
+    _below = f", ch AS (SELECT frames[{len(_root) + 1}:] AS frames, sum(weight)::BIGINT AS weight FROM s WHERE frames[1:{len(_root)}] = {_root!r} GROUP BY 1)"
+    add(f"tree_below_{_b}", _b, lambda s, r=_root, d=_d, n=_n, m=_m: _joined(T.tree_page(s, r, d, n, m)[0], "path"), _SHOWN, _below + page_sql("ch", _d, _n, _m))
+
 # Paths
 
 

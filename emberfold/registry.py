@@ -39,12 +39,23 @@ def default_alias(source: Path) -> str:
     return source.stem if valid_alias(source.stem) else "default"
 
 
+def _real(path: Path, right: Callable[[], bool]) -> None:
+    """``path`` must not exist, or be of the right kind and no link."""
+    if path.is_symlink() or (path.exists() and not right()):
+        raise _corrupt("Part of the registry is a link or of another kind", path=text_of(path))
+
+
+def text_of(path: Path) -> str:
+    """A path as text that JSON can hold, also where its bytes aren't UTF-8."""
+    return os.fsencode(path).decode("utf-8", "replace")
+
+
 def discover(start: Path) -> Path | None:
     """The registry of the nearest folder upwards that has one."""
     for folder in (start.resolve(), *start.resolve().parents):
         state = folder / FOLDER
-        if state.is_symlink() or (state / MANIFEST).is_symlink():
-            raise _corrupt("The registry must not be a link", path=str(state))
+        _real(state, state.is_dir)
+        _real(state / MANIFEST, (state / MANIFEST).is_file)
         if (state / MANIFEST).exists():
             return state
     return None
@@ -52,7 +63,7 @@ def discover(start: Path) -> Path | None:
 
 def _required(start: Path) -> Path:
     if (state := discover(start)) is None:
-        raise ApiError("workspace_not_registered", "There is no registry in this folder or above it", {"cwd": str(start)}, "Register a profile first.")
+        raise ApiError("workspace_not_registered", "There is no registry in this folder or above it", {"cwd": text_of(start)}, "Register a profile first.")
     return state
 
 
@@ -87,39 +98,53 @@ def _write(path: Path, data: bytes) -> None:
 
 @contextlib.contextmanager
 def _locked(state: Path) -> Iterator[None]:
-    with open(state / "lock", "a") as f:
+    path = state / "lock"
+    _real(path, path.is_file)
+    try:
+        handle = os.open(path, os.O_RDWR | os.O_CREAT | os.O_NOFOLLOW, 0o644)
+    except OSError as e:
+        raise _corrupt("The lock can't be opened", path=text_of(path)) from e
+    with os.fdopen(handle, "r+") as f:
         try:
             fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
         except OSError as e:
-            raise ApiError("registry_busy", "Another process is changing the registry", {"path": str(state)}, "Try again soon.") from e
+            raise ApiError("registry_busy", "Another process is changing the registry", {"path": text_of(state)}, "Try again soon.") from e
+        opened, there = os.fstat(f.fileno()), os.lstat(path)
+        if (opened.st_dev, opened.st_ino) != (there.st_dev, there.st_ino):
+            raise _corrupt("The lock was replaced while it was taken", path=text_of(path))
         yield
 
 
+def _checked(alias: str) -> None:
+    if not valid_alias(alias):
+        raise ApiError("invalid_profile_alias", f"Not an alias: {alias}", {"alias": alias}, "Use letters, digits, dots, underscores and hyphens, 64 at most.")
+
+
 def register(workspace: Path, source: Path, alias: str | None, most_bytes: int, check: Callable[[Path], None]) -> dict:
     """Stores the bytes of ``source`` under their hash and makes ``alias`` name them and active. ``check`` raises if the profile is invalid; nothing is written then."""
     alias = default_alias(source) if alias is None else alias
-    if not valid_alias(alias):
-        raise ApiError("invalid_profile_alias", f"Not an alias: {alias}", {"alias": alias}, "Use letters, digits, dots, underscores and hyphens, 64 at most.")
+    _checked(alias)
     if not source.exists():
-        raise ApiError("profile_not_found", f"No profile at {source}", {"profile": str(source)}, "Give the path of an existing file.")
+        raise ApiError("profile_not_found", f"No profile at {text_of(source)}", {"profile": text_of(source)}, "Give the path of an existing file.")
     if not source.is_file():
-        raise ApiError("not_a_regular_file", "A profile must be a regular file", {"profile": str(source)}, "Give the path of a file.")
+        raise ApiError("not_a_regular_file", "A profile must be a regular file", {"profile": text_of(source)}, "Give the path of a file.")
     if source.stat().st_size > most_bytes:
         raise ApiError("profile_too_large", "The profile is larger than the limit", {"byte_len": source.stat().st_size, "limit": most_bytes}, "Raise the limit or make a smaller profile.")
     check(source)
     state = workspace.resolve() / FOLDER
-    if state.is_symlink():
-        raise _corrupt("The registry must not be a link", path=str(state))
-    (state / BLOBS).mkdir(parents=True, exist_ok=True)
+    for folder in (state, state / BLOBS):
+        _real(folder, folder.is_dir)
+        folder.mkdir(parents=True, exist_ok=True)
     data = source.read_bytes()
     own = hashlib.sha256(data).hexdigest()
     with _locked(state):
+        _real(state / MANIFEST, (state / MANIFEST).is_file)
         m = _load(state) if (state / MANIFEST).exists() else {"schema_version": 1, "active": alias, "profiles": {}}
         blob, new = state / BLOBS / f"{own}.folded", False
         if not (blob.is_file() and not blob.is_symlink() and fingerprint(blob) == own):
             _write(blob, data)
             new = True
-        m["profiles"][alias] = {"fingerprint": own, "file": f"{BLOBS}/{own}.folded", "source_name": source.name, "byte_len": len(data), "registered_unix_ms": int(time.time() * 1000)}
+        m["profiles"][alias] = {"fingerprint": own, "file": f"{BLOBS}/{own}.folded", "source_name": text_of(Path(source.name)), "byte_len": len(data), "registered_unix_ms": int(time.time() * 1000)}
         m["active"] = alias
         try:
             _write(state / MANIFEST, json.dumps(m, indent=1, sort_keys=True).encode())
@@ -134,9 +159,11 @@ def resolve(workspace: Path, alias: str | None, most_bytes: int) -> tuple[str, d
     state = _required(workspace)
     m = _load(state)
     alias = m["active"] if alias is None else alias
+    _checked(alias)
     if alias not in m["profiles"]:
         raise ApiError("profile_alias_not_found", f"No profile is registered as {alias}", {"alias": alias}, "List the aliases.")
     entry = m["profiles"][alias]
+    _real(state / BLOBS, (state / BLOBS).is_dir)
     path = state / entry["file"]
     if path.is_symlink() or not path.is_file() or path.stat().st_size != entry["byte_len"]:
         raise _corrupt("A stored profile is absent or has another length", alias=alias)
@@ -148,11 +175,12 @@ def resolve(workspace: Path, alias: str | None, most_bytes: int) -> tuple[str, d
 def status(workspace: Path) -> dict:
     state = _required(workspace)
     m = _load(state)
-    return {"registry_root": str(state), "active": m["active"], "profiles": [{"alias": a, **m["profiles"][a]} for a in sorted(m["profiles"])]}
+    return {"registry_root": text_of(state), "active": m["active"], "profiles": [{"alias": a, **m["profiles"][a]} for a in sorted(m["profiles"])]}
 
 
 def set_active(workspace: Path, alias: str) -> dict:
     state = _required(workspace)
+    _checked(alias)
     with _locked(state):
         m = _load(state)
         if alias not in m["profiles"]:
@@ -165,6 +193,7 @@ def set_active(workspace: Path, alias: str) -> dict:
 def gc(workspace: Path, dry_run: bool = False) -> dict:
     """Removes stored profiles that no alias names; what isn't a stored profile is only reported."""
     state = _required(workspace)
+    _real(state / BLOBS, (state / BLOBS).is_dir)
     with _locked(state):
         kept = {e["file"] for e in _load(state)["profiles"].values()}
         removed, skipped = [], []
@@ -176,4 +205,4 @@ def gc(workspace: Path, dry_run: bool = False) -> dict:
                 removed.append(name)
                 if not dry_run:
                     path.unlink()
-    return {"registry_root": str(state), "dry_run": dry_run, "removed": removed, "skipped": skipped}
+    return {"registry_root": text_of(state), "dry_run": dry_run, "removed": removed, "skipped": skipped}

@@ -10,7 +10,7 @@ import json
 import sys
 from typing import Any, TextIO
 
-from .api import Engine
+from .api import SCHEMA_VERSION, Engine
 from .errors import ApiError
 from .operators.paths import FrameWindow
 
@@ -42,6 +42,44 @@ def schema_of(tool: str) -> dict:
     return {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
 
 
+_ANY, _LIST, _NULLABLE = {"type": "object"}, lambda x: {"type": "array", "items": x}, lambda kind: {"type": [kind, "null"]}
+
+
+def _object(**properties: Any) -> dict:
+    return {"type": "object", "properties": properties, "required": sorted(properties)}
+
+
+_ROW = _object(frame_id=_I, name=_S, self_weight=_I, inclusive_weight=_I, stack_count=_I, profile_percent=_N, scope_percent=_N)
+_NODE = _object(
+    node_id=_NULLABLE("integer"), frame_id=_NULLABLE("integer"), name=_NULLABLE("string"), self_weight=_I, total_weight=_I, profile_percent=_N, scope_percent=_N, omitted_children=_I, omitted_weight=_I, children=_LIST({"$ref": "#/$defs/node"})
+)
+_NEXT = _object(node_id=_I, frame_id=_I, name=_S, reason={"enum": ["depth_limit", "min_scope_percent", "node_budget"]}, profile_fingerprint=_NULLABLE("string"), total_weight=_I, profile_percent=_N, scope_percent=_N)
+_PLACES = {k: _I for k in ("total_depth", "requested_frame_start", "requested_frame_end", "frame_start", "frame_end", "omitted_before", "omitted_after", "budget_omitted_before", "budget_omitted_after")}
+_PATH = _object(frames=_LIST(_S), weight=_I, profile_percent=_N, scope_percent=_N, target_positions=_LIST(_I), display_target_positions=_LIST(_I), **_PLACES)
+_BUDGET = _object(**{k: _I for k in ("limit", "available", "returned", "omitted", "selected_paths", "returned_paths", "omitted_paths", "cropped_paths")})
+_DELTA = _object(name=_S, baseline_weight=_I, candidate_weight=_I, baseline_percent=_N, candidate_percent=_N, delta_pp=_N)
+_DIRECTED = _object(frame=_ROW, root={"$ref": "#/$defs/node"})
+#: The schema of each tool's ``data``; the two that aren't here give any object.
+_DATA = {
+    "top": _object(sort=_S, focus=_NULLABLE("integer"), rows=_LIST(_ROW)),
+    "tree": _object(root={"$ref": "#/$defs/node"}, continuations=_LIST(_NEXT), continuations_truncated={"type": "boolean"}, continuation_limit=_I, continuations_available=_I, continuations_omitted=_I),
+    "callers": _DIRECTED,
+    "callees": _DIRECTED,
+    "paths": _object(through=_I, paths=_LIST(_PATH), total_frame_budget=_BUDGET),
+    "diff": _object(metric=_S, sort=_S, rows=_LIST(_DELTA)),
+}
+
+
+def output_schema_of(tool: str) -> dict:
+    """A result's envelope, or an error's four fields."""
+    meta = {"type": "object", "properties": {"canonical_path": _S, "fingerprint": _S, "byte_len": _I, "modified_unix_ms": _NULLABLE("integer"), "alias": _S}}
+    profiles, scope = (["baseline", "candidate"], _object(baseline=_I, candidate=_I)) if tool == "diff" else (["profile"], _I)
+    own = {"schema_version": {"type": "string", "const": SCHEMA_VERSION}, **{p: meta for p in profiles}, "scope_weight": scope, "truncated": {"type": "boolean"}, "truncation_reasons": _LIST(_object(kind=_S)), "warnings": _LIST(_S)}
+    error = {"code": _S, "message": _S, "details": {}, "retry_hint": _S}
+    out = {"type": "object", "properties": {**own, "data": {"$ref": "#/$defs/data"} if tool in _DATA else _ANY, **error}, "anyOf": [{"required": [*own, "data"]}, {"required": list(error)}]}
+    return out | {"$defs": {"data": _DATA[tool], "node": _NODE}} if tool in _DATA else out
+
+
 def fits(value: Any, schema: dict) -> bool:
     """Whether a value has the shape that the schema states; only what the schemas above use."""
     if "oneOf" in schema:
@@ -102,7 +140,7 @@ class Server:
         if method == "ping":
             return reply | {"result": {}}
         if method == "tools/list":
-            return reply | {"result": {"tools": [{"name": f"profile_{n}", "description": d, "inputSchema": schema_of(n)} for n, (d, _, _) in TOOLS.items()]}}
+            return reply | {"result": {"tools": [{"name": f"profile_{n}", "description": d, "inputSchema": schema_of(n), "outputSchema": output_schema_of(n)} for n, (d, _, _) in TOOLS.items()]}}
         if method != "tools/call":
             return reply | {"error": {"code": -32601, "message": "no such method"}}
         name, arguments = str(params.get("name", "")).removeprefix("profile_"), params.get("arguments") or {}
@@ -119,5 +157,6 @@ class Server:
             except ValueError:
                 reply = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}}
             if reply is not None:
-                target.write(json.dumps(reply, ensure_ascii=False) + "\n")
+                # what isn't text of Unicode, such as half of a surrogate pair, must not end the server
+                target.write(json.dumps(reply, ensure_ascii=False).encode("utf-8", "replace").decode() + "\n")
                 target.flush()

@@ -35,15 +35,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like :func:`materialize`, as a compressed table of columns, for wide rows that are read more than once; it goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder, which is removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(conf).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`materialize`, as a compressed table of columns, for wide rows that are read more than once; it goes when the application ends."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

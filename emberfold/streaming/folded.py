@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from ..operators.badrows import with_errors
 
 
+def _checked(spark: SparkSession, folder: str) -> DataFrame:
+    lines = spark.readStream.option("lineSep", "\n").text(folder)
+    return with_errors(lines.select(F.lit("folded").alias("fmt"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")))
+
+
 def arriving_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The records ``frames, weight`` of the files that arrive in ``folder``, as a stream; lines that don't parse are left out."""
-    lines = spark.readStream.option("lineSep", "\n").text(folder).select(F.lit("folded").alias("fmt"), F.col("value").alias("line"))
-    return with_errors(lines).where("size(__errors) = 0 and not __blank").select(F.col("__frames").alias("frames"), F.col("__weight").alias("weight"))
+    """The records ``frames, weight`` of the files that arrive in ``folder``, as a stream. A stream can't stop at the first bad line as a file's reader does; :func:`arriving_failures` gives those lines."""
+    return _checked(spark, folder).where("size(__errors) = 0 and not __blank").select(F.col("__frames").alias("frames"), F.col("__weight").alias("weight"))
+
+
+def arriving_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of arriving files that don't parse, as a stream of their own: ``file, reason, preview``."""
+    preview = F.regexp_replace(F.left("line", F.lit(200)), r"\p{Cc}", "�")
+    return _checked(spark, folder).where("size(__errors) > 0").select("file", F.get("__errors", F.lit(0)).alias("reason"), preview.alias("preview"))
 
 
 def running_weights(records: DataFrame) -> DataFrame:

@@ -170,6 +170,11 @@ def test_diff(engine, profile):
         (b"root;A 0\n", "invalid_weight"),
         (b"root;A -5\n", "invalid_weight"),
         (b"root;A 1.5\n", "invalid_weight"),
+        (b"a;;b 9007199254740993\n", "invalid_folded_line"),
+        (b"a 9007199254740993\nb nope\n", "invalid_weight"),
+        (b"a 18446744073709551615\n", "weight_overflow"),
+        (b"a 18446744073709551615\nb 1\na 1\nc nope\n", "weight_overflow"),
+        (b"a 18446744073709551615\nc nope\na 1\n", "invalid_weight"),
         (b"root;A 18446744073709551616\n", "weight_overflow"),
         (b"a 9007199254740991\nb 1\n", "weight_overflow"),
     ],
@@ -185,7 +190,7 @@ def test_parser(spark, tmp_path, text, expected):
 
 @pytest.mark.parametrize(
     "limits, text, expected",
-    [(Limits(depth=2), "a;b;c 1\n", "stack_too_deep"), (Limits(line_bytes=3), "a 1\n", "invalid_folded_line"), (Limits(total_weight=2), "a 3\n", "weight_overflow"), (Limits(file_bytes=3), "a 1\n", "profile_too_large"), (Limits(frames=1), "a;b 1\n", "too_many_frames")],
+    [(Limits(depth=2), "a;b;c 1\n", "stack_too_deep"), (Limits(line_bytes=3), "a 1\n", "invalid_folded_line"), (Limits(line_bytes=3), "a 1\na 1\nab 1", "invalid_folded_line"), (Limits(frames=1), "a 1\nb 1\nc nope\n", "too_many_frames"), (Limits(frames=1), "a 1\nc nope\nb 1\n", "invalid_weight"), (Limits(total_weight=2), "a 3\n", "weight_overflow"), (Limits(file_bytes=3), "a 1\n", "profile_too_large"), (Limits(frames=1), "a;b 1\n", "too_many_frames")],
 )
 def test_limits(spark, tmp_path, limits, text, expected):
     path = tmp_path / "p.folded"
@@ -194,7 +199,7 @@ def test_limits(spark, tmp_path, limits, text, expected):
 
 
 def test_stream(spark, tmp_path):
-    from emberfold.streaming.folded import arriving_lines, running_weights
+    from emberfold.streaming.folded import arriving_failures, arriving_lines, running_weights
 
     (tmp_path / "a.folded").write_text("root;A 3\nbad\n")
     (tmp_path / "b.folded").write_text("root;A;root 4\n")
@@ -202,3 +207,26 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("running").collect()} == {("root", 4, 7), ("A", 3, 7)}
+    q = arriving_failures(spark, str(tmp_path)).writeStream.format("memory").queryName("failures").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["file"].rsplit("/", 1)[1], r["reason"], r["preview"]) for r in spark.table("failures").collect()] == [("a.folded", "invalid_folded_line", "bad")]
+
+
+def test_a_last_line_without_line_feed(spark, tmp_path):
+    """A line's bound counts its line feed, which a last line may lack."""
+    path = tmp_path / "p.folded"
+    path.write_bytes(b"a 1\na 2")
+    assert read_profile(spark, str(path), Limits(line_bytes=4)).total_weight == 3
+    path.write_bytes(b"abc 1\na 2")
+    with pytest.raises(ApiError) as e:
+        read_profile(spark, str(path), Limits(line_bytes=5))
+    assert e.value.details["line"] == 1
+
+
+def test_the_line_that_first_goes_wrong_is_named(spark, tmp_path):
+    path = tmp_path / "p.folded"
+    path.write_bytes(b"a 18446744073709551615\nb 1\n\na 1\nc nope\n")
+    with pytest.raises(ApiError) as e:
+        read_profile(spark, str(path))
+    assert (e.value.code, e.value.details["line"]) == ("weight_overflow", 4)

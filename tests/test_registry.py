@@ -34,6 +34,30 @@ def test_register_replace_and_collect(tmp_path):
     sub.mkdir(parents=True)
     assert R.resolve(sub, None, 10**6)[0] == "other" and R.set_active(sub, "first")["active"] == "first"
     assert code(R.resolve, tmp_path, "absent", 10**6) == "profile_alias_not_found"
+    assert code(R.resolve, tmp_path, "../../bad", 10**6) == code(R.set_active, tmp_path, "a/b") == "invalid_profile_alias"
+
+
+@pytest.mark.parametrize("part", ["", "lock", R.BLOBS, R.MANIFEST])
+def test_links_are_refused(tmp_path, part):
+    work, outside = tmp_path / "work", tmp_path / "outside"
+    work.mkdir()
+    outside.mkdir()
+    if part:
+        (work / R.FOLDER).mkdir()
+    target = outside / "file" if part in ("lock", R.MANIFEST) else outside
+    (work / R.FOLDER / part).symlink_to(target)
+    assert code(put, work, "p.folded", "a 1\n") == "registry_corrupt"
+    assert not list(outside.iterdir())
+
+
+def test_a_path_that_is_no_text(tmp_path):
+    import os
+
+    work = tmp_path / os.fsdecode(b"\xff-work")
+    work.mkdir()
+    put(work, "p.folded", "a 1\n")
+    json.dumps(R.status(work), ensure_ascii=False).encode()
+    assert "\ufffd-work" in R.text_of(R.resolve(work, None, 10)[2])
 
 
 def test_refusals(tmp_path):
@@ -78,7 +102,12 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "bad.folded").write_text("root;A 3\nroot;;A 1\n")
     assert main(["register", "bad.folded"]) == 1 and '"line": 2' in capsys.readouterr().err
     assert main(["register", "good.folded"]) == main(["register", "good.folded", "--name", "again"]) == 0
+    for args in (["--version"], ["serve"]):
+        with pytest.raises(SystemExit):
+            main(args)
+    assert capsys.readouterr().out.splitlines()[-1].startswith("emberfold ")
     assert main(["use", "good"]) == main(["list"]) == main(["gc", "--dry-run"]) == 0
-    assert "* good" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "active alias=good" in out and "* good" in out and "dry_run=true" in out
     assert main(["query", "paths", '{"through": {"frame_name": "A"}, "frame_window": {"mode": "head", "lines": 1}}']) == 0
     assert json.loads(capsys.readouterr().out)["data"]["paths"][0]["frames"] == ["root"]

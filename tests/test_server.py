@@ -5,7 +5,7 @@ import pytest
 
 from emberfold import registry as R
 from emberfold.api import Engine
-from emberfold.server import MOST_TEXT, Server, short
+from emberfold.server import MOST_TEXT, Server, output_schema_of, short
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,32 @@ def test_protocol(ask):
     replies = [json.loads(x) for x in out.getvalue().splitlines()]
     assert [r.get("id") for r in replies] == [1, None, 2, 3] and replies[3]["error"]["code"] == -32601
     assert [t["name"] for t in replies[2]["result"]["tools"]] == [f"profile_{x}" for x in ("summary", "find_symbols", "top", "tree", "callers", "callees", "paths", "diff")]
+    for t in replies[2]["result"]["tools"]:
+        schema = t["outputSchema"]
+        assert schema["type"] == "object" and schema["properties"]["schema_version"] == {"type": "string", "const": "2"}
+        assert "truncation_reasons" in schema["anyOf"][0]["required"] and schema["anyOf"][1]["required"] == ["code", "message", "details", "retry_hint"]
+        assert ("$ref" in schema["properties"]["data"]) == (t["name"] not in ("profile_summary", "profile_find_symbols"))
+
+
+def conforms(value, schema, whole):
+    """Only what the schemas use."""
+    if "$ref" in schema:
+        return conforms(value, whole["$defs"][schema["$ref"].rsplit("/", 1)[1]], whole)
+    if "enum" in schema:
+        return value in schema["enum"]
+    kinds = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
+    if "type" in schema and not any(isinstance(value, kinds[k]) for k in ([schema["type"]] if isinstance(schema["type"], str) else schema["type"])):
+        return False
+    if isinstance(value, dict):
+        return set(schema.get("required", ())) <= set(value) and all(conforms(v, schema["properties"][k], whole) for k, v in value.items() if k in schema.get("properties", {}))
+    return not isinstance(value, list) or all(conforms(v, schema["items"], whole) for v in value)
+
+
+def test_results_have_the_shape_they_state(ask):
+    frame = {"frame": {"frame_name": "A"}}
+    for tool, arguments in (("summary", {}), ("find_symbols", {"query": "A"}), ("top", {}), ("tree", {"max_depth": 1}), ("callers", frame), ("callees", frame), ("paths", {"through": {"frame_name": "A"}}), ("diff", {"baseline": "p", "candidate": "p"})):
+        schema, r = output_schema_of(tool), ask(f"profile_{tool}", **arguments)["result"]["structuredContent"]
+        assert set(schema["anyOf"][0]["required"]) <= set(r) and conforms(r, schema, schema), tool
 
 
 def test_shapes_are_protocol_errors_and_values_are_results(ask):
