@@ -5,10 +5,11 @@ A profile is ``frames array<string>, weight bigint``, one row a unique stack wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import percent
+from ..storage import materialize
 
 UNKNOWN = "[unknown]"
 
@@ -35,11 +36,21 @@ def totals(stacks: DataFrame) -> DataFrame:
 def frame_ids(stacks: DataFrame, line: str = "frames") -> DataFrame:
     """``frame_id, name``: ids from 0 by first appearance, in the order of ``line`` and then of the place in the stack.
 
-    ``line`` is the line number of a file, or anything that orders the stacks, such as the stack itself. The final numbering ranks frame names only, of which a profile has few.
+    ``line`` is the line number of a file, or anything that orders the stacks, such as the stack itself.
     """
     seen = stacks.select(F.col(line).alias("line"), F.posexplode("frames").alias("pos", "name"))
     first = seen.groupBy("name").agg(F.min(F.struct("line", "pos")).alias("at"))
-    return first.select((F.expr("row_number() over (order by at)") - 1).cast("bigint").alias("frame_id"), "name")
+    return numbered_by(first, "at", "frame_id").select("frame_id", "name")
+
+
+def numbered_by(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their place from 0 in the order of ``order``, whose values differ, without one task that sees all: sorted by ranges, counted by range, and shifted."""
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    local = rows.repartitionByRange(parts, order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
+    fixed = materialize(local)
+    # one row a range
+    sizes = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).drop("n")
+    return fixed.join(F.broadcast(sizes), "__part").withColumn(name, (F.col("__row") + F.col("__before")).cast("bigint")).drop("__part", "__row", "__before", order)
 
 
 def frame_stats(stacks: DataFrame, *by: str) -> DataFrame:
@@ -64,8 +75,6 @@ def order_of(metric: str) -> list[Column]:
 
 def numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows with their ``rank``; at most ``limit`` rows are ranked in one task."""
-    from pyspark.sql import Window
-
     return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 

@@ -1,75 +1,122 @@
 """The calling-context tree and its budgeted pages, as sets of prefixes.
 
-A node is a distinct prefix of stacks, so the tree is one aggregation and depth never means recursion. Depth-first order is the order of a key: the list, from the page's root
+A node is a distinct prefix of stacks, told by a hash that each prefix makes of the one before, so the tree is one aggregation of narrow rows and depth never means recursion; its path comes from one of its stacks. Depth-first order is the order of a key: the list, from the page's root
 down, of each node's negative total and name. Sorting by it and taking the first nodes is what a walk with a node budget does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import percent, prefix_of
 from ..storage import materialize
+from .profile import numbered_by
 
 CONTINUATIONS = 128
+#: The most frame names that are sent to every task.
+MOST_NAMES_SENT = 200_000
 
 
-def nodes(stacks: DataFrame, root: list[str] | None = None, levels: int | None = None) -> DataFrame:
-    """``path, depth, self_weight, total_weight`` of each node at or below ``root``, down to ``levels`` below it; ``path`` and ``depth`` count from ``root``. The depth is bounded before stacks multiply."""
-    root = root or []
+def _next(last: Column, name: Column) -> Column:
+    return F.struct(F.xxhash64(last["a"], name).alias("a"), F.xxhash64(F.lit("b"), last["b"], name).alias("b"), last["a"].alias("ua"), last["b"].alias("ub"))
+
+
+def _hash(frames: Column) -> Column:
+    """A 128-bit hash ``a, b`` of ``frames``, made of that of all but the last, ``ua, ub``, and the last name."""
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(frames, F.struct(*[zero.alias(c) for c in ("a", "b", "ua", "ub")]), _next)
+
+
+def _hashes(frames: Column) -> Column:
+    """The hashes of all prefixes of ``frames``, from none to all."""
+    return F.aggregate(frames, F.array(_hash(F.array().cast("array<string>"))), lambda acc, x: F.concat(acc, F.array(_next(F.element_at(acc, -1), x))))
+
+
+def _below(stacks: DataFrame, root: list[str]) -> DataFrame:
+    """The stacks at or below ``root`` without it, each with a hash of its own."""
     own = stacks
     if root:
         own = stacks.where(F.slice("frames", 1, len(root)) == F.array(*[F.lit(x) for x in root]))
-    below = F.slice("frames", F.lit(len(root) + 1), F.greatest(F.size("frames") - len(root), F.lit(0))) if root else F.col("frames")
-    rest = own.select(below.alias("frames"), "weight")
+        own = own.select(F.slice("frames", F.lit(len(root) + 1), F.greatest(F.size("frames") - len(root), F.lit(0))).alias("frames"), "weight")
+    # with the weight, so that both uses of the stacks need the same columns and one exchange serves both
+    return own.select("frames", "weight", F.xxhash64("frames", "weight").alias("s"))
+
+
+def hashed_nodes(own: DataFrame, levels: int | None = None) -> DataFrame:
+    """``a, b, ua, ub, depth, self_weight, total_weight, s``: each node by the hashes of its path and of its parent's, with one stack that it stands in. What is shuffled is linear in the depth."""
     n = F.size("frames")
-    last = n if levels is None else F.least(n, F.lit(levels))
-    each = rest.select("weight", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("depth"), "frames").select(prefix_of(F.col("frames"), F.col("depth")).alias("path"), "depth", "weight", (F.col("n") == F.col("depth")).alias("ends"))
-    return each.groupBy("path").agg(F.first("depth").cast("bigint").alias("depth"), F.sum(F.when(F.col("ends"), F.col("weight")).otherwise(0)).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("total_weight"))
+    kept = F.col("frames") if levels is None else F.slice("frames", F.lit(1), F.least(n, F.lit(levels)))
+    each = own.select("weight", "s", n.alias("n"), F.posexplode(_hashes(kept)).alias("depth", "p")).select("p.*", "depth", "weight", "s", (F.col("n") == F.col("depth")).alias("ends"))
+    return each.groupBy("a", "b").agg(
+        F.first("ua").alias("ua"), F.first("ub").alias("ub"), F.first("depth").alias("depth"),
+        F.sum(F.when(F.col("ends"), F.col("weight")).otherwise(0)).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("total_weight"), F.min("s").alias("s"),
+    )
+
+
+def with_paths(found: DataFrame, own: DataFrame, *columns: Column | str) -> DataFrame:
+    """``path`` and ``columns`` of nodes: each takes its path from its one stack; should two stacks have that stack's hash, the first half of the path's own tells which."""
+    paths = found.join(own.drop("weight"), "s").withColumn("path", prefix_of(F.col("frames"), F.col("depth")))
+    chain = F.aggregate("path", F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x))
+    return paths.where(chain == F.col("a")).select("path", *columns)
 
 
-def numbered_by(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """``rows`` with their place from 0 in the order of ``order``, whose values differ, without one task that sees all: sorted by ranges, counted by range, and shifted."""
-    parts = rows.sparkSession.sparkContext.defaultParallelism * 2
-    local = rows.repartitionByRange(parts, order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
-    fixed = materialize(local)
-    # one row a range
-    sizes = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).drop("n")
-    return fixed.join(F.broadcast(sizes), "__part").withColumn(name, (F.col("__row") + F.col("__before")).cast("bigint")).drop("__part", "__row", "__before")
+def nodes(stacks: DataFrame, root: list[str] | None = None, levels: int | None = None) -> DataFrame:
+    """``path, depth, self_weight, total_weight`` of each node at or below ``root``, down to ``levels`` below it; ``path`` and ``depth`` count from ``root``. The depth is bounded before stacks multiply."""
+    own = _below(stacks, root or [])
+    return with_paths(hashed_nodes(own, levels), own, F.col("depth").cast("bigint").alias("depth"), "self_weight", "total_weight")
 
 
 def node_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node_id, path, self_weight, total_weight`` of the whole tree: ids rank the nodes by the frame ids of their paths, the root being 0. ``ids`` is ``frame_id, name``."""
-    known = materialize(stacks.withColumn("__s", F.monotonically_increasing_id()))  # numbers must stay, also where a task runs again
-    coded = (
-        known.select("__s", "weight", F.posexplode("frames").alias("pos", "name"))
-        .join(ids, "name")
-        .groupBy("__s")
-        .agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("pos", F.col("frame_id").cast("int").alias("id"), "name"))).alias("f"))
-        .select(F.col("f").alias("frames"), "weight")
-    )
-    each = nodes(coded)
-    out = each.select(F.transform("path", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("path", lambda x: x["name"]), ";").alias("path"), "self_weight", "total_weight")
-    return numbered_by(out, "ids", "node_id").drop("ids")
-
-
-def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes: int, min_percent: float) -> tuple[DataFrame, DataFrame]:
-    """Rendered nodes and all nodes down to one level below the page, both with ``key`` and ``scope``."""
-    every = nodes(stacks, root, max_depth + 1)
-    # the root stands for all stacks below it
-    every = every.withColumn("scope", every.where("depth = 0").select("total_weight").scalar()).withColumn("scope_percent", percent(F.col("total_weight"), F.col("scope")))
-    fits = (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent)
-    inside = materialize(every.withColumn("fits", fits))
-    steps = (
-        inside.where((F.col("depth") <= max_depth) & F.col("fits"))
-        .select("path", F.explode(F.sequence(F.lit(0), F.col("depth").cast("int"))).alias("d"))
-        .select("path", "d", prefix_of(F.col("path"), F.col("d")).alias("up"))
-    )
-    weighed = inside.select(F.col("path").alias("up"), F.col("total_weight").alias("t"))
-    keys = steps.join(weighed, "up").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "t", "up"))), lambda x: F.struct((-x["t"]).alias("t"), F.try_element_at(x["up"], F.lit(-1)).alias("name"))).alias("key"))
-    shown = keys.orderBy("key").limit(max_nodes).join(inside, "path")
-    return materialize(shown), inside
+    """``node_id, path, self_weight, total_weight`` of the whole tree: ids rank the nodes by the frame ids of their paths, the root being 0. ``ids`` is ``frame_id, name``.
+
+    Stacks get their frames' ids once, where the names are few enough to be sent (``MOST_NAMES_SENT``) without a shuffle; a node takes its ids from its one stack.
+    """
+    own = materialize(_coded(_below(stacks, []), ids))
+    found = with_paths(hashed_nodes(own), own, F.slice("ids", F.lit(1), F.col("depth")).alias("ids"), "self_weight", "total_weight")
+    return numbered_by(found.withColumn("path", F.array_join("path", ";")), "ids", "node_id")
+
+
+def _coded(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds ``ids``, the frame ids of each stack."""
+    if ids.count() > MOST_NAMES_SENT:
+        each = own.select("s", "weight", "frames", F.posexplode("frames").alias("pos", "name")).join(ids, "name").groupBy("s", "frames").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("pos", "frame_id"))).alias("f"))
+        return each.select("frames", "weight", "s", F.transform("f", lambda x: x["frame_id"]).alias("ids"))
+    known = {r["name"]: r["frame_id"] for r in ids.collect()}
+    sent = own.sparkSession.sparkContext.broadcast(known)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, numbers = pa.array(list(sent.value), pa.string()), pa.array(list(sent.value.values()), pa.int64())
+        for batch in batches:
+            frames = batch.column(0)
+            own_ids = numbers.take(pc.index_in(frames.flatten(), value_set=names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pc.subtract(frames.offsets, frames.offsets[0]), own_ids)], names=["frames", "weight", "s", "ids"])
+
+    return own.mapInArrow(code, "frames array<string>, weight bigint, s bigint, ids array<bigint>")
+
+
+def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes: int, min_percent: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rendered nodes with ``path`` and ``key``, all nodes down to one level below the page, and the stacks."""
+    own = materialize(_below(stacks, root or []))
+    every = materialize(hashed_nodes(own, max_depth + 1))
+    top = every.where("depth = 0").first()
+    inside = every.withColumn("scope_percent", percent(F.col("total_weight"), F.lit(top["total_weight"] if top else 0))).withColumn("fits", (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent))
+    # in this order a node comes behind all heavier siblings, so only max_nodes of a parent can show; a parent's rows are cut before they are shuffled
+    tied = F.rank().over(Window.partitionBy("ua", "ub", F.col("depth") == 0).orderBy(F.desc("total_weight")))
+    shorter = inside.where((F.col("depth") <= max_depth) & F.col("fits")).withColumn("__r", tied).where(F.col("__r") <= max_nodes)
+    candidates = materialize(with_paths(shorter, own, "a", "b", F.col("depth").cast("bigint").alias("depth"), "self_weight", "total_weight", "scope_percent"))
+    steps = candidates.select(F.col("a").alias("x"), F.col("b").alias("y"), "path", F.explode(_hashes(F.col("path"))).alias("p")).select("x", "y", "path", "p.a", "p.b")
+    weighed = candidates.select("a", "b", F.col("depth").cast("int").alias("d"), F.col("total_weight").alias("t"))
+    keys = steps.join(weighed, ["a", "b"]).groupBy("x", "y").agg(F.first("path").alias("path"), F.array_sort(F.collect_list(F.struct("d", "t"))).alias("k"))
+    keys = keys.select("x", "y", F.transform("k", lambda k: F.struct((-k["t"]).alias("t"), F.when(k["d"] > 0, F.get("path", k["d"] - 1)).alias("name"))).alias("key"), F.size("path").alias("n"), F.size("k").alias("m"))
+    # a node whose ancestor was cut is cut
+    first = keys.where("m = n + 1").orderBy("key").limit(max_nodes)
+    shown = first.join(candidates, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))).drop("x", "y", "n", "m")
+    return materialize(shown), inside, own
 
 
 def tree_page(stacks: DataFrame, root: list[str] | None = None, max_depth: int = 4, max_nodes: int = 64, min_percent: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -78,14 +125,13 @@ def tree_page(stacks: DataFrame, root: list[str] | None = None, max_depth: int =
 
     The reason is the first that holds of ``depth_limit``, ``min_scope_percent`` (below ``min_percent``) and ``node_budget``; ``key`` orders them as a walk meets them. The root always shows.
     """
-    shown, inside = _page(stacks, root, max_depth, max_nodes, min_percent)
-    child = inside.where("depth > 0").withColumn("parent", prefix_of(F.col("path"), F.size("path") - 1))
-    parents = shown.select(F.col("path").alias("parent"), F.col("key").alias("parent_key"))
+    shown, inside, own = _page(stacks, root, max_depth, max_nodes, min_percent)
     # at most max_nodes rows
-    left = child.join(F.broadcast(parents), "parent").join(F.broadcast(shown.select("path")), "path", "left_anti")
+    parents = F.broadcast(shown.select(F.col("a").alias("ua"), F.col("b").alias("ub"), F.col("key").alias("parent_key")))
+    left = inside.where("depth > 0").join(parents, ["ua", "ub"]).join(F.broadcast(shown.select("a", "b")), ["a", "b"], "left_anti")
     reason = F.when(F.col("depth") > max_depth, "depth_limit").when(~F.col("fits"), "min_scope_percent").otherwise("node_budget")
     key = F.concat("parent_key", F.array(F.struct((-F.col("total_weight")).alias("t"), F.element_at("path", -1).alias("name"))))
-    omitted = left.select("path", "depth", "total_weight", "scope_percent", reason.alias("reason"), key.alias("key"))
+    omitted = with_paths(left, own, F.col("depth").cast("bigint").alias("depth"), "total_weight", "scope_percent", reason.alias("reason"), key.alias("key"))
     rank = F.row_number().over(Window.orderBy("key")).cast("bigint")
     return shown.select(rank.alias("rank"), "path", "depth", "self_weight", "total_weight", "scope_percent"), omitted
 
