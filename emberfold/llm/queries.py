@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .heavy_hitters import exact_figures, frequent_items
+from .heavy_hitters import exact_figures, frequent_items, repeats_of
 from ..storage import materialize
 from .language import LANGUAGES, languages
 from .leakage import leaked_items
@@ -26,10 +26,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_patterns(spark, d).select("steps", F.explode(F.array_compact(F.array(by_stacks, by_weight))).alias("basis"))
 
 
+def _candidates(hits: DataFrame) -> DataFrame:
+    more = repeats_of(hits, **{k: HITS[k] for k in ("key", "item", "weight")})
+    return exact_figures(hits, materialize(frequent_items(hits, **HITS, repeats=more)), **HITS, repeats=more)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "frame_hits")
-    candidates = materialize(frequent_items(hits, **HITS))
-    held = exact_figures(hits, candidates, **HITS)
+    held = _candidates(table(spark, d, "frame_hits"))
     figure = F.when(F.col("basis") == "rows", F.col("rows")).otherwise(F.col("weight"))
     return held.where((figure * 1000 >= F.col("mass") * 4) & (figure > 0)).select(F.col("item").alias("name"), "basis")
 
@@ -40,11 +43,9 @@ def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Of each basis the whole mass, and the intervals of :func:`frequent_items` that don't hold the exact figure or are wider than they may be."""
-    hits = table(spark, d, "frame_hits")
-    candidates = materialize(frequent_items(hits, **HITS))
-    held = exact_figures(hits, candidates, **HITS)
+    held = _candidates(table(spark, d, "frame_hits"))
     figure = F.when(F.col("basis") == "rows", F.col("rows")).otherwise(F.col("weight"))
-    wide = F.col("high") - F.col("low") > HITS["epsilon"] * F.col("mass") + 1
+    wide = F.col("high") - F.col("low") > 2 * HITS["epsilon"] * F.col("mass") + 1
     return held.groupBy("basis").agg(F.max("mass").alias("mass"), F.count_if((figure < F.col("low")) | (figure > F.col("high")) | wide).alias("outside"))
 
 
