@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ ORDER = 5
 _PARA = "\x01"
 _BIBLIOGRAPHY = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)", re.S)
 _MATH_NAMES = "equation|align|alignat|gather|multline|eqnarray|displaymath|math"
-_MATH = re.compile(rf"\\begin\{{({_MATH_NAMES})\*?\}}[^{_PARA}]*?\\end\{{\1\*?\}}|\\\([^{_PARA}]*?\\\)|\\\[[^{_PARA}]*?\\\]|(?<!\\)\$\$?[^${_PARA}]*\$\$?")
+# what a formula holds stops before another begins, so that one that isn't closed costs no more than the way to the next
+_IN_MATH = rf"(?:(?!\\begin\{{(?:{_MATH_NAMES})\*?\}}|\\[(\[])[^{_PARA}])*?"
+_MATH = re.compile(rf"\\begin\{{({_MATH_NAMES})\*?\}}{_IN_MATH}\\end\{{\1\*?\}}|\\\({_IN_MATH}\\\)|\\\[{_IN_MATH}\\\]|(?<!\\)\$\$?[^${_PARA}]*\$\$?")
 _UNREAD = re.compile(r"\\(?:label|(?:eq|page|auto)?ref|input|include|includegraphics|begin|end|bibliography|bibliographystyle|usepackage|documentclass)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
 
 
@@ -131,17 +134,20 @@ class Model:
         return self.table[used].sum(axis=0)
 
 
+#: Of how many bits a byte a word is strange, and how many bits at most one word can speak for a language.
+STRANGE, MOST = math.inf, 12.0
+
+
 class Scorer:
     """Code lengths of words, each distinct word coded once while it is kept.
 
-    A number is in no language and costs nothing. A word that even the best tree codes in more than ``STRANGE`` bits a byte is
-    one that no tree knows, such as a name; it is as dear in every language. Of any word, no language is more than ``MOST`` bits dearer than the best, so that no single word decides.
+    A number is in no language and costs nothing. A word that even the best tree codes in more than ``strange`` bits a byte is
+    one that no tree knows, such as a name; it is as dear in every language. Of any word, no language is more than ``most`` bits dearer than the best, so that no single word decides.
+    With both infinite, code lengths are those of the coder.
     """
 
-    STRANGE, MOST = 3.5, 12.0
-
-    def __init__(self, model: Model, keep: int = 200_000) -> None:
-        self.model, self.keep, self.known = model, keep, {}
+    def __init__(self, model: Model, strange: float = STRANGE, most: float = MOST, keep: int = 200_000) -> None:
+        self.model, self.strange, self.most, self.keep, self.known = model, strange, most, keep, {}
         self.costs = np.empty((1024, len(model.codes)), np.float32)
 
     def evidence(self, word: bytes) -> np.ndarray | float:
@@ -149,7 +155,7 @@ class Scorer:
             return 0.0
         cost = self.model.cost(word)
         best = cost.min()
-        return np.full_like(cost, best) if best > self.STRANGE * (len(word) + 1) else np.minimum(cost, best + self.MOST)
+        return np.full_like(cost, best) if best > self.strange * (len(word) + 1) else np.minimum(cost, best + self.most)
 
     def words(self, whole: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
@@ -217,25 +223,49 @@ def segments(costs: np.ndarray, counted: np.ndarray, para: np.ndarray, main: np.
                 yield int(para[lo]), int(way[a]), _share(own[a:b].sum(axis=0), int(way[a])), n
 
 
+#: The files among which a sample is looked for before the whole table is.
+_FILES = 64
+
+
 def _sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts a language, those with the lowest hashes of their ids; ids are chosen before any text is read."""
+    """At most ``rows`` labelled texts a language, those with the lowest hashes of their ids in the fewest files, by the hash of their names, that hold so many of each language, else in all. Ids are chosen before any text is read, so only texts of these files are read."""
     labelled = docs.select("doc_id", label_code().alias("code"), F.xxhash64("doc_id").alias("h")).where("code is not null")
     sizes = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return []
+    own = docs
+    if len(docs.inputFiles()) > 1 and (files := _files(docs, {c: min(n, 2 * rows) for c, n in sizes.items()})):
+        own = docs.where(F.col("_metadata.file_path").isin(files))
+        labelled = own.select("doc_id", label_code().alias("code"), F.xxhash64("doc_id").alias("h")).where("code is not null")
     # about 3 * rows a language pass the threshold, which bounds what is ranked
     near = F.lit(False)
     for c, n in sizes.items():
-        share = min(1.0, 3 * rows / n)
+        share = 1.0 if own is not docs else min(1.0, 3 * rows / n)
         near = near | ((F.col("code") == c) & (F.pmod("h", F.lit(1_000_000_007)) <= int(share * 1_000_000_007)))
     rank = F.expr("row_number() over (partition by code order by pmod(h, 1000000007), doc_id)")
     chosen = labelled.where(near).withColumn("__r", rank).where(F.col("__r") <= rows).select("doc_id", "code")
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    texts = own.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     return [(r["code"], r["text"]) for r in texts.select("code", "text").collect()]
 
 
-def fit(sample: list[tuple[str, str]]) -> Model | None:
-    """The model of a sample of labelled texts. It is fitted twice, the second time without the texts that the first fit gives another language, as labels may be wrong, and
+def _files(docs: DataFrame, wanted: dict[str, int]) -> list[str]:
+    """The fewest of the first ``_FILES`` files with ``wanted`` labelled rows of each language; none if these don't hold so many, or if rows aren't from files."""
+    try:
+        rows = docs.select(F.col("_metadata.file_path").alias("f"), label_code().alias("code")).where("code is not null")
+    except AnalysisException:
+        return []
+    by_file = rows.groupBy("f").pivot("code", sorted(wanted)).agg(F.count(F.lit(1))).orderBy(F.xxhash64(F.regexp_extract("f", "[^/]*$", 0))).limit(_FILES).collect()
+    held, files = Counter(), []
+    for r in by_file:
+        files.append(r["f"])
+        held.update({c: r[c] or 0 for c in wanted})
+        if all(held[c] >= n for c, n in wanted.items()):
+            return files
+    return []
+
+
+def fit(sample: list[tuple[str, str]], strange: float = STRANGE, most: float = MOST, least_texts: int = 4) -> Model | None:
+    """The model of a sample of labelled texts, of the words without digits that stand in at least ``least_texts`` of them. It is fitted twice, the second time without the texts that the first fit gives another language, as labels may be wrong, and
     without their paragraphs in another language."""
     tables = []
     for code, text in sample:
@@ -248,17 +278,17 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
         for (code, whole, _, start, end, _), own in zip(tables, keep, strict=True):
             if own is not None:
                 raw = whole.tobytes()
-                words = Counter(w for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True) if b - a <= 64 and not re.search(rb"[0-9]", w := raw[a:b]))
+                words = Counter(w for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True) if not re.search(rb"[0-9]", w := raw[a:b]))
                 counts[code].update(words)
                 held[code].update(words.keys())
         # a word of hardly any text tells more of that text, or of its copies, than of the language
-        return {c: Counter({w: n for w, n in x.items() if held[c][w] > 3}) or x for c, x in counts.items()}
+        return {c: Counter({w: n for w, n in x.items() if held[c][w] >= least_texts}) or x for c, x in counts.items()}
 
     everything = [np.ones(len(t[3]), bool) for t in tables]
     counts = counted(everything)
     if not any(counts.values()):
         return None
-    scorer = Scorer(Model(counts))
+    scorer = Scorer(Model(counts), strange, most)
     keep: list[np.ndarray | None] = []
     for code, whole, hashes, start, end, para in tables:
         costs = scorer.words(whole, hashes, start, end)
@@ -276,21 +306,21 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
 _OUT = "doc_id bigint, para_no int, lang string, confidence double, words bigint, label string"
 
 
-def languages(docs: DataFrame, *, sample_rows: int = 64, change: float = 30.0, least: int = 25) -> DataFrame:
+def languages(docs: DataFrame, *, sample_rows: int = 64, change: float = 30.0, least: int = 25, strange: float = STRANGE, most: float = MOST, least_texts: int = 4) -> DataFrame:
     """``doc_id, para_no, lang, confidence, words, label``: a row with ``para_no`` -1 for each document, and one for each part of ``least`` or more words in another language, with its paragraph's place.
 
-    ``docs`` has ``doc_id``, ``text`` and ``lang``; ``label`` is the language that ``lang`` names, null if none. ``sample_rows`` bounds the labelled rows a language that the trees are fitted on. A change of language inside a
+    ``docs`` has ``doc_id``, ``text`` and ``lang``; ``label`` is the language that ``lang`` names, null if none. ``sample_rows`` bounds the labelled rows a language that the trees are fitted on, of whose words those in ``least_texts`` texts count; ``strange`` and ``most`` are those of :class:`Scorer`. A change of language inside a
     paragraph must save ``change`` bits. A document without words, or where no row is labelled at all, has a null language and confidence 0. Repeated rows give
     repeated results; an empty table gives none.
     """
-    model = fit(_sample(docs, sample_rows))
+    model = fit(_sample(docs, sample_rows), strange, most, least_texts)
     corpus = docs.select(F.col("doc_id").cast("bigint"), "text", label_code().alias("label"))
     if model is None:
         return corpus.selectExpr("doc_id", "-1 as para_no", "cast(null as string) as lang", "0.0D as confidence", "0L as words", "label")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(sent.value, strange, most)
         codes = scorer.model.codes
         for batch in batches:
             for lo in range(0, batch.num_rows, 32):
