@@ -80,22 +80,29 @@ def _summaries(rows: DataFrame, epsilon: float) -> DataFrame:
 
 def _columns(hits: DataFrame, key: str, item: str, weight: str) -> DataFrame:
     weight_ = F.greatest(F.coalesce(F.col(f"`{weight}`"), F.lit(0)), F.lit(0)).cast("bigint")
-    return hits.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{weight}`").cast("bigint").alias("weight"), weight_.alias("w"))
+    return hits.select(
+        F.col(f"`{key}`").alias("__k"), F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{weight}`").cast("bigint").alias("weight"),
+        weight_.alias("w")
+    )
 
 
 def repeats_of(hits: DataFrame, *, key: str, item: str, weight: str) -> DataFrame:
-    """``item, rows, w``: what repeated rows, told by key, item and weight, add to the rows and the weight of each item (null among them). Rows without a key can't be repeated ones."""
+    """``item, rows, w``: what repeated rows, told by key, item and weight, add to the rows and the weight of each item (null among them). Rows
+    without a key can't be repeated ones.
+    """
     rows = _columns(hits, key, item, weight).where("__k is not null")
     more = repeated(rows, ["__k", "item", "weight", "w"])
     return materialize(more.groupBy("item").agg(F.sum("__more").alias("rows"), F.sum(F.col("__more") * F.col("w")).alias("w")))
 
 
 def frequent_items(hits: DataFrame, *, key: str, item: str, weight: str, share: float, epsilon: float, repeats: DataFrame | None = None) -> DataFrame:
-    """``basis, item, low, high, mass``: every item whose share of the rows (``basis`` ``rows``) or of the summed weight (``weight``) may reach ``share``, with bounds that hold its true figure.
+    """``basis, item, low, high, mass``: every item whose share of the rows (``basis`` ``rows``) or of the summed weight (``weight``) may reach
+    ``share``, with bounds that hold its true figure.
 
-    Each partition keeps a lossy count of its rows and of their weight, as they are read; the summaries are merged by adding counts and deltas, an absent item counting
-    with its partition's whole bound. Repeated rows (same key) count once: what they add (``repeats``, of :func:`repeats_of`) is taken off bounds and mass. ``high - low`` is at most ``epsilon`` of the mass with repeats. No item that reaches
-    ``share`` is absent. A null item counts in the mass only; a null or negative weight is 0. An empty table gives no rows.
+    Each partition keeps a lossy count of its rows and of their weight, as they are read; the summaries are merged by adding counts and deltas, an
+    absent item counting with its partition's whole bound. Repeated rows (same key) count once: what they add (``repeats``, of :func:`repeats_of`) is
+    taken off bounds and mass. ``high - low`` is at most ``epsilon`` of the mass with repeats. No item that reaches ``share`` is absent. A null item
+    counts in the mass only; a null or negative weight is 0. An empty table gives no rows.
     """
     if not 0 < epsilon < share < 1:
         raise ValueError("0 < epsilon < share < 1 must hold")
@@ -112,19 +119,29 @@ def frequent_items(hits: DataFrame, *, key: str, item: str, weight: str, share:
     may = merged.join(F.broadcast(total), "basis").select("basis", "item", "low", (F.col("top") + F.col("lost")).alias("high"), "mass").where(F.col("high") >= least)
     own = each.join(F.broadcast(may.select("basis", "item")) if _few(share, epsilon) else may.select("basis", "item"), ["basis", "item"], "left_semi")
     held = may.join(own, ["basis", "item"], "left").withColumn("off", F.coalesce("off", F.lit(0)))
-    return held.select("basis", "item", F.greatest(F.col("low") - F.col("off"), F.lit(0)).alias("low"), (F.col("high") - F.col("off")).alias("high"), "mass").where(F.col("high") >= least)
+    return held.select(
+        "basis", "item", F.greatest(F.col("low") - F.col("off"), F.lit(0)).alias("low"), (F.col("high") - F.col("off")).alias("high"), "mass"
+    ).where(F.col("high") >= least)
 
 
 def _few(share: float, epsilon: float) -> bool:
-    """Whether candidates may be sent to all tasks: each holds more than ``share - epsilon`` of a basis, so there are at most ``2 / (share - epsilon)``."""
+    """Whether candidates may be sent to all tasks: each holds more than ``share - epsilon`` of a basis, so there are at most ``2 / (share -
+    epsilon)``.
+    """
     return math.ceil(2 / (share - epsilon)) <= 1_000_000
 
 
-def exact_figures(hits: DataFrame, candidates: DataFrame, *, key: str, item: str, weight: str, share: float, epsilon: float, repeats: DataFrame | None = None) -> DataFrame:
-    """``candidates`` (of :func:`frequent_items`) with ``rows`` and ``weight`` as they are: one more scan, of which one sum a task and candidate is shuffled."""
+def exact_figures(
+    hits: DataFrame, candidates: DataFrame, *, key: str, item: str, weight: str, share: float, epsilon: float, repeats: DataFrame | None = None
+) -> DataFrame:
+    """``candidates`` (of :func:`frequent_items`) with ``rows`` and ``weight`` as they are: one more scan, of which one sum a task and candidate is
+    shuffled.
+    """
     names = candidates.select("item").distinct()
     known = F.broadcast(names) if _few(share, epsilon) else names
     more = repeats_of(hits, key=key, item=item, weight=weight) if repeats is None else repeats
-    every = _columns(hits, key, item, weight).select("item", F.lit(1).cast("bigint").alias("rows"), "w").unionByName(more.select("item", -F.col("rows").alias("rows"), -F.col("w").alias("w")).toDF("item", "rows", "w"))
+    every = _columns(hits, key, item, weight).select("item", F.lit(1).cast("bigint").alias("rows"), "w").unionByName(
+        more.select("item", -F.col("rows").alias("rows"), -F.col("w").alias("w")).toDF("item", "rows", "w")
+    )
     counted = every.join(known, "item", "left_semi").groupBy("item").agg(F.sum("rows").alias("rows"), F.sum("w").alias("weight"))
     return candidates.join(counted, "item")

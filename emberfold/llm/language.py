@@ -41,11 +41,15 @@ _MATH_NAMES = "equation|align|alignat|gather|multline|eqnarray|displaymath|math"
 # what a formula holds stops before another begins, so that one that isn't closed costs no more than the way to the next
 _IN_MATH = rf"(?:(?!\\begin\{{(?:{_MATH_NAMES})\*?\}}|\\[(\[])[^{_PARA}])*?"
 _MATH = re.compile(rf"\\begin\{{({_MATH_NAMES})\*?\}}{_IN_MATH}\\end\{{\1\*?\}}|\\\({_IN_MATH}\\\)|\\\[{_IN_MATH}\\\]|(?<!\\)\$\$?[^${_PARA}]*\$\$?")
-_UNREAD = re.compile(r"\\(?:label|(?:eq|page|auto)?ref|input|include|includegraphics|begin|end|bibliography|bibliographystyle|usepackage|documentclass)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
+_UNREAD = re.compile(
+    r"\\(?:label|(?:eq|page|auto)?ref|input|include|includegraphics|begin|end|bibliography|bibliographystyle|usepackage|documentclass)\*?(?:\[[^\]]*\])?\{[^{}]*\}"
+)
 
 
 def body(text: str | None) -> bytes:
-    """The readable text in lower case, paragraphs parted by the byte 1; preamble and bibliography leave only their paragraphs' marks. Commented text stays, formulas and the arguments of labels, files and environments go."""
+    """The readable text in lower case, paragraphs parted by the byte 1; preamble and bibliography leave only their paragraphs' marks. Commented text
+    stays, formulas and the arguments of labels, files and environments go.
+    """
     if not text:
         return b""
     text = text.replace(_PARA, " ").replace("\n\n", _PARA)
@@ -141,9 +145,9 @@ STRANGE, MOST = math.inf, 12.0
 class Scorer:
     """Code lengths of words, each distinct word coded once while it is kept.
 
-    A number is in no language and costs nothing. A word that even the best tree codes in more than ``strange`` bits a byte is
-    one that no tree knows, such as a name; it is as dear in every language. Of any word, no language is more than ``most`` bits dearer than the best, so that no single word decides.
-    With both infinite, code lengths are those of the coder.
+    A number is in no language and costs nothing. A word that even the best tree codes in more than ``strange`` bits a byte is one that no tree knows,
+    such as a name; it is as dear in every language. Of any word, no language is more than ``most`` bits dearer than the best, so that no single word
+    decides. With both infinite, code lengths are those of the coder.
     """
 
     def __init__(self, model: Model, strange: float = STRANGE, most: float = MOST, keep: int = 200_000) -> None:
@@ -197,10 +201,11 @@ def _share(costs: np.ndarray, code: int) -> float:
 
 
 def segments(costs: np.ndarray, counted: np.ndarray, para: np.ndarray, main: np.ndarray, change: float, least: int) -> Iterator[tuple[int, int, float, int]]:
-    """``paragraph, language, confidence, words`` of each part of at least ``least`` words in another language than ``main``, which is given for each word.
+    """``paragraph, language, confidence, words`` of each part of at least ``least`` words in another language than ``main``, which is given for each
+    word.
 
-    ``para`` numbers the paragraphs of all texts, ascending. The dear way through all languages is taken only in paragraphs where some part costs at least ``change`` bits less
-    in one language than in the main one; elsewhere the cheapest way stays in the main language.
+    ``para`` numbers the paragraphs of all texts, ascending. The dear way through all languages is taken only in paragraphs where some part costs at
+    least ``change`` bits less in one language than in the main one; elsewhere the cheapest way stays in the main language.
     """
     if not len(costs):
         return
@@ -228,7 +233,9 @@ _FILES = 64
 
 
 def _sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts a language, those with the lowest hashes of their ids in the fewest files, by the hash of their names, that hold so many of each language, else in all. Ids are chosen before any text is read, so only texts of these files are read."""
+    """At most ``rows`` labelled texts a language, those with the lowest hashes of their ids in the fewest files, by the hash of their names, that
+    hold so many of each language, else in all. Ids are chosen before any text is read, so only texts of these files are read.
+    """
     labelled = docs.select("doc_id", label_code().alias("code"), F.xxhash64("doc_id").alias("h")).where("code is not null")
     sizes = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -249,7 +256,9 @@ def _sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
 
 
 def _files(docs: DataFrame, wanted: dict[str, int]) -> list[str]:
-    """The fewest of the first ``_FILES`` files with ``wanted`` labelled rows of each language; none if these don't hold so many, or if rows aren't from files."""
+    """The fewest of the first ``_FILES`` files with ``wanted`` labelled rows of each language; none if these don't hold so many, or if rows aren't
+    from files.
+    """
     try:
         rows = docs.select(F.col("_metadata.file_path").alias("f"), label_code().alias("code")).where("code is not null")
     except AnalysisException:
@@ -265,8 +274,10 @@ def _files(docs: DataFrame, wanted: dict[str, int]) -> list[str]:
 
 
 def fit(sample: list[tuple[str, str]], strange: float = STRANGE, most: float = MOST, least_texts: int = 4) -> Model | None:
-    """The model of a sample of labelled texts, of the words without digits that stand in at least ``least_texts`` of them. It is fitted twice, the second time without the texts that the first fit gives another language, as labels may be wrong, and
-    without their paragraphs in another language."""
+    """The model of a sample of labelled texts, of the words without digits that stand in at least ``least_texts`` of them. It is fitted twice, the
+    second time without the texts that the first fit gives another language, as labels may be wrong, and without their paragraphs in another
+    language.
+    """
     tables = []
     for code, text in sample:
         whole, hashes, start, end, _ = word_table([body(text)])
@@ -306,12 +317,17 @@ def fit(sample: list[tuple[str, str]], strange: float = STRANGE, most: float = M
 _OUT = "doc_id bigint, para_no int, lang string, confidence double, words bigint, label string"
 
 
-def languages(docs: DataFrame, *, sample_rows: int = 64, change: float = 30.0, least: int = 25, strange: float = STRANGE, most: float = MOST, least_texts: int = 4) -> DataFrame:
-    """``doc_id, para_no, lang, confidence, words, label``: a row with ``para_no`` -1 for each document, and one for each part of ``least`` or more words in another language, with its paragraph's place.
+def languages(
+    docs: DataFrame, *, sample_rows: int = 64, change: float = 30.0, least: int = 25, strange: float = STRANGE, most: float = MOST,
+    least_texts: int = 4
+) -> DataFrame:
+    """``doc_id, para_no, lang, confidence, words, label``: a row with ``para_no`` -1 for each document, and one for each part of ``least`` or more
+    words in another language, with its paragraph's place.
 
-    ``docs`` has ``doc_id``, ``text`` and ``lang``; ``label`` is the language that ``lang`` names, null if none. ``sample_rows`` bounds the labelled rows a language that the trees are fitted on, of whose words those in ``least_texts`` texts count; ``strange`` and ``most`` are those of :class:`Scorer`. A change of language inside a
-    paragraph must save ``change`` bits. A document without words, or where no row is labelled at all, has a null language and confidence 0. Repeated rows give
-    repeated results; an empty table gives none.
+    ``docs`` has ``doc_id``, ``text`` and ``lang``; ``label`` is the language that ``lang`` names, null if none. ``sample_rows`` bounds the labelled
+    rows a language that the trees are fitted on, of whose words those in ``least_texts`` texts count; ``strange`` and ``most`` are those of
+    :class:`Scorer`. A change of language inside a paragraph must save ``change`` bits. A document without words, or where no row is labelled at all,
+    has a null language and confidence 0. Repeated rows give repeated results; an empty table gives none.
     """
     model = fit(_sample(docs, sample_rows), strange, most, least_texts)
     corpus = docs.select(F.col("doc_id").cast("bigint"), "text", label_code().alias("label"))
@@ -346,6 +362,9 @@ def languages(docs: DataFrame, *, sample_rows: int = 64, change: float = 30.0, l
                 for p, c, conf, n in segments(costs, counted, mark + place, main[place], change, least):
                     i = int(np.searchsorted(before + np.arange(len(before)), p, "right")) - 1
                     rows.append((ids[i], int(p - before[i] - i), codes[c], conf, n, labels[i]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.string()))], names=["doc_id", "para_no", "lang", "confidence", "words", "label"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.string()))],
+                    names=["doc_id", "para_no", "lang", "confidence", "words", "label"]
+                )
 
     return corpus.mapInArrow(run, _OUT)

@@ -1,12 +1,13 @@
 """Passages of held-out items inside a corpus, whole or in part, by SimHash.
 
 Windows of several sizes are compared: each item in windows of its own size, the largest of a few size classes that it fills, and every item in all
-its windows of the shortest passage that counts. A window has a 64-bit SimHash of its weighted five-word shingles. Item fingerprints are cut into blocks, and
-each is entered under its blocks and, for the larger classes, under all values that differ from them in a few bits, so a document window whose fingerprint lies within the
-radius agrees with an item window in one block at least and none is missed. The pairs found so are verified by the exact weighted similarity of
-their shingles.
+its windows of the shortest passage that counts. A window has a 64-bit SimHash of its weighted five-word shingles. Item fingerprints are cut into
+blocks, and each is entered under its blocks and, for the larger classes, under all values that differ from them in a few bits, so a document window
+whose fingerprint lies within the radius agrees with an item window in one block at least and none is missed. The pairs found so are verified by the
+exact weighted similarity of their shingles.
 
-A document window of every class begins at every word: running sums of the shingles' bits give the fingerprints of all sizes. Texts are taken apart once, however many items there are.
+A document window of every class begins at every word: running sums of the shingles' bits give the fingerprints of all sizes. Texts are taken apart
+once, however many items there are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,9 @@ def shingle_hashes(ids: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """The weight of a shingle: 2 if at least three of its words aren't among the commonest of all items, else 1. It depends on the words only, not on where the shingle stands."""
+    """The weight of a shingle: 2 if at least three of its words aren't among the commonest of all items, else 1. It depends on the words only, not on
+    where the shingle stands.
+    """
 
     def __init__(self, common: list[int]) -> None:
         self.common = np.sort(np.array(common, dtype=np.uint64))
@@ -73,7 +77,8 @@ class Weights:
 def fingerprints(shingles: np.ndarray, weights: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     """For each size the SimHash of each run of so many shingles: a bit is set if the shingles with it hold more than half of the weight.
 
-    The 64 sums stand side by side in wide integers. A running sum overflows from one into the next, but the difference of two doesn't, as a window's sums fit.
+    The 64 sums stand side by side in wide integers. A running sum overflows from one into the next, but the difference of two doesn't, as a window's
+    sums fit.
     """
     out: dict[int, np.ndarray] = {}
     bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) * weights[:, None]
@@ -92,7 +97,9 @@ def fingerprints(shingles: np.ndarray, weights: np.ndarray, sizes: list[int]) ->
 
 
 class Windows:
-    """Item windows of one size with their fingerprints, found by any of ``blocks`` blocks of them, or by what differs from one in ``flips`` bits. So all within ``radius`` bits are found."""
+    """Item windows of one size with their fingerprints, found by any of ``blocks`` blocks of them, or by what differs from one in ``flips`` bits. So
+    all within ``radius`` bits are found.
+    """
 
     def __init__(self, size: int, prints: np.ndarray, start: np.ndarray, blocks: int, flips: int) -> None:
         self.size, self.prints, self.start, self.radius = size, prints, start, blocks * (flips + 1) - 1
@@ -218,12 +225,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(lo, 16) for lo in range(0, batch.num_rows, 16)):
             flat, place = word_ids(part.column(1).to_pylist())
             cuts = np.searchsorted(place, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())],
+                names=["doc_id", "words"]
+            )
 
 
-def _scan(docs: DataFrame, index: Index, taken_apart: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-
+def _scan(docs: DataFrame, sent: Broadcast, taken_apart: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = sent.value
         for batch in batches if taken_apart else _words(batches):
@@ -258,7 +266,10 @@ def _rows(docs: np.ndarray, flat: np.ndarray, place: np.ndarray, ix: Index, foun
     largest = np.maximum.reduceat(size, starts)
     best = np.maximum.reduceat(np.where(size == np.repeat(largest, counts), sim, 0.0), starts)
     columns = [doc[starts], item[starts], best, largest, counts, longest]
-    return pa.RecordBatch.from_arrays([pa.array(c if c.dtype == float else c.astype(np.int64)) for c in columns], names=["doc_id", "item_id", "similarity", "window", "windows", "run_words"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c if c.dtype == float else c.astype(np.int64)) for c in columns],
+        names=["doc_id", "item_id", "similarity", "window", "windows", "run_words"]
+    )
 
 
 def common_words(items: DataFrame, most: int = COMMON) -> list[int]:
@@ -277,12 +288,16 @@ def leaked_items(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 12,
     radius: tuple[int, int] = (3, 0), item_radius: tuple[int, int] = (4, 2), block_chars: int = 4_000_000,
 ) -> DataFrame:
-    """``doc_id, item_id, similarity, window, windows, run_words``: one row for each document and item that have a window of one size class with a weighted similarity of 0.8 or more.
-
-    The classes are ``window`` words, of which every item has all windows, and each item's own size: the largest ``window * GROWTH^k`` words that it fills, at its beginning, middle and end. ``window`` is the largest class with such a
-    pair, ``similarity`` that of its most alike pair, ``windows`` the number of pairs of all classes and ``run_words`` the length of the longest run of equal words, 0 if it is below the smallest class. ``radius`` and ``item_radius`` are (blocks, bits flipped in a block) of the smallest and of the
-    other classes; all fingerprints within ``blocks * (flips + 1) - 1`` bits are found, i.e. 2 and 11. Documents and items of fewer than ``window`` words, empty and null ones match nothing; an empty table gives no rows. Repeated rows of a
-    document give its row once. Items are read in blocks of ``block_chars`` characters, which bounds what a task holds and what is sent at once; if there are several, the corpus is taken apart once into a table that each block is held against.
+    """``doc_id, item_id, similarity, window, windows, run_words``: one row for each document and item that have a window of one size class with a
+    weighted similarity of 0.8 or more.
+
+    The classes are ``window`` words, of which every item has all windows, and each item's own size: the largest ``window * GROWTH^k`` words that it
+    fills, at its beginning, middle and end. ``window`` is the largest class with such a pair, ``similarity`` that of its most alike pair, ``windows``
+    the number of pairs of all classes and ``run_words`` the length of the longest run of equal words, 0 if it is below the smallest class. ``radius``
+    and ``item_radius`` are (blocks, bits flipped in a block) of the smallest and of the other classes; all fingerprints within ``blocks * (flips + 1)
+    - 1`` bits are found, i.e. 2 and 11. Documents and items of fewer than ``window`` words, empty and null ones match nothing; an empty table gives
+    no rows. Repeated rows of a document give its row once. Items are read in blocks of ``block_chars`` characters, which bounds what a task holds and
+    what is sent at once; if there are several, the corpus is taken apart once into a table that each block is held against.
     """
     corpus = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").alias("text")).where("text is not null")
     known = items.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t"))
@@ -291,11 +306,16 @@ def leaked_items(
     first, second = next(indexes, None), next(indexes, None)
     if first is None:
         return docs.sparkSession.createDataFrame([], _OUT)
+    send = docs.sparkSession.sparkContext.broadcast
     if second is None:
-        out = _scan(corpus, first, False)
+        out = _scan(corpus, send(first), False)
     else:
         apart, out = stored(corpus.mapInArrow(_words, "doc_id bigint, words binary")), None
         for index in chain((first, second), indexes):
-            found = materialize(_scan(apart, index, True))
+            sent = send(index)
+            found = materialize(_scan(apart, sent, True))
+            sent.unpersist()  # so that the executors hold one block's windows at a time
             out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("window", "similarity")).alias("b"), F.max("windows").alias("windows"), F.max("run_words").alias("run_words")).select("doc_id", "item_id", "b.similarity", "b.window", "windows", "run_words")
+    return out.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("window", "similarity")).alias("b"), F.max("windows").alias("windows"), F.max("run_words").alias("run_words")
+    ).select("doc_id", "item_id", "b.similarity", "b.window", "windows", "run_words")

@@ -44,7 +44,9 @@ _END = "\U0010ffff"
 
 
 def _pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last place (exclusive) of each piece that the pattern splits texts into; ``points`` are their characters, with an ``_END`` after each text."""
+    """First and last place (exclusive) of each piece that the pattern splits texts into; ``points`` are their characters, with an ``_END`` after each
+    text.
+    """
     kind = _CLASS[points]
     at = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
     kinds, size = kind[at], np.diff(np.append(at, len(points)))
@@ -73,7 +75,9 @@ def _pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TokenCounter:
-    """The numbers of tokens of texts. Merges never cross the pieces that the pattern splits a text into, so each distinct piece is merged once while it is kept."""
+    """The numbers of tokens of texts. Merges never cross the pieces that the pattern splits a text into, so each distinct piece is merged once while
+    it is kept.
+    """
 
     def __init__(self, vocabulary: str, pattern: str = SPLIT_PATTERN, keep: int = 300_000) -> None:
         import tiktoken
@@ -121,7 +125,9 @@ class TokenCounter:
 
 
 def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = SPLIT_PATTERN) -> DataFrame:
-    """``id, tokens``: the size of each text in tokens of a public vocabulary of ranked byte pairs, which each worker reads from ``vocabulary``. Null and empty texts have none."""
+    """``id, tokens``: the size of each text in tokens of a public vocabulary of ranked byte pairs, which each worker reads from ``vocabulary``. Null
+    and empty texts have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = TokenCounter(vocabulary, pattern)
@@ -135,10 +141,12 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 
 
 def plan(sizes: dict[int, int], capacity: int) -> np.ndarray:
-    """Best fit by falling length over counts, as rows ``length, first rank, width, first container``: the item of rank r of a length goes to container ``first container + (r - first rank) % width``.
+    """Best fit by falling length over counts, as rows ``length, first rank, width, first container``: the item of rank r of a length goes to
+    container ``first container + (r - first rank) % width``.
 
-    Containers with the same room are one run of numbers, so a row fills as many at once as there are items or containers. Each step gives at most two rows, and either ends a length, which leaves at most three runs more,
-    or leaves a run with less than half of its room. So there are at most ``2 * lengths * (1 + 3 * log2(capacity))`` rows, whatever the number of items.
+    Containers with the same room are one run of numbers, so a row fills as many at once as there are items or containers. Each step gives at most two
+    rows, and either ends a length, which leaves at most three runs more, or leaves a run with less than half of its room. So there are at most ``2 *
+    lengths * (1 + 3 * log2(capacity))`` rows, whatever the number of items.
     """
     out: list[tuple[int, int, int, int]] = []
     rooms: list[int] = []  # ascending, the room of some open containers
@@ -201,23 +209,29 @@ def slots_of(entries: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def pack(sized: DataFrame, *, capacity: int = 4096, part_rows: int = 200_000) -> DataFrame:
-    """``id, piece, tokens, first_token, size, container`` from ``id, tokens``: every item in a container of ``capacity``, in pieces if and only if it is larger.
+    """``id, piece, tokens, first_token, size, container`` from ``id, tokens``: every item in a container of ``capacity``, in pieces if and only if it
+    is larger.
 
-    A larger item gives full pieces, each a container of its own, and a rest that is packed as an item. ``first_token`` is a piece's place in its item. Items of no tokens stand in container 0
-    and take no room; a null size counts as 0. Repeated rows are items of their own. No two containers could be poured into one by a best fit that sees all lengths first. Ranks within a length are counted in parts of
-    about ``part_rows`` items, so the tasks follow the counts and a length that most items have isn't ranked in one. An empty table gives no rows.
+    A larger item gives full pieces, each a container of its own, and a rest that is packed as an item. ``first_token`` is a piece's place in its
+    item. Items of no tokens stand in container 0 and take no room; a null size counts as 0. Repeated rows are items of their own. No two containers
+    could be poured into one by a best fit that sees all lengths first. Ranks within a length are counted in parts of about ``part_rows`` items, so
+    the tasks follow the counts and a length that most items have isn't ranked in one. An empty table gives no rows.
     """
     spark = sized.sparkSession
     items = sized.select("id", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).alias("tokens"))
     whole = F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / capacity)  # full pieces before the last one
     pieces = items.select("id", "tokens", F.explode(F.sequence(F.lit(0), whole)).alias("piece")).select(
-        "id", "tokens", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("bigint").alias("size")
+        "id", "tokens", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(
+            F.lit(capacity), F.col("tokens") - F.col("piece") * capacity
+        ).cast("bigint").alias("size")
     )
     # at most capacity + 1 rows
     counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = spark.createDataFrame([(x, -(-n // part_rows)) for x, n in sorted(counts.items())], "size bigint, parts bigint")
     keyed = pieces.join(F.broadcast(parts), "size").withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.col("parts"))).drop("parts")
-    offsets = keyed.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.expr("sum(n) over (partition by size order by part) - n")).select("size", "part", "before")
+    offsets = keyed.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "before", F.expr("sum(n) over (partition by size order by part) - n")
+    ).select("size", "part", "before")
     ranked = keyed.withColumn("own", F.expr("row_number() over (partition by size, part order by id, piece)")).join(offsets, ["size", "part"])
     # the plan's size has a bound, which depends on the capacity only
     sent = spark.sparkContext.broadcast(plan(counts, capacity))
@@ -225,7 +239,9 @@ def pack(sized: DataFrame, *, capacity: int = 4096, part_rows: int = 200_000) ->
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(slots_of(sent.value, size, rank))], names=["id", "piece", "tokens", "first_token", "size", "container"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(slots_of(sent.value, size, rank))], names=["id", "piece", "tokens", "first_token", "size", "container"]
+            )
 
     rows = ranked.select("id", F.col("piece").cast("int"), "tokens", "first_token", "size", (F.col("own") - 1 + F.col("before")).cast("bigint").alias("rank"))
     return rows.mapInArrow(place, f"id {rows.schema['id'].dataType.simpleString()}, piece int, tokens bigint, first_token bigint, size bigint, container bigint")

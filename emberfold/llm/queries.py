@@ -67,9 +67,13 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of :func:`p6_pack`: the documents packed, containers above their capacity, documents whose pieces aren't their tokens or are more than need be, and whether the containers are within 1 % (and one) of the fewest that hold all tokens."""
+    """What must hold of :func:`p6_pack`: the documents packed, containers above their capacity, documents whose pieces aren't their tokens or are
+    more than need be, and whether the containers are within 1 % (and one) of the fewest that hold all tokens.
+    """
     packed = materialize(p6_pack(spark, d))
-    held = packed.where("size > 0").groupBy("container").agg(F.sum("size").alias("held")).agg(F.count_if(F.col("held") > 4096).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.sum("held").alias("tokens"))
+    held = packed.where("size > 0").groupBy("container").agg(F.sum("size").alias("held")).agg(
+        F.count_if(F.col("held") > 4096).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.sum("held").alias("tokens")
+    )
     each = packed.groupBy("doc_id").agg(F.sum("size").alias("held"), F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
     torn = (F.col("held") != F.col("tokens")) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / 4096)))
     near = F.col("containers") <= F.ceil(F.col("tokens") / 4096) * 1.01 + 1
@@ -81,11 +85,15 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """The documents whose label names a language, whether eight in ten of them are given that (about a tenth is labelled wrongly), and the texts that stand more than once and were given different languages."""
+    """The documents whose label names a language, whether eight in ten of them are given that (about a tenth is labelled wrongly), and the texts that
+    stand more than once and were given different languages.
+    """
     docs = table(spark, d, "documents")
     found = materialize(p8_languages(spark, d).where("para_no = -1").select("doc_id", "lang", "label"))
     twice = docs.select("doc_id", F.xxhash64("text").alias("t")).join(found, "doc_id").groupBy("t").agg(F.count_distinct("lang").alias("n"))
-    labelled = found.where("label is not null").agg(F.count(F.lit(1)).alias("labelled"), (F.count_if(F.col("lang") == F.col("label")) >= 0.8 * F.count(F.lit(1))).alias("agrees"))
+    labelled = found.where("label is not null").agg(
+        F.count(F.lit(1)).alias("labelled"), (F.count_if(F.col("lang") == F.col("label")) >= 0.8 * F.count(F.lit(1))).alias("agrees")
+    )
     return labelled.withColumn("conflicts", twice.agg(F.count_if(F.col("n") > 1)).scalar())
 
 
@@ -94,7 +102,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_languages(spark, d).where(wrong & F.col("lang").isNotNull()).select("doc_id", "para_no", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p4_found, p4_intervals, p4_bounds, p6_pack, p6_fill, p7_found, p7_runs, p7_leaks, p8_found, p8_languages, p8_agreement)}
+QUERIES = {
+    f.__name__: f for f in (p1_found, p1_patterns, p4_found, p4_intervals, p4_bounds, p6_pack, p6_fill, p7_found, p7_runs, p7_leaks, p8_found, p8_languages, p8_agreement)
+}
 
 
 def _growth_sql() -> str:

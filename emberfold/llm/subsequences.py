@@ -1,9 +1,10 @@
 """Ordered patterns of events that recur in many sequences, with gaps, by pivot-item partitioning.
 
-Items are ranked by frequency. A pattern's pivot is its rarest item, so each pattern belongs to exactly one pivot: a sequence sends every frequent pivot it
-holds the part of it that can matter there, i.e. its items that are at least as frequent, without those that add no pattern. Equal parts are
-summed before they move. Each pivot's parts are mined alone, in several blocks of bounded size if they are many: what is frequent overall reaches its share of the threshold in some block,
-and the exact figures of all such candidates are counted in a second pass over the blocks. A pivot of one block needs no second pass.
+Items are ranked by frequency. A pattern's pivot is its rarest item, so each pattern belongs to exactly one pivot: a sequence sends every frequent
+pivot it holds the part of it that can matter there, i.e. its items that are at least as frequent, without those that add no pattern. Equal parts are
+summed before they move. Each pivot's parts are mined alone, in several blocks of bounded size if they are many: what is frequent overall reaches its
+share of the threshold in some block, and the exact figures of all such candidates are counted in a second pass over the blocks. A pivot of one block
+needs no second pass.
 
 Sequences and parts are bytes of small unsigned ranks; many are handled at once in flat arrays.
 """
@@ -37,7 +38,8 @@ def previous(code: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _completes(code: np.ndarray, row: np.ndarray, longest: int) -> np.ndarray:
-    """The places at which some subsequence of up to ``longest`` items is first completed; the others can go together, as the leftmost way to any subsequence never takes them.
+    """The places at which some subsequence of up to ``longest`` items is first completed; the others can go together, as the leftmost way to any
+    subsequence never takes them.
 
     A place completes one of n + 1 items if behind, or at, the last place of its item there is one that completes one of n.
     """
@@ -50,7 +52,9 @@ def _completes(code: np.ndarray, row: np.ndarray, longest: int) -> np.ndarray:
 
 
 def shortened(code: np.ndarray, row: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows without places whose removal leaves all subsequences of up to ``longest`` items: first those the leftmost way never takes, then those the rightmost doesn't."""
+    """The rows without places whose removal leaves all subsequences of up to ``longest`` items: first those the leftmost way never takes, then those
+    the rightmost doesn't.
+    """
     keep = _completes(code, row, longest)
     code, row = code[keep], row[keep]
     keep = _completes(code[::-1], row[::-1], longest)[::-1]
@@ -64,7 +68,9 @@ def _within(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def parts_by_pivot(code: np.ndarray, row: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row and item of it as pivot, the part of the row that the pivot's patterns can stand in: ``row, pivot, size`` of each part and the items of all. Parts of fewer than ``shortest`` items hold none."""
+    """For each row and item of it as pivot, the part of the row that the pivot's patterns can stand in: ``row, pivot, size`` of each part and the
+    items of all. Parts of fewer than ``shortest`` items hold none.
+    """
     code, row = shortened(code, row, longest)
     rows = int(row[-1]) + 1 if len(row) else 0
     size = np.bincount(row, minlength=rows)
@@ -84,10 +90,15 @@ def parts_by_pivot(code: np.ndarray, row: np.ndarray, shortest: int, longest: in
         lo = hi
 
 
-def mine(code: np.ndarray, size: np.ndarray, count: np.ndarray, weight: np.ndarray, pivot: int, shortest: int, longest: int, least_count: float, least_weight: float) -> list[tuple[tuple[int, ...], int, int]]:
-    """Patterns with the pivot that reach ``least_count`` or ``least_weight`` in these parts, with both figures, by growing prefixes over all parts at once.
+def mine(
+    code: np.ndarray, size: np.ndarray, count: np.ndarray, weight: np.ndarray, pivot: int, shortest: int, longest: int, least_count: float,
+    least_weight: float
+) -> list[tuple[tuple[int, ...], int, int]]:
+    """Patterns with the pivot that reach ``least_count`` or ``least_weight`` in these parts, with both figures, by growing prefixes over all parts at
+    once.
 
-    A prefix is held as the parts it stands in and the places behind its first completion; one look at what follows counts all items that can be added. Memory is a few times that of ``code``.
+    A prefix is held as the parts it stands in and the places behind its first completion; one look at what follows counts all items that can be
+    added. Memory is a few times that of ``code``.
     """
     end = np.cumsum(size)
     part = np.repeat(np.arange(len(size)), size)
@@ -161,16 +172,22 @@ def _bytes_column(items: np.ndarray, size: np.ndarray, kind: np.dtype) -> pa.Arr
 def frequent_subsequences(
     sequences: DataFrame, *, items: str = "frames", weight: str = "weight", count_share: tuple[int, int], weight_share: tuple[int, int], shortest: int = 3, longest: int = 4, block_bytes: int = 4 << 20
 ) -> DataFrame:
-    """``steps`` (array of items, which are strings or bigints), ``support``, ``weight``, ``all_support``, ``all_weight``: every pattern of ``shortest`` to ``longest`` items that reaches either share of all sequences or of their weight.
+    """``steps`` (array of items, which are strings or bigints), ``support``, ``weight``, ``all_support``, ``all_weight``: every pattern of
+    ``shortest`` to ``longest`` items that reaches either share of all sequences or of their weight.
 
-    A sequence supports a pattern once if its items occur in this order, gaps allowed; an item may recur in a pattern. Shares are fractions (numerator, denominator) and compared exactly.
-    Each row is a sequence of its own; one with null ``items`` counts for nothing, null items inside it are gaps, an empty one counts in the totals only, a null or negative weight is 0. An empty table gives no rows.
-    ``block_bytes`` bounds the mean size of the different parts mined at once; blocks of one pivot are hashes of parts.
+    A sequence supports a pattern once if its items occur in this order, gaps allowed; an item may recur in a pattern. Shares are fractions
+    (numerator, denominator) and compared exactly. Each row is a sequence of its own; one with null ``items`` counts for nothing, null items inside it
+    are gaps, an empty one counts in the totals only, a null or negative weight is 0. An empty table gives no rows. ``block_bytes`` bounds the mean
+    size of the different parts mined at once; blocks of one pivot are hashes of parts.
     """
     spark = sequences.sparkSession
     (cn, cd), (wn, wd) = count_share, weight_share
     item_kind = sequences.schema[items].dataType.elementType.simpleString()
-    own = stored(sequences.where(F.col(f"`{items}`").isNotNull()).select(F.col(f"`{items}`").alias("items"), F.greatest(F.coalesce(F.col(f"`{weight}`"), F.lit(0)), F.lit(0)).cast("bigint").alias("w")))
+    own = stored(
+        sequences.where(F.col(f"`{items}`").isNotNull()).select(
+            F.col(f"`{items}`").alias("items"), F.greatest(F.coalesce(F.col(f"`{weight}`"), F.lit(0)), F.lit(0)).cast("bigint").alias("w")
+        )
+    )
     schema = f"steps array<{item_kind}>, support bigint, weight bigint, all_support bigint, all_weight bigint"
     total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
     if not total.n:
@@ -203,7 +220,10 @@ def frequent_subsequences(
             code, size = _bytes_of(batch.column(0), kind)
             n, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for row, pivot, sizes, flat in parts_by_pivot(code, np.repeat(np.arange(len(size)), size), shortest, longest):
-                yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), _bytes_column(flat, sizes, kind), pa.array(n[row]), pa.array(w[row])], names=["pivot", "part", "n", "w"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pivot.astype(np.int32)), _bytes_column(flat, sizes, kind), pa.array(n[row]), pa.array(w[row])],
+                    names=["pivot", "part", "n", "w"]
+                )
 
     moved = coded.mapInArrow(split, "pivot int, part binary, n bigint, w bigint")
     parts = materialize(moved.groupBy("pivot", "part").agg(F.sum("n").alias("n"), F.sum("w").alias("w")))
@@ -227,7 +247,10 @@ def frequent_subsequences(
 
     def result(pivot: int, k: int, got: list[tuple[tuple[int, ...], int, int]]) -> pa.Table:
         columns = [[pivot] * len(got), [k] * len(got), [list(s) for s, _, _ in got], [n for _, n, _ in got], [w for _, _, w in got]]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64()), strict=True)], names=["pivot", "blocks", "steps", "n", "w"])
+        return pa.table(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64()), strict=True)],
+            names=["pivot", "blocks", "steps", "n", "w"]
+        )
 
     def candidates(key: tuple, table: pa.Table) -> pa.Table:
         pivot, k = key[0].as_py(), table["blocks"][0].as_py()
@@ -242,7 +265,9 @@ def frequent_subsequences(
             got = support(*arrays(left), seqs) if seqs else []
             return result(key[0].as_py(), 0, [(s, n, w) for s, (n, w) in zip(seqs, got, strict=True)])
 
-        asked = proposed.where("blocks > 1").select("pivot", "steps", "blocks").distinct().select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "steps")
+        asked = proposed.where("blocks > 1").select("pivot", "steps", "blocks").distinct().select(
+            "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "steps"
+        )
         again = placed.where("blocks > 1").groupBy("pivot", "block").cogroup(asked.groupBy("pivot", "block")).applyInArrow(counted, found_schema)
         figured = proposed.where("blocks = 1").unionByName(again)
     summed = figured.groupBy("steps").agg(F.sum("n").alias("support"), F.sum("w").alias("weight"))
@@ -252,7 +277,10 @@ def frequent_subsequences(
         known = pa.array(ranks.value, arrow_kind)
         for batch in batches:
             steps = batch.column(0)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(steps.offsets, known.take(steps.values)), batch.column(1), batch.column(2)], names=["steps", "support", "weight"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(steps.offsets, known.take(steps.values)), batch.column(1), batch.column(2)],
+                names=["steps", "support", "weight"]
+            )
 
     spelled = frequent.mapInArrow(spell, f"steps array<{item_kind}>, support bigint, weight bigint")
     return spelled.select("steps", "support", "weight", F.lit(total.n).cast("bigint").alias("all_support"), F.lit(total.w).cast("bigint").alias("all_weight"))
@@ -264,12 +292,15 @@ def frequent_paths(records: DataFrame, **options) -> DataFrame:
 
 
 def distinct_stacks(records: DataFrame) -> DataFrame:
-    """``profile_id, frames, weight`` of each different stack; its weight is the sum over its different ``stack_id``, a null one 0. If an id has several weights the largest holds.
+    """``profile_id, frames, weight`` of each different stack; its weight is the sum over its different ``stack_id``, a null one 0. If an id has
+    several weights the largest holds.
 
     Only stacks whose 64-bit hash recurs are shuffled; the others stand alone.
     """
     rows = records.where("frames is not null").select("profile_id", "frames", "stack_id", "weight")
     coded, codes = recurring(rows, ["profile_id", "frames"])
-    again = coded.join(codes, "__code", "left_semi").groupBy("profile_id", "frames", "stack_id").agg(F.max("weight").alias("w")).groupBy("profile_id", "frames").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("weight"))
+    again = coded.join(codes, "__code", "left_semi").groupBy("profile_id", "frames", "stack_id").agg(F.max("weight").alias("w")).groupBy("profile_id", "frames").agg(
+        F.coalesce(F.sum("w"), F.lit(0)).alias("weight")
+    )
     alone = coded.join(codes, "__code", "left_anti").select("profile_id", "frames", F.coalesce("weight", F.lit(0)).alias("weight"))
     return alone.unionByName(again)

@@ -11,7 +11,10 @@ import numpy as np
 _ACCENTS = {
     "`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u0308", "=": "\u0304", ".": "\u0307", "u": "\u0306", "v": "\u030c", "H": "\u030b", "c": "\u0327", "k": "\u0328", "r": "\u030a", "d": "\u0323", "b": "\u0331",
 }
-_LETTERS = {"ss": "ß", "ae": "æ", "oe": "œ", "aa": "å", "o": "ø", "l": "ł", "i": "i", "j": "j", "AE": "Æ", "OE": "Œ", "AA": "Å", "O": "Ø", "L": "Ł", "dh": "ð", "th": "þ", "dj": "đ", "ng": "ŋ"}
+_LETTERS = {
+    "ss": "ß", "ae": "æ", "oe": "œ", "aa": "å", "o": "ø", "l": "ł", "i": "i", "j": "j", "AE": "Æ", "OE": "Œ", "AA": "Å", "O": "Ø", "L": "Ł",
+    "dh": "ð", "th": "þ", "dj": "đ", "ng": "ŋ"
+}
 
 _base = r"(?:\{\s*\\?([^\W\d_])\s*\}|\s*\\([ij])(?![A-Za-z])|{bare}([^\W\d_]))"
 _sign = r"\\([`'^~\"=.])\s*" + _base.replace("{bare}", "")
@@ -50,7 +53,8 @@ def plain(text: str) -> str:
 def bare(text: str | None) -> bytes:
     """The words of ``text`` in lower case, as UTF-8 in which they are the runs of ASCII letters and digits and of bytes above 127.
 
-    Words are runs of letters and digits. Commands count for nothing, their arguments and commented text stay, citations are dropped whole. A null text has none.
+    Words are runs of letters and digits. Commands count for nothing, their arguments and commented text stay, citations are dropped whole. A null
+    text has none.
     """
     if not text:
         return b""
@@ -71,7 +75,11 @@ MOST_TOGETHER = 4 * _PIECE
 _ODD = 0x9E3779B97F4A7C15
 POWERS = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(MOST_TOGETHER, _ODD, np.uint64))), dtype=np.uint64)
 INVERSE = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(MOST_TOGETHER, pow(_ODD, -1, 1 << 64), np.uint64))), dtype=np.uint64)
-_VALUES = np.where(_IN_WORD, (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) >> np.uint64(17)), np.uint64(0))
+_VALUES = np.where(
+    _IN_WORD,
+    (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) >> np.uint64(17)),
+    np.uint64(0)
+)
 
 
 def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

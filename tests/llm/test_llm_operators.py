@@ -82,7 +82,9 @@ def test_frequent_subsequences(spark, block_bytes):
     assert frequent_subsequences(df.limit(0), count_share=(1, 10), weight_share=(1, 10)).count() == 0
 
 
-def test_stacks_are_distinct(spark):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_stacks_are_distinct(spark, sent, monkeypatch):
+    monkeypatch.setattr("emberfold.operators.repeats.MOST_CODES_SENT", sent)
     rows = [(1, 1, ["a"], 2), (1, 1, ["a"], 2), (1, 2, ["a"], 3), (1, 3, ["a"], None), (1, 4, None, 7), (2, 1, ["a"], None)]
     df = spark.createDataFrame(rows, "profile_id bigint, stack_id bigint, frames array<string>, weight bigint")
     assert {(r[0], tuple(r[1]), r[2]) for r in distinct_stacks(df).collect()} == {(1, ("a",), 5), (2, ("a",), 0)}
@@ -118,7 +120,9 @@ def test_lossy_bounds(rows, epsilon):
         assert low <= n <= low + delta and delta <= epsilon * c.mass
 
 
-def test_frequent_items(spark):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_frequent_items(spark, sent, monkeypatch):
+    monkeypatch.setattr("emberfold.operators.repeats.MOST_CODES_SENT", sent)
     rng = random.Random(4)
     rows = [(i, rng.choice([None, "hot", f"x{rng.randrange(40)}", f"r{i}"]), rng.choice([None, 0, 1, 3])) for i in range(6000)]
     rows += rows[::50] + [(9000, "heavy", 900), (None, "hot", 1), (None, "hot", 1)]
