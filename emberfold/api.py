@@ -53,7 +53,9 @@ def _row_limit(limit: int, available: int) -> list[dict]:
 
 
 class Engine:
-    """Answers questions about the profiles registered in a workspace, or about profiles given directly. Profiles that were read are kept while they are among the ``kept`` last used."""
+    """Answers questions about the profiles registered in a workspace, or about profiles given directly. Profiles that were read are kept while they
+    are among the ``kept`` last used.
+    """
 
     def __init__(self, spark: SparkSession, workspace: str | Path = ".", kept: int = 8, limits: Limits = Limits()) -> None:
         if kept < 1:
@@ -71,7 +73,10 @@ class Engine:
         if key not in self._read:
             if registry.fingerprint(path) != entry["fingerprint"]:
                 raise ApiError("registry_corrupt", "A stored profile isn't what was registered", {"alias": alias}, "Register the profile again.")
-            meta = {"canonical_path": registry.text_of(path.resolve()), "fingerprint": entry["fingerprint"], "byte_len": stat.st_size, "modified_unix_ms": stat.st_mtime_ns // 1_000_000, "alias": alias}
+            meta = {
+                "canonical_path": registry.text_of(path.resolve()), "fingerprint": entry["fingerprint"], "byte_len": stat.st_size,
+                "modified_unix_ms": stat.st_mtime_ns // 1_000_000, "alias": alias
+            }
             self._read[key] = read_profile(self.spark, str(path), self.limits, meta)
             while len(self._read) > self.kept:
                 self._read.popitem(last=False)
@@ -80,14 +85,19 @@ class Engine:
 
     @staticmethod
     def _envelope(p: Profile, scope: int, reasons: list, warnings: list, data: dict) -> dict:
-        return {"schema_version": SCHEMA_VERSION, "profile": p.meta, "scope_weight": scope, "truncated": bool(reasons), "truncation_reasons": reasons, "warnings": warnings, "data": data}
+        return {
+            "schema_version": SCHEMA_VERSION, "profile": p.meta, "scope_weight": scope, "truncated": bool(reasons), "truncation_reasons": reasons,
+            "warnings": warnings, "data": data
+        }
 
     @staticmethod
     def _ids(p: Profile, names: set[str]) -> dict[str, int]:
         return {r["name"]: r["frame_id"] for r in p.ids.where(F.col("name").isin(sorted(names))).collect()} if names else {}
 
     def _pattern(self, pattern: str) -> str:
-        """The pattern for Java with Unicode classes, a dot for all but the line feed and ``$`` at the very end; look-around and references to groups aren't part of the dialect."""
+        """The pattern for Java with Unicode classes, a dot for all but the line feed and ``$`` at the very end; look-around and references to groups
+        aren't part of the dialect.
+        """
         if len(pattern.encode()) > 4096:
             raise ApiError("invalid_regex", "The pattern is longer than 4 KiB", {"length": len(pattern.encode())}, "Use a shorter pattern.")
         bare = re.sub(r"\\\\", "", pattern)
@@ -113,15 +123,24 @@ class Engine:
     def _frame_rows(self, p: Profile, rows: list, metric: str, scope: int) -> list[dict]:
         ids = self._ids(p, {r["name"] for r in rows})
         return [
-            {"frame_id": ids[r["name"]], **{k: r[k] for k in ("name", "self_weight", "inclusive_weight", "stack_count")}, "profile_percent": _pct(r[metric], p.total_weight), "scope_percent": _pct(r[metric], scope)} for r in rows
+            {
+                "frame_id": ids[r["name"]], **{k: r[k] for k in ("name", "self_weight", "inclusive_weight", "stack_count")},
+                "profile_percent": _pct(r[metric], p.total_weight), "scope_percent": _pct(r[metric], scope)
+            } for r in rows
         ]
 
     def summary(self, profile: str | Profile | None = None) -> dict:
         p = self.load(profile)
         stats = P.frame_stats(p.stacks)
-        top = {name: self._frame_rows(p, stats.orderBy(*P.order_of(m)).limit(5).collect(), m, p.total_weight) for name, m in (("top_self", "self_weight"), ("top_inclusive", "inclusive_weight"))}
+        top = {
+            name: self._frame_rows(p, stats.orderBy(*P.order_of(m)).limit(5).collect(), m, p.total_weight) for name,
+            m in (("top_self", "self_weight"), ("top_inclusive", "inclusive_weight"))
+        }
         unknown = p.stacks.where(F.array_contains("frames", P.UNKNOWN)).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()["w"]
-        data = {"total_weight": p.total_weight, "frame_count": p.frame_count, "unique_stack_count": p.unique_stacks, "max_depth": p.max_depth, "unknown_frame_weight": unknown, **top}
+        data = {
+            "total_weight": p.total_weight, "frame_count": p.frame_count, "unique_stack_count": p.unique_stacks, "max_depth": p.max_depth,
+            "unknown_frame_weight": unknown, **top
+        }
         reasons = []
         if not isinstance(profile, Profile):
             status = registry.status(self.workspace)
@@ -143,8 +162,15 @@ class Engine:
         near = P.symbol_context(p.stacks).where(F.col("name").isin([r["name"] for r in rows])).orderBy("rank").collect() if rows else []
         ids = self._ids(p, {r["other"] for r in near})
         for r in rows:
-            r["context_hint"] = {f"top_{side}s": [{"frame_id": ids[x["other"]], "name": x["other"], "weight": x["weight"]} for x in near if x["name"] == r["name"] and x["side"] == side] for side in ("caller", "callee")}
-        return self._envelope(p, p.total_weight, _row_limit(limit, available), [] if rows else [NO_MATCH], {"query": query, "mode": mode, "symbol_metadata": CONTEXT_ONLY, "matches": rows})
+            r["context_hint"] = {
+                f"top_{side}s": [
+                    {"frame_id": ids[x["other"]], "name": x["other"], "weight": x["weight"]} for x in near if x["name"] == r["name"] and x["side"] == side
+                ] for side in ("caller", "callee")
+            }
+        return self._envelope(
+            p, p.total_weight, _row_limit(limit, available), [] if rows else [NO_MATCH],
+            {"query": query, "mode": mode, "symbol_metadata": CONTEXT_ONLY, "matches": rows}
+        )
 
     def top(self, sort: str = "self", limit: int = 20, focus: dict | None = None, name_regex: str | None = None, profile: str | Profile | None = None) -> dict:
         p = self.load(profile)
@@ -161,11 +187,17 @@ class Engine:
         data = {"sort": sort, "focus": frame and frame[0], "rows": self._frame_rows(p, rows, METRICS[sort], scope)}
         return self._envelope(p, scope, _row_limit(limit, rows[0]["available"] if rows else 0), [], data)
 
-    def tree(self, root_node_id: int = 0, profile_fingerprint: str | None = None, max_depth: int = 4, max_nodes: int = 64, min_scope_percent: float = 0.1, profile: str | Profile | None = None) -> dict:
+    def tree(
+        self, root_node_id: int = 0, profile_fingerprint: str | None = None, max_depth: int = 4, max_nodes: int = 64, min_scope_percent: float = 0.1,
+        profile: str | Profile | None = None
+    ) -> dict:
         p = self.load(profile)
         _tree_budget(max_depth, max_nodes, min_scope_percent)
         if root_node_id and profile_fingerprint != p.meta.get("fingerprint"):
-            raise ApiError("profile_changed", "Node ids hold for one fingerprint only", {"expected": profile_fingerprint, "actual": p.meta.get("fingerprint")}, "Start again at node 0.")
+            raise ApiError(
+                "profile_changed", "Node ids hold for one fingerprint only", {"expected": profile_fingerprint, "actual": p.meta.get("fingerprint")},
+                "Start again at node 0."
+            )
         root = p.nodes().where(F.col("node_id") == root_node_id).first()
         if root is None and not (root_node_id == 0 and not p.unique_stacks):
             raise ApiError("invalid_node_id", f"No node {root_node_id}", {"node_id": root_node_id}, "Use a node id of a tree page.")
@@ -173,13 +205,20 @@ class Engine:
         shown, omitted = T.tree_page(p.stacks, path, max_depth, max_nodes, min_scope_percent)
         full = lambda rows: [";".join([*path, *r["path"]]) for r in rows]
         rows, reasons, next_ = shown.orderBy("rank").collect(), T.omitted_by_reason(omitted).orderBy("reason").collect(), T.continuations(omitted).orderBy("rank").collect()
-        left = {tuple(r["parent"]): (r["n"], r["w"]) for r in omitted.groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_weight").alias("w")).collect()}
+        left = {
+            tuple(r["parent"]): (r["n"], r["w"]) for r in omitted.groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("parent")).agg(
+                F.count(F.lit(1)).alias("n"), F.sum("total_weight").alias("w")
+            ).collect()
+        }
         # at most 512 + 128 paths
         wanted = full(rows) + full(next_)
         node = {r["path"]: r["node_id"] for r in p.nodes().where(F.col("path").isin(wanted)).collect()} if p.unique_stacks else {"": 0}
         ids = self._ids(p, {w.rsplit(";", 1)[-1] for w in wanted if w})
         scope = rows[0]["total_weight"] if rows else 0
-        made = self._nested(p, rows, left, scope, lambda q: (node[";".join([*path, *q])], [*path, *q]), ids) if rows else {"node_id": 0, "frame_id": None, "name": None, "self_weight": 0, "total_weight": 0, "profile_percent": 0.0, "scope_percent": 0.0, "omitted_children": 0, "omitted_weight": 0, "children": []}
+        made = self._nested(p, rows, left, scope, lambda q: (node[";".join([*path, *q])], [*path, *q]), ids) if rows else {
+            "node_id": 0, "frame_id": None, "name": None, "self_weight": 0, "total_weight": 0, "profile_percent": 0.0, "scope_percent": 0.0,
+            "omitted_children": 0, "omitted_weight": 0, "children": []
+        }
         available = sum(r["children"] for r in reasons)
         continued = [
             {
@@ -188,7 +227,10 @@ class Engine:
             }
             for r, w in zip(next_, full(next_), strict=True)
         ]
-        data = {"root": made, "continuations": continued, "continuations_truncated": available > len(continued), "continuation_limit": T.CONTINUATIONS, "continuations_available": available, "continuations_omitted": available - len(continued)}
+        data = {
+            "root": made, "continuations": continued, "continuations_truncated": available > len(continued), "continuation_limit": T.CONTINUATIONS,
+            "continuations_available": available, "continuations_omitted": available - len(continued)
+        }
         return self._envelope(p, scope, self._tree_reasons(reasons, max_depth, max_nodes, min_scope_percent), [], data)
 
     @staticmethod
@@ -219,12 +261,19 @@ class Engine:
         frame_id, name = self._frame(p, frame)
         shown, omitted = T.tree_page(T.chains(p.stacks, name, upward), None, max_depth, max_nodes, min_scope_percent)
         rows, reasons = shown.orderBy("rank").collect(), T.omitted_by_reason(omitted).orderBy("reason").collect()
-        left = {tuple(r["parent"]): (r["n"], r["w"]) for r in omitted.groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_weight").alias("w")).collect()}
+        left = {
+            tuple(r["parent"]): (r["n"], r["w"]) for r in omitted.groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("parent")).agg(
+                F.count(F.lit(1)).alias("n"), F.sum("total_weight").alias("w")
+            ).collect()
+        }
         scope = rows[0]["total_weight"]
         ids = self._ids(p, {x for r in rows for x in r["path"][-1:]}) | {name: frame_id}
         root = self._nested(p, rows, left, scope, lambda q: (None, [name, *q]), ids)
         stats = P.frame_stats(p.stacks).where(F.col("name") == name).collect()
-        return self._envelope(p, scope, self._tree_reasons(reasons, max_depth, max_nodes, min_scope_percent), [], {"frame": self._frame_rows(p, stats, "inclusive_weight", scope)[0], "root": root})
+        return self._envelope(
+            p, scope, self._tree_reasons(reasons, max_depth, max_nodes, min_scope_percent), [],
+            {"frame": self._frame_rows(p, stats, "inclusive_weight", scope)[0], "root": root}
+        )
 
     def callers(self, frame: dict, max_depth: int = 5, max_nodes: int = 64, min_scope_percent: float = 0.1, profile: str | Profile | None = None) -> dict:
         return self._directional(frame, max_depth, max_nodes, min_scope_percent, profile, True)
@@ -255,7 +304,13 @@ class Engine:
         reasons = _row_limit(limit, own["n"])
         cropped = [r for r in chosen if r["requested_start"] or r["requested_end"] < r["total_depth"]]
         if cropped:
-            reasons.append({"kind": "frame_window", "mode": w.mode, "cropped_paths": len(cropped), "total_omitted_before": sum(r["requested_start"] for r in cropped), "total_omitted_after": sum(r["total_depth"] - r["requested_end"] for r in cropped)})
+            reasons.append(
+                {
+                    "kind": "frame_window", "mode": w.mode, "cropped_paths": len(cropped),
+                    "total_omitted_before": sum(r["requested_start"] for r in cropped),
+                    "total_omitted_after": sum(r["total_depth"] - r["requested_end"] for r in cropped)
+                }
+            )
         wanted, got = sum(r["requested_end"] - r["requested_start"] for r in chosen), sum(len(r["frames"]) for r in rows)
         budget = {
             "limit": max_total_frames, "available": wanted, "returned": got, "omitted": wanted - got, "selected_paths": len(chosen), "returned_paths": len(rows), "omitted_paths": len(chosen) - len(rows),
@@ -265,7 +320,10 @@ class Engine:
             reasons.append({"kind": "total_frame_budget", **budget})
         return self._envelope(p, own["w"], reasons, [], {"through": frame_id, "paths": rows, "total_frame_budget": budget})
 
-    def diff(self, baseline: str | Profile, candidate: str | Profile, metric: str = "self", sort: str = "regression", limit: int = 30, name_regex: str | None = None) -> dict:
+    def diff(
+        self, baseline: str | Profile, candidate: str | Profile, metric: str = "self", sort: str = "regression", limit: int = 30,
+        name_regex: str | None = None
+    ) -> dict:
         b, c = self.load(baseline), self.load(candidate)
         _one_of(metric, METRICS, "metric")
         _one_of(sort, ("regression", "improvement", "absolute"), "sort")
@@ -276,6 +334,8 @@ class Engine:
         available = (names if pattern is None else names.where(F.col("name").rlike(pattern))).count()
         reasons = _row_limit(limit, available)
         return {
-            "schema_version": SCHEMA_VERSION, "baseline": b.meta, "candidate": c.meta, "scope_weight": {"baseline": b.total_weight, "candidate": c.total_weight}, "truncated": bool(reasons), "truncation_reasons": reasons, "warnings": [NO_CAUSE],
+            "schema_version": SCHEMA_VERSION, "baseline": b.meta, "candidate": c.meta, "scope_weight": {
+                "baseline": b.total_weight, "candidate": c.total_weight
+            }, "truncated": bool(reasons), "truncation_reasons": reasons, "warnings": [NO_CAUSE],
             "data": {"metric": metric, "sort": sort, "rows": [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows.orderBy("rank").collect()]},
         }

@@ -19,7 +19,8 @@ _MASK = "
 def _csv(line: Column) -> tuple[Column, Column]:
     """The fields as they stand, quotes included and quoted commas masked, and whether the quoting is broken.
 
-    Quotes toggle, so a field is well quoted exactly if it is a row of closed pieces and nothing else; a doubled quote ends one piece and begins the next.
+    Quotes toggle, so a field is well quoted exactly if it is a row of closed pieces and nothing else; a doubled quote ends one piece and begins the
+    next.
     """
     pieces = F.split(line, '"', -1)
     masked = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.translate(x, ",", _MASK)).otherwise(x)), '"')
@@ -37,10 +38,11 @@ def _value(field: Column) -> Column:
 def with_errors(raw: DataFrame, *, fmt: str = "fmt", line: str = "line", max_weight: int = MAX_WEIGHT, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``raw`` with ``__errors`` (reasons in the order of the rules), ``__blank``, ``__frames``, ``__weight``, ``__csv_profile`` and ``__csv_stack``.
 
-    ``fmt`` is ``folded`` (``stack WS weight``) or ``csv`` (``profile_id,stack_id,stack,weight``, fields may stand in double quotes). Rules in order: ``unknown_format`` (null or any other format);
-    for csv ``broken_quoting``, ``column_count``; for folded ``invalid_folded_line`` without whitespace before a weight; then for both ``invalid_folded_line``
-    (empty stack), ``invalid_weight`` (not ASCII digits after at most one plus, or zero), ``weight_overflow``, ``invalid_folded_line`` (an empty frame), ``stack_too_deep``.
-    A null line and a folded line of whitespace only are blank: no record and no failure. ``__weight`` is a bigint, or a decimal if ``max_weight`` is larger than one.
+    ``fmt`` is ``folded`` (``stack WS weight``) or ``csv`` (``profile_id,stack_id,stack,weight``, fields may stand in double quotes). Rules in order:
+    ``unknown_format`` (null or any other format); for csv ``broken_quoting``, ``column_count``; for folded ``invalid_folded_line`` without whitespace
+    before a weight; then for both ``invalid_folded_line`` (empty stack), ``invalid_weight`` (not ASCII digits after at most one plus, or zero),
+    ``weight_overflow``, ``invalid_folded_line`` (an empty frame), ``stack_too_deep``. A null line and a folded line of whitespace only are blank: no
+    record and no failure. ``__weight`` is a bigint, or a decimal if ``max_weight`` is larger than one.
     """
     kind = "bigint" if max_weight < 1 << 63 else "decimal(20,0)"
     text, form = F.col(f"`{line}`"), F.col(f"`{fmt}`")
@@ -90,7 +92,9 @@ def with_errors(raw: DataFrame, *, fmt: str = "fmt", line: str = "line", max_wei
 
 
 def valid_records(raw: DataFrame, id_col: str = "raw_id", profile: str = "profile_id", **kw) -> DataFrame:
-    """The records that parse: ``id, profile, stack_id, frames, weight``. The profile and the stack of a csv line are its own if they are whole numbers, else the row's and null."""
+    """The records that parse: ``id, profile, stack_id, frames, weight``. The profile and the stack of a csv line are its own if they are whole
+    numbers, else the row's and null.
+    """
     own = F.expr("try_cast(__csv_profile as bigint)")
     return with_errors(raw, **kw).where("size(__errors) = 0 and not __blank").select(
         F.col(f"`{id_col}`"), F.coalesce(own, F.col(f"`{profile}`")).alias(profile), F.expr("try_cast(__csv_stack as bigint)").alias("stack_id"), F.col("__frames").alias("frames"), F.col("__weight").alias("weight")
@@ -101,5 +105,7 @@ def failed_records(raw: DataFrame, id_col: str = "raw_id", **kw) -> DataFrame:
     """The lines that don't parse: ``id, reason`` (the first), ``reasons`` (all) and ``preview`` (200 characters, control characters replaced)."""
     line = kw.get("line", "line")
     return with_errors(raw, **kw).where("size(__errors) > 0").select(
-        F.col(f"`{id_col}`"), F.get("__errors", F.lit(0)).alias("reason"), F.col("__errors").alias("reasons"), F.regexp_replace(F.left(F.col(f"`{line}`"), F.lit(200)), r"\p{Cc}", "�").alias("preview")
+        F.col(f"`{id_col}`"), F.get("__errors", F.lit(0)).alias("reason"), F.col("__errors").alias("reasons"), F.regexp_replace(
+            F.left(F.col(f"`{line}`"), F.lit(200)), r"\p{Cc}", "�"
+        ).alias("preview")
     )

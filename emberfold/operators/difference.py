@@ -1,14 +1,13 @@
 """Differences between two copies of a table, found by set reconciliation.
 
-Each side turns every distinct row into one element of GF(2^61 - 1) and every bucket of rows into the
-values of its characteristic polynomial at a few points. Only these values meet. The quotient of both
-sides' values is a rational function whose numerator and denominator vanish at the rows held by one side
-only; both are interpolated under a degree bound that doubles, for the buckets that fail verification.
-The coefficients go back to the sides, where a bucket's own elements that are roots are the rows that the other
-side lacks. The keys of these rows are then fetched from both sides and compared exactly.
-
-Buckets are hashes of whole rows, so no key fills one, whatever number of different rows it has. A bucket that only one side has differs
-as a whole; one whose differences exceed ``most_bound`` has no sketch that is smaller than its elements, so the elements themselves are held against each other.
+Each side turns every distinct row into one element of GF(2^61 - 1) and every bucket of rows into the values of its characteristic polynomial at a few
+points. Only these values meet. The quotient of both sides' values is a rational function whose numerator and denominator vanish at the rows held by
+one side only; both are interpolated under a degree bound that doubles, for the buckets that fail verification. The coefficients go back to the sides,
+where a bucket's own elements that are roots are the rows that the other side lacks. The keys of these rows are then fetched from both sides and
+compared exactly.
+
+Buckets are hashes of whole rows, so no key fills one, whatever number of different rows it has. A bucket that only one side has differs as a whole;
+one whose differences exceed ``most_bound`` has no sketch that is smaller than its elements, so the elements themselves are held against each other.
 All of it is linear in the rows at any rate of differences.
 """
 
@@ -75,10 +74,11 @@ def inverse(a: np.ndarray) -> np.ndarray:
 
 
 def interpolate(a: np.ndarray, b: np.ndarray, degree_a: np.ndarray, degree_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of values at 1, 2, ..: coefficients of monic ``num`` and ``den`` of the given degrees with ``num / den = a / b``, the degree of what both have in common, and whether the further values agree.
+    """Of each row of values at 1, 2, ..: coefficients of monic ``num`` and ``den`` of the given degrees with ``num / den = a / b``, the degree of
+    what both have in common, and whether the further values agree.
 
-    ``degree_a + degree_b`` is the same number ``m`` for all rows; the first ``m`` values give one linear system for each row, solved by elimination in all rows at once.
-    Each difference that a pair has less than ``m`` takes one from the system's rank and stands in both polynomials as a factor.
+    ``degree_a + degree_b`` is the same number ``m`` for all rows; the first ``m`` values give one linear system for each row, solved by elimination
+    in all rows at once. Each difference that a pair has less than ``m`` takes one from the system's rank and stands in both polynomials as a factor.
     """
     rows, points = a.shape
     m = int(degree_a[0] + degree_b[0])
@@ -132,9 +132,11 @@ def horner(coefficients: np.ndarray, x: np.ndarray | np.uint64) -> np.ndarray:
 
 
 def reconcile(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``solved, num, den, only_a, only_b`` of pairs of sets, from their sizes and their values at 1..bound + CHECKS: the polynomials among whose roots are the elements of either side only, and the numbers of these.
+    """``solved, num, den, only_a, only_b`` of pairs of sets, from their sizes and their values at 1..bound + CHECKS: the polynomials among whose
+    roots are the elements of either side only, and the numbers of these.
 
-    A pair has a parity that the difference of its sizes gives, so pairs of even and odd bounds are solved apart. A pair isn't solved if the bound is too low for it.
+    A pair has a parity that the difference of its sizes gives, so pairs of even and odd bounds are solved apart. A pair isn't solved if the bound is
+    too low for it.
     """
     d = n_a - n_b
     rows = len(d)
@@ -170,7 +172,9 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packets(df: DataFrame, key: list[str], fields: list[str], buckets: int) -> DataFrame:
-    """``bucket, hs, ks``: the elements of one side's different rows and the hashes of their keys, a row for each bucket. Repeated rows are dropped within batches before they move and for good behind the shuffle."""
+    """``bucket, hs, ks``: the elements of one side's different rows and the hashes of their keys, a row for each bucket. Repeated rows are dropped
+    within batches before they move and for good behind the shuffle.
+    """
     element = F.pmod(_hash(key + fields, "row"), F.lit(P - FIRST_ELEMENT)) + FIRST_ELEMENT
     rows = df.select(F.pmod(_hash(key + fields, "bucket"), F.lit(buckets)).alias("bucket"), element.alias("h"), _hash(key, "key").alias("k"))
 
@@ -212,13 +216,18 @@ def _sketch(packets: DataFrame, points: int, side: str) -> DataFrame:
             for part in (batch.slice(lo, 1000) for lo in range(0, batch.num_rows, 1000)):
                 h, ends = _flat(part.column(1))
                 values = characteristic(h.astype(np.uint64), ends[:-1], points)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), *_lists(np.arange(len(values)) * points, values.reshape(-1))], names=["bucket", f"n_{side}", side])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(ends)), *_lists(np.arange(len(values)) * points, values.reshape(-1))],
+                    names=["bucket", f"n_{side}", side]
+                )
 
     return packets.select("bucket", "hs").mapInArrow(run, f"bucket bigint, n_{side} bigint, {side} array<bigint>")
 
 
 def _solve(pairs: DataFrame, bound: int) -> DataFrame:
-    """``bucket, solved, a, b, only_a, only_b``: each side's polynomial and how many of its elements are roots. If one side has nothing, the other's polynomial is 0, of which all elements are roots."""
+    """``bucket, solved, a, b, only_a, only_b``: each side's polynomial and how many of its elements are roots. If one side has nothing, the other's
+    polynomial is 0, of which all elements are roots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,13 +243,18 @@ def _solve(pairs: DataFrame, bound: int) -> DataFrame:
                 alone = (other == 0) & (own > 0)
                 poly[alone], only[alone], rest[alone], solved[alone] = 0, own[alone], 0, True
             starts = np.arange(batch.num_rows) * (bound + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(solved), *_lists(starts, num.reshape(-1), den.reshape(-1)), pa.array(only_a), pa.array(only_b)], names=["bucket", "solved", "a", "b", "only_a", "only_b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(solved), *_lists(starts, num.reshape(-1), den.reshape(-1)), pa.array(only_a), pa.array(only_b)],
+                names=["bucket", "solved", "a", "b", "only_a", "only_b"]
+            )
 
     return pairs.mapInArrow(run, "bucket bigint, solved boolean, a array<bigint>, b array<bigint>, only_a bigint, only_b bigint")
 
 
 def _roots(packets: DataFrame, solved: DataFrame, side: str) -> DataFrame:
-    """``bucket, k``: the key hashes of this side's elements that are roots; a null one for a bucket with another number of them than the solution has."""
+    """``bucket, k``: the key hashes of this side's elements that are roots; a null one for a bucket with another number of them than the solution
+    has.
+    """
     asked = solved.where(F.col("solved") & (F.col(f"only_{side}") > 0)).select("bucket", F.col(side).alias("poly"), F.col(f"only_{side}").alias("only"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +267,13 @@ def _roots(packets: DataFrame, solved: DataFrame, side: str) -> DataFrame:
                 root = horner(poly[place], h.astype(np.uint64)) == 0
                 bucket = part.column(0).to_numpy(zero_copy_only=False)
                 wrong = bucket[np.bincount(place[root], minlength=part.num_rows) != part.column(4).to_numpy(zero_copy_only=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(bucket[place[root]], wrong)), pa.array(np.append(k[root], wrong), mask=np.append(np.zeros(root.sum(), bool), np.ones(len(wrong), bool)))], names=["bucket", "k"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.append(bucket[place[root]], wrong)),
+                        pa.array(np.append(k[root], wrong), mask=np.append(np.zeros(root.sum(), bool), np.ones(len(wrong), bool)))
+                    ],
+                    names=["bucket", "k"]
+                )
 
     return packets.join(asked, "bucket").mapInArrow(run, "bucket bigint, k bigint")
 
@@ -263,10 +283,11 @@ def table_difference(
 ) -> DataFrame:
     """Differing rows of two copies: ``key columns, field``, where ``field`` is ``missing_in_copy``, ``missing_in_base`` or a name of ``fields``.
 
-    Repeated rows count once; row order and columns other than ``key`` and ``fields`` don't matter. Null equals only null, in keys too. If one side has several
-    different rows of a key, a field differs unless both sides have the same set of values. Two empty tables give no rows; an empty side makes all keys
-    of the other missing. ``bucket_rows`` is the mean size of a bucket; ``first_bound`` is the degree bound of the first round, doubled for unsolved buckets up to ``most_bound``; buckets with
-    more differences are compared element by element. Differing rows go unseen only if their 61-bit elements agree inside a bucket.
+    Repeated rows count once; row order and columns other than ``key`` and ``fields`` don't matter. Null equals only null, in keys too. If one side
+    has several different rows of a key, a field differs unless both sides have the same set of values. Two empty tables give no rows; an empty side
+    makes all keys of the other missing. ``bucket_rows`` is the mean size of a bucket; ``first_bound`` is the degree bound of the first round, doubled
+    for unsolved buckets up to ``most_bound``; buckets with more differences are compared element by element. Differing rows go unseen only if their
+    61-bit elements agree inside a bucket.
     """
     rows = max(base.count(), copy.count())
     buckets = max(1, -(-rows // bucket_rows))
@@ -288,7 +309,9 @@ def table_difference(
         bound *= 2
         if bound > most_bound:
             each = [x.select("bucket", F.explode(F.arrays_zip("hs", "ks")).alias("e"), F.lit(s).alias("s")) for s, x in enumerate(left)]
-            alone = each[0].unionByName(each[1]).groupBy("bucket", F.col("e.hs").alias("h")).agg(F.first("e.ks").alias("k"), F.min("s").alias("low"), F.max("s").alias("high"))
+            alone = each[0].unionByName(each[1]).groupBy("bucket", F.col("e.hs").alias("h")).agg(
+                F.first("e.ks").alias("k"), F.min("s").alias("low"), F.max("s").alias("high")
+            )
             found.append(alone.where("low = high").select("k"))
             break
     affected = found[0]

@@ -13,7 +13,9 @@ from .profile import containing, weight_of
 
 @dataclass(frozen=True)
 class FrameWindow:
-    """What of a stack is shown: ``head`` or ``tail`` of ``lines`` frames, or ``around_target``: ``before`` the first and ``after`` the last occurrence."""
+    """What of a stack is shown: ``head`` or ``tail`` of ``lines`` frames, or ``around_target``: ``before`` the first and ``after`` the last
+    occurrence.
+    """
 
     mode: str
     lines: int = 0
@@ -33,10 +35,12 @@ def _range(window: FrameWindow | None, n: Column, first: Column, last: Column) -
 
 
 def selected_paths(stacks: DataFrame, name: str, limit: int = 10, window: FrameWindow | None = None, max_total_frames: int = 500) -> DataFrame:
-    """All selected rows, also those without budget left: ``rank, frames, weight, target_positions, display_target_positions, total_depth, requested_start, requested_end, frame_start, frame_end, available``.
+    """All selected rows, also those without budget left: ``rank, frames, weight, target_positions, display_target_positions, total_depth,
+    requested_start, requested_end, frame_start, frame_end, available``.
 
-    Rows are the heaviest stacks with the frame, ties by their frames. The budget is spent in this order; the row that overflows it is cropped, at its end for a head, at its start for a
-    tail, else around the first occurrence. Positions count from 0. No window or budget changes weights or the selection.
+    Rows are the heaviest stacks with the frame, ties by their frames. The budget is spent in this order; the row that overflows it is cropped, at its
+    end for a head, at its start for a tail, else around the first occurrence. Positions count from 0. No window or budget changes weights or the
+    selection.
     """
     order = [F.desc("weight"), F.asc("frames")]
     own = stacks.where(F.array_contains("frames", name)).orderBy(*order).limit(limit)
@@ -72,6 +76,8 @@ def paths(stacks: DataFrame, name: str, **kw) -> DataFrame:
     held = rows.withColumns({"total": weight_of(stacks), "scope": weight_of(containing(stacks, name))})
     return held.select(
         "rank", "frames", "weight", percent(F.col("weight"), F.col("total")).alias("profile_percent"), percent(F.col("weight"), F.col("scope")).alias("scope_percent"), "target_positions", "display_target_positions", "total_depth",
-        "requested_start", "requested_end", "frame_start", "frame_end", F.col("frame_start").alias("omitted_before"), (F.col("total_depth") - F.col("frame_end")).alias("omitted_after"),
+        "requested_start", "requested_end", "frame_start", "frame_end", F.col("frame_start").alias("omitted_before"), (
+            F.col("total_depth") - F.col("frame_end")
+        ).alias("omitted_after"),
         (F.col("frame_start") - F.col("requested_start")).alias("budget_omitted_before"), (F.col("requested_end") - F.col("frame_end")).alias("budget_omitted_after"),
     )

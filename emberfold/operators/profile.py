@@ -44,9 +44,13 @@ def frame_ids(stacks: DataFrame, line: str = "frames") -> DataFrame:
 
 
 def numbered_by(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """``rows`` with their place from 0 in the order of ``order``, whose values differ, without one task that sees all: sorted by ranges, counted by range, and shifted."""
+    """``rows`` with their place from 0 in the order of ``order``, whose values differ, without one task that sees all: sorted by ranges, counted by
+    range, and shifted.
+    """
     parts = rows.sparkSession.sparkContext.defaultParallelism
-    local = rows.repartitionByRange(parts, order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
+    local = rows.repartitionByRange(parts, order).sortWithinPartitions(order).select(
+        "*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__row")
+    )
     fixed = materialize(local)
     # one row a range
     sizes = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).drop("n")
@@ -54,11 +58,15 @@ def numbered_by(rows: DataFrame, order: str, name: str) -> DataFrame:
 
 
 def frame_stats(stacks: DataFrame, *by: str) -> DataFrame:
-    """``[by,] name, self_weight, inclusive_weight, stack_count``: each stack counts once for a frame, however often it recurs there; self weight is that of the stacks it ends."""
+    """``[by,] name, self_weight, inclusive_weight, stack_count``: each stack counts once for a frame, however often it recurs there; self weight is
+    that of the stacks it ends.
+    """
     leaf = F.element_at("frames", -1)
     each = stacks.select(*by, "weight", leaf.alias("leaf"), F.explode(F.array_distinct("frames")).alias("name"))
     return each.groupBy(*by, "name").agg(
-        F.sum(F.when(F.col("name") == F.col("leaf"), F.col("weight")).otherwise(F.lit(0))).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("inclusive_weight"), F.count(F.lit(1)).alias("stack_count")
+        F.sum(
+            F.when(F.col("name") == F.col("leaf"), F.col("weight")).otherwise(F.lit(0))
+        ).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("inclusive_weight"), F.count(F.lit(1)).alias("stack_count")
     )
 
 
@@ -66,7 +74,10 @@ def ranked(stats: DataFrame, metric: str, total: Column | int, scope: Column | i
     """Frame rows with both percentages of ``metric``."""
     w = F.col(metric)
     value = lambda x: F.lit(x) if isinstance(x, int) else x
-    return stats.select("name", "self_weight", "inclusive_weight", "stack_count", percent(w, value(total)).alias("profile_percent"), percent(w, value(scope)).alias("scope_percent"))
+    return stats.select(
+        "name", "self_weight", "inclusive_weight", "stack_count", percent(w, value(total)).alias("profile_percent"),
+        percent(w, value(scope)).alias("scope_percent")
+    )
 
 
 def order_of(metric: str) -> list[Column]:
@@ -88,22 +99,34 @@ def with_scope(stats: DataFrame, stacks: DataFrame, in_scope: DataFrame) -> Data
 
 
 def top(stacks: DataFrame, metric: str = "self_weight", limit: int = 20, focus: str | None = None, name_regex: str | None = None) -> DataFrame:
-    """``rank`` and frame rows by a metric. ``focus`` keeps only stacks with that frame, for figures and scope alike; ``name_regex`` drops rows, never weight."""
+    """``rank`` and frame rows by a metric. ``focus`` keeps only stacks with that frame, for figures and scope alike; ``name_regex`` drops rows, never
+    weight.
+    """
     own = stacks if focus is None else containing(stacks, focus)
     stats = frame_stats(own)
     if name_regex is not None:
         stats = stats.where(F.col("name").rlike(name_regex))
     held = with_scope(numbered(stats, order_of(metric), limit), stacks, own)
     w = F.col(metric)
-    return held.select("rank", "name", "self_weight", "inclusive_weight", "stack_count", percent(w, F.col("total")).alias("profile_percent"), percent(w, F.col("scope")).alias("scope_percent"))
+    return held.select(
+        "rank", "name", "self_weight", "inclusive_weight", "stack_count", percent(w, F.col("total")).alias("profile_percent"),
+        percent(w, F.col("scope")).alias("scope_percent")
+    )
 
 
 def neighbours(stacks: DataFrame) -> DataFrame:
-    """``name, side, other, weight``: the weight of the stacks where ``other`` directly calls (``side`` ``caller``) or is called by (``callee``) ``name``, each stack once for a pair."""
+    """``name, side, other, weight``: the weight of the stacks where ``other`` directly calls (``side`` ``caller``) or is called by (``callee``)
+    ``name``, each stack once for a pair.
+    """
     n = F.size("frames")
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.element_at("frames", i).alias("up"), F.element_at("frames", i + 1).alias("down"))))
+    pairs = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.element_at("frames", i).alias("up"), F.element_at("frames", i + 1).alias("down")))
+    )
     each = stacks.where(n > 1).select("weight", F.explode(pairs).alias("p")).groupBy("p.up", "p.down").agg(F.sum("weight").cast("bigint").alias("weight"))
-    both = F.array(F.struct(F.col("down").alias("name"), F.lit("caller").alias("side"), F.col("up").alias("other")), F.struct(F.col("up").alias("name"), F.lit("callee").alias("side"), F.col("down").alias("other")))
+    both = F.array(
+        F.struct(F.col("down").alias("name"), F.lit("caller").alias("side"), F.col("up").alias("other")),
+        F.struct(F.col("up").alias("name"), F.lit("callee").alias("side"), F.col("down").alias("other"))
+    )
     return each.select(F.explode(both).alias("e"), "weight").select("e.name", "e.side", "e.other", "weight")
 
 
@@ -118,11 +141,16 @@ def find(stacks: DataFrame, query: str, mode: str = "contains", limit: int = 20)
     fits = F.contains("name", F.lit(query)) if mode == "contains" else F.col("name").rlike(query)
     held = with_scope(numbered(frame_stats(stacks).where(fits), order_of("inclusive_weight"), limit), stacks, stacks)
     w = F.col("inclusive_weight")
-    return held.select("rank", "name", "self_weight", "inclusive_weight", "stack_count", percent(w, F.col("total")).alias("profile_percent"), percent(w, F.col("scope")).alias("scope_percent"))
+    return held.select(
+        "rank", "name", "self_weight", "inclusive_weight", "stack_count", percent(w, F.col("total")).alias("profile_percent"),
+        percent(w, F.col("scope")).alias("scope_percent")
+    )
 
 
 def diff(base: DataFrame, candidate: DataFrame, metric: str = "self_weight", sort: str = "regression", limit: int = 30, name_regex: str | None = None) -> DataFrame:
-    """``rank, name, baseline_weight, candidate_weight, baseline_percent, candidate_percent, delta_pp`` of all names of either side; percentages are of each side's own total."""
+    """``rank, name, baseline_weight, candidate_weight, baseline_percent, candidate_percent, delta_pp`` of all names of either side; percentages are
+    of each side's own total.
+    """
     sides = []
     for x, p in ((base, "baseline"), (candidate, "candidate")):
         sides.append(frame_stats(x).select("name", F.col(metric).alias(f"{p}_weight")))
@@ -130,7 +158,10 @@ def diff(base: DataFrame, candidate: DataFrame, metric: str = "self_weight", sor
     if name_regex is not None:
         joined = joined.where(F.col("name").rlike(name_regex))
     held = joined.withColumns({"baseline_total": weight_of(base), "candidate_total": weight_of(candidate)})
-    rows = held.select("name", "baseline_weight", "candidate_weight", percent(F.col("baseline_weight"), F.col("baseline_total")).alias("baseline_percent"), percent(F.col("candidate_weight"), F.col("candidate_total")).alias("candidate_percent"))
+    rows = held.select(
+        "name", "baseline_weight", "candidate_weight", percent(F.col("baseline_weight"), F.col("baseline_total")).alias("baseline_percent"),
+        percent(F.col("candidate_weight"), F.col("candidate_total")).alias("candidate_percent")
+    )
     rows = rows.withColumn("delta_pp", F.col("candidate_percent") - F.col("baseline_percent"))
     order = {"regression": F.desc("delta_pp"), "improvement": F.asc("delta_pp"), "absolute": F.desc(F.abs("delta_pp"))}[sort]
     return numbered(rows, [order, F.asc("name")], limit)

@@ -27,14 +27,18 @@ def code_of(rows: DataFrame, columns: list[str]) -> Column:
 
 
 def recurring(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with their hash ``__code``, and the hashes that recur (a superset of those of equal rows). A hash that a third of all rows have is combined before the shuffle."""
+    """``rows`` with their hash ``__code``, and the hashes that recur (a superset of those of equal rows). A hash that a third of all rows have is
+    combined before the shuffle.
+    """
     coded = rows.withColumn("__code", code_of(rows, columns))
     codes = materialize(coded.groupBy("__code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__code"))
     return coded, F.broadcast(codes) if codes.count() <= MOST_CODES_SENT else codes
 
 
 def repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The different rows of ``columns`` that stand more than once, with ``__more``, the number of their further copies. Only rows whose hash recurs are shuffled whole."""
+    """The different rows of ``columns`` that stand more than once, with ``__more``, the number of their further copies. Only rows whose hash recurs
+    are shuffled whole.
+    """
     coded, codes = recurring(rows.select(*[F.col(f"`{c}`") for c in columns]), columns)
     own = coded.join(codes, "__code", "left_semi")
     return own.groupBy(*[F.col(f"`{c}`") for c in columns]).agg((F.count(F.lit(1)) - 1).alias("__more")).where("__more > 0")

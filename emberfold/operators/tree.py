@@ -1,7 +1,8 @@
 """The calling-context tree and its budgeted pages, as sets of prefixes.
 
-A node is a distinct prefix of stacks, told by a hash that each prefix makes of the one before, so the tree is one aggregation of narrow rows and depth never means recursion; its path comes from one of its stacks. Depth-first order is the order of a key: the list, from the page's root
-down, of each node's negative total and name. Sorting by it and taking the first nodes is what a walk with a node budget does.
+A node is a distinct prefix of stacks, told by a hash that each prefix makes of the one before, so the tree is one aggregation of narrow rows and
+depth never means recursion; its path comes from one of its stacks. Depth-first order is the order of a key: the list, from the page's root down, of
+each node's negative total and name. Sorting by it and taking the first nodes is what a walk with a node budget does.
 """
 
 from __future__ import annotations
@@ -48,43 +49,62 @@ def _below(stacks: DataFrame, root: list[str]) -> DataFrame:
 
 
 def hashed_nodes(own: DataFrame, levels: int | None = None) -> DataFrame:
-    """``a, b, ua, ub, depth, self_weight, total_weight, s``: each node by the hashes of its path and of its parent's, with one stack that it stands in. What is shuffled is linear in the depth."""
+    """``a, b, ua, ub, depth, self_weight, total_weight, s``: each node by the hashes of its path and of its parent's, with one stack that it stands
+    in. What is shuffled is linear in the depth.
+    """
     n = F.size("frames")
     kept = F.col("frames") if levels is None else F.slice("frames", F.lit(1), F.least(n, F.lit(levels)))
-    each = own.select("weight", "s", n.alias("n"), F.posexplode(_hashes(kept)).alias("depth", "p")).select("p.*", "depth", "weight", "s", (F.col("n") == F.col("depth")).alias("ends"))
+    each = own.select(
+        "weight", "s", n.alias("n"), F.posexplode(_hashes(kept)).alias("depth", "p")
+    ).select("p.*", "depth", "weight", "s", (F.col("n") == F.col("depth")).alias("ends"))
     return each.groupBy("a", "b").agg(
         F.first("ua").alias("ua"), F.first("ub").alias("ub"), F.first("depth").alias("depth"),
-        F.sum(F.when(F.col("ends"), F.col("weight")).otherwise(0)).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("total_weight"), F.min("s").alias("s"),
+        F.sum(
+            F.when(F.col("ends"), F.col("weight")).otherwise(0)
+        ).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("total_weight"), F.min("s").alias("s"),
     )
 
 
 def with_paths(found: DataFrame, own: DataFrame, *columns: Column | str) -> DataFrame:
-    """``path`` and ``columns`` of nodes: each takes its path from its one stack; should two stacks have that stack's hash, the first half of the path's own tells which."""
+    """``path`` and ``columns`` of nodes: each takes its path from its one stack; should two stacks have that stack's hash, the first half of the
+    path's own tells which.
+    """
     paths = found.join(own.drop("weight"), "s").withColumn("path", prefix_of(F.col("frames"), F.col("depth")))
     chain = F.aggregate("path", F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x))
     return paths.where(chain == F.col("a")).select("path", *columns)
 
 
 def nodes(stacks: DataFrame, root: list[str] | None = None, levels: int | None = None) -> DataFrame:
-    """``path, depth, self_weight, total_weight`` of each node at or below ``root``, down to ``levels`` below it; ``path`` and ``depth`` count from ``root``. The depth is bounded before stacks multiply."""
+    """``path, depth, self_weight, total_weight`` of each node at or below ``root``, down to ``levels`` below it; ``path`` and ``depth`` count from
+    ``root``. The depth is bounded before stacks multiply.
+    """
     own = _below(stacks, root or [])
     return with_paths(hashed_nodes(own, levels), own, F.col("depth").cast("bigint").alias("depth"), "self_weight", "total_weight")
 
 
 def node_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node_id, path, self_weight, total_weight`` of the whole tree: ids rank the nodes by the frame ids of their paths, the root being 0. ``ids`` is ``frame_id, name``.
+    """``node_id, path, self_weight, total_weight`` of the whole tree: ids rank the nodes by the frame ids of their paths, the root being 0. ``ids``
+    is ``frame_id, name``.
 
-    Stacks get their frames' ids once, where the names are few enough to be sent (``MOST_NAMES_SENT``) without a shuffle; a node takes its ids from its one stack.
+    Stacks get their frames' ids once, where the names are few enough to be sent (``MOST_NAMES_SENT``) without a shuffle; a node takes its ids from
+    its one stack.
     """
     own = materialize(_coded(_below(stacks, []), ids))
     found = with_paths(hashed_nodes(own), own, F.slice("ids", F.lit(1), F.col("depth")).alias("ids"), "self_weight", "total_weight")
     return numbered_by(found.withColumn("path", F.array_join("path", ";")), "ids", "node_id")
 
 
+def stack_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
+    """``stack_id, frames, weight``: the stacks ranked from 0 by their frame ids. ``ids`` is ``frame_id, name``."""
+    return numbered_by(_coded(_below(stacks, []), ids).select("ids", "frames", "weight"), "ids", "stack_id")
+
+
 def _coded(own: DataFrame, ids: DataFrame) -> DataFrame:
     """Adds ``ids``, the frame ids of each stack."""
     if ids.count() > MOST_NAMES_SENT:
-        each = own.select("s", "weight", "frames", F.posexplode("frames").alias("pos", "name")).join(ids, "name").groupBy("s", "frames").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("pos", "frame_id"))).alias("f"))
+        each = own.select("s", "weight", "frames", F.posexplode("frames").alias("pos", "name")).join(ids, "name").groupBy("s", "frames").agg(
+            F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("pos", "frame_id"))).alias("f")
+        )
         return each.select("frames", "weight", "s", F.transform("f", lambda x: x["frame_id"]).alias("ids"))
     known = {r["name"]: r["frame_id"] for r in ids.collect()}
     sent = own.sparkSession.sparkContext.broadcast(known)
@@ -94,7 +114,10 @@ def _coded(own: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             frames = batch.column(0)
             own_ids = numbers.take(pc.index_in(frames.flatten(), value_set=names))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pc.subtract(frames.offsets, frames.offsets[0]), own_ids)], names=["frames", "weight", "s", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.ListArray.from_arrays(pc.subtract(frames.offsets, frames.offsets[0]), own_ids)],
+                names=["frames", "weight", "s", "ids"]
+            )
 
     return own.mapInArrow(code, "frames array<string>, weight bigint, s bigint, ids array<bigint>")
 
@@ -104,7 +127,9 @@ def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes:
     own = materialize(_below(stacks, root or []))
     every = materialize(hashed_nodes(own, max_depth + 1))
     top = every.where("depth = 0").first()
-    inside = every.withColumn("scope_percent", percent(F.col("total_weight"), F.lit(top["total_weight"] if top else 0))).withColumn("fits", (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent))
+    inside = every.withColumn(
+        "scope_percent", percent(F.col("total_weight"), F.lit(top["total_weight"] if top else 0))
+    ).withColumn("fits", (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent))
     # in this order a node comes behind all heavier siblings, so only max_nodes of a parent can show; a parent's rows are cut before they are shuffled
     tied = F.rank().over(Window.partitionBy("ua", "ub", F.col("depth") == 0).orderBy(F.desc("total_weight")))
     shorter = inside.where((F.col("depth") <= max_depth) & F.col("fits")).withColumn("__r", tied).where(F.col("__r") <= max_nodes)
@@ -112,7 +137,11 @@ def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes:
     steps = candidates.select(F.col("a").alias("x"), F.col("b").alias("y"), "path", F.explode(_hashes(F.col("path"))).alias("p")).select("x", "y", "path", "p.a", "p.b")
     weighed = candidates.select("a", "b", F.col("depth").cast("int").alias("d"), F.col("total_weight").alias("t"))
     keys = steps.join(weighed, ["a", "b"]).groupBy("x", "y").agg(F.first("path").alias("path"), F.array_sort(F.collect_list(F.struct("d", "t"))).alias("k"))
-    keys = keys.select("x", "y", F.transform("k", lambda k: F.struct((-k["t"]).alias("t"), F.when(k["d"] > 0, F.get("path", k["d"] - 1)).alias("name"))).alias("key"), F.size("path").alias("n"), F.size("k").alias("m"))
+    keys = keys.select(
+        "x", "y",
+        F.transform("k", lambda k: F.struct((-k["t"]).alias("t"), F.when(k["d"] > 0, F.get("path", k["d"] - 1)).alias("name"))).alias("key"),
+        F.size("path").alias("n"), F.size("k").alias("m")
+    )
     # a node whose ancestor was cut is cut
     first = keys.where("m = n + 1").orderBy("key").limit(max_nodes)
     shown = first.join(candidates, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))).drop("x", "y", "n", "m")
@@ -120,10 +149,11 @@ def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes:
 
 
 def tree_page(stacks: DataFrame, root: list[str] | None = None, max_depth: int = 4, max_nodes: int = 64, min_percent: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """The rendered nodes ``rank, path, depth, self_weight, total_weight, scope_percent`` in depth-first order, heaviest child first, and the omitted children of rendered nodes
-    ``path, depth, total_weight, scope_percent, reason, key``.
+    """The rendered nodes ``rank, path, depth, self_weight, total_weight, scope_percent`` in depth-first order, heaviest child first, and the omitted
+    children of rendered nodes ``path, depth, total_weight, scope_percent, reason, key``.
 
-    The reason is the first that holds of ``depth_limit``, ``min_scope_percent`` (below ``min_percent``) and ``node_budget``; ``key`` orders them as a walk meets them. The root always shows.
+    The reason is the first that holds of ``depth_limit``, ``min_scope_percent`` (below ``min_percent``) and ``node_budget``; ``key`` orders them as a
+    walk meets them. The root always shows.
     """
     shown, inside, own = _page(stacks, root, max_depth, max_nodes, min_percent)
     # at most max_nodes rows
@@ -146,7 +176,9 @@ def continuations(omitted: DataFrame, limit: int = CONTINUATIONS) -> DataFrame:
 
 
 def chains(stacks: DataFrame, name: str, upward: bool) -> DataFrame:
-    """The stacks above the last (``upward``, leaf side first) or below the first occurrence of a frame, as a profile of its own; each stack counts once, also where nothing is left."""
+    """The stacks above the last (``upward``, leaf side first) or below the first occurrence of a frame, as a profile of its own; each stack counts
+    once, also where nothing is left.
+    """
     own = stacks.where(F.array_contains("frames", name))
     frames = F.reverse("frames") if upward else F.col("frames")
     rest = own.select(frames.alias("f"), "weight").select(F.slice("f", F.array_position("f", name).cast("int") + 1, F.size("f")).alias("frames"), "weight")

@@ -37,12 +37,16 @@ def p5_stack_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_line_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """The folded lines of raw_stacks, written as text files and read by the reader of such files: lines and weight by reason, ``valid`` and ``blank`` among them."""
+    """The folded lines of raw_stacks, written as text files and read by the reader of such files: lines and weight by reason, ``valid`` and ``blank``
+    among them.
+    """
     path = new_path(spark, "text")
     table(spark, d, "raw_stacks").where("fmt = 'folded' and line is not null").select("line").write.option("lineSep", "\n").text(path)
     lines = parsed_lines(folded_lines(spark, path))
     reason = F.when(F.col("__blank"), "blank").otherwise(F.coalesce(F.get("__errors", F.lit(0)), F.lit("valid")))
-    return lines.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("__weight"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("weight"))
+    return lines.groupBy(reason.alias("reason")).agg(
+        F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("__weight"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("weight")
+    )
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_valid, p5_found, p5_stack_counts, text_line_reasons)}
@@ -90,7 +94,9 @@ CASE WHEN fmt = 'csv' AND regexp_full_match(trim(k), '[+-]?[0-9]+') THEN try_cas
 FROM (SELECT *, CASE WHEN q[1][1] = '"' THEN replace(q[1][2:-2], '""', '"') ELSE q[1] END AS p, CASE WHEN q[2][1] = '"' THEN replace(q[2][2:-2], '""', '"') ELSE q[2] END AS k FROM r)
 WHERE reason IS NULL AND NOT (fmt = 'folded' AND kept = '')""",
     # a line of a file can state any weight of 64 bits
-    "text_line_reasons": _PARSED.replace("len(digits) > 16 OR try_cast(digits AS BIGINT) > 9007199254740991", "len(digits) > 20 OR try_cast(digits AS HUGEINT) > 18446744073709551615")
+    "text_line_reasons": _PARSED.replace(
+        "len(digits) > 16 OR try_cast(digits AS BIGINT) > 9007199254740991", "len(digits) > 20 OR try_cast(digits AS HUGEINT) > 18446744073709551615"
+    )
     + """ SELECT CASE WHEN kept = '' THEN 'blank' ELSE coalesce(reason, 'valid') END AS reason, count(*) AS lines, coalesce(sum(try_cast(digits AS HUGEINT)) FILTER (reason IS NULL AND kept <> ''), 0)::VARCHAR AS weight
 FROM r WHERE fmt = 'folded' GROUP BY 1""",
 }

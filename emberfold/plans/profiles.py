@@ -82,7 +82,9 @@ for _b in ("star", "events", "recorded"):
     add(
         f"summary_totals_{_b}",
         _b,
-        lambda s: P.totals(s).withColumns({"frame_count": P.frame_stats(s).agg(F.count(F.lit(1))).scalar(), "unknown_frame_weight": P.weight_of(P.containing(s, P.UNKNOWN))}),
+        lambda s: P.totals(s).withColumns(
+            {"frame_count": P.frame_stats(s).agg(F.count(F.lit(1))).scalar(), "unknown_frame_weight": P.weight_of(P.containing(s, P.UNKNOWN))}
+        ),
         "SELECT total AS total_weight, (SELECT count(*) FROM s) AS unique_stack_count, (SELECT coalesce(max(len(frames)), 0)::BIGINT FROM s) AS max_depth, (SELECT count(*) FROM st) AS frame_count, (SELECT coalesce(sum(inclusive_weight) FILTER (name = '[unknown]'), 0)::BIGINT FROM st) AS unknown_frame_weight FROM t",
         stats_sql("s"),
     )
@@ -112,7 +114,10 @@ for _b in ("star", "events", "recorded"):
     add(f"top_self_{_b}", _b, lambda s: P.top(s), _top_sql("self_weight", 20), stats_sql("s"))
     add(f"top_inclusive_{_b}", _b, lambda s: P.top(s, "inclusive_weight", 200), _top_sql("inclusive_weight", 200), stats_sql("s"))
     add(f"top_focus_{_b}", _b, lambda s, f=_f: P.top(s, "inclusive_weight", 50, focus=f), _top_sql("inclusive_weight", 50, _scope), _scoped + stats_sql("sc"))
-    add(f"top_regex_{_b}", _b, lambda s, r=_r: P.top(s, "self_weight", 20, name_regex=f"(?dU){r}"), _top_sql("self_weight", 20, where=f"regexp_matches(name, '{_r}')"), stats_sql("s"))
+    add(
+        f"top_regex_{_b}", _b, lambda s, r=_r: P.top(s, "self_weight", 20, name_regex=f"(?dU){r}"),
+        _top_sql("self_weight", 20, where=f"regexp_matches(name, '{_r}')"), stats_sql("s")
+    )
     add(f"find_contains_{_b}", _b, lambda s, p=_p: P.find(s, p, limit=100), _top_sql("inclusive_weight", 100, where=f"contains(name, '{_p}')"), stats_sql("s"))
     add(f"find_regex_{_b}", _b, lambda s, r=_r: P.find(s, f"(?dU){r}", "regex"), _top_sql("inclusive_weight", 20, where=f"regexp_matches(name, '{_r}')"), stats_sql("s"))
     add(
@@ -149,9 +154,15 @@ _SHOWN = "SELECT rank, array_to_string(path, ';') AS path, depth, self_weight, t
 PAGES = {"star": (4, 64, 0.1), "events": (5, 64, 0.1), "recorded": (8, 200, 0.05)}
 for _b, (_d, _n, _m) in PAGES.items():
     _page = page_sql("s", _d, _n, _m)
-    add(f"cct_nodes_{_b}", _b, lambda s: _joined(T.nodes(s), "path"), f"SELECT array_to_string(path, ';') AS path, depth, self_weight, total_weight FROM ({nodes_sql('s')})")
+    add(
+        f"cct_nodes_{_b}", _b, lambda s: _joined(T.nodes(s), "path"),
+        f"SELECT array_to_string(path, ';') AS path, depth, self_weight, total_weight FROM ({nodes_sql('s')})"
+    )
     add(f"tree_page_{_b}", _b, lambda s, d=_d, n=_n, m=_m: _joined(T.tree_page(s, None, d, n, m)[0], "path"), _SHOWN, _page)
-    add(f"tree_omitted_{_b}", _b, lambda s, d=_d, n=_n, m=_m: T.omitted_by_reason(T.tree_page(s, None, d, n, m)[1]), "SELECT reason, count(*) AS children, sum(total_weight)::BIGINT AS weight FROM o GROUP BY reason", _page)
+    add(
+        f"tree_omitted_{_b}", _b, lambda s, d=_d, n=_n, m=_m: T.omitted_by_reason(T.tree_page(s, None, d, n, m)[1]),
+        "SELECT reason, count(*) AS children, sum(total_weight)::BIGINT AS weight FROM o GROUP BY reason", _page
+    )
     add(
         f"tree_continuations_{_b}",
         _b,
@@ -162,7 +173,10 @@ for _b, (_d, _n, _m) in PAGES.items():
     _up = f", ch AS (SELECT rv[list_position(rv, '{FOCUS[_b]}') + 1:] AS frames, sum(weight)::BIGINT AS weight FROM (SELECT list_reverse(frames) AS rv, weight FROM s WHERE list_contains(frames, '{FOCUS[_b]}')) GROUP BY 1)"
     _down = f", ch AS (SELECT frames[list_position(frames, '{FOCUS[_b]}') + 1:] AS frames, sum(weight)::BIGINT AS weight FROM s WHERE list_contains(frames, '{FOCUS[_b]}') GROUP BY 1)"
     for _name, _rest, _upward in (("callers", _up, True), ("callees", _down, False)):
-        add(f"{_name}_tree_{_b}", _b, lambda s, d=_d, n=_n, m=_m, f=FOCUS[_b], u=_upward: _joined(T.tree_page(T.chains(s, f, u), None, d, n, m)[0], "path"), _SHOWN, _rest + page_sql("ch", _d, _n, _m))
+        add(
+            f"{_name}_tree_{_b}", _b, lambda s, d=_d, n=_n, m=_m, f=FOCUS[_b],
+            u=_upward: _joined(T.tree_page(T.chains(s, f, u), None, d, n, m)[0], "path"), _SHOWN, _rest + page_sql("ch", _d, _n, _m)
+        )
 
 for _b in ("star", "events", "recorded"):
     add(
@@ -175,6 +189,15 @@ FROM (SELECT n.*, [m[x] for x in n.path] AS ids FROM n, (SELECT map(list(name),
 n AS ({nodes_sql('s')})""",
     )
 
+    add(
+        f"stack_ids_{_b}",
+        _b,
+        lambda s: _joined(T.stack_ids(s, P.frame_ids(s)), "frames"),
+        """SELECT row_number() OVER (ORDER BY ids) - 1 AS stack_id, array_to_string(frames, ';') AS frames, weight
+FROM (SELECT s.*, [m[x] for x in s.frames] AS ids FROM s, (SELECT map(list(name), list(frame_id)) AS m FROM i) mm)""",
+        """, i AS (SELECT row_number() OVER (ORDER BY seen) - 1 AS frame_id, name FROM (SELECT name, min({'l': frames, 'p': pos}) AS seen FROM (SELECT frames, unnest(frames) AS name, generate_subscripts(frames, 1) AS pos FROM s) GROUP BY name))""",
+    )
+
 for _b, _root in (("star", ["ASIA"]), ("events", ["view", "click"]), ("recorded", ["boot_main"])):
     _d, _n, _m = PAGES[_b]
     _below = f", ch AS (SELECT frames[{len(_root) + 1}:] AS frames, sum(weight)::BIGINT AS weight FROM s WHERE frames[1:{len(_root)}] = {_root!r} GROUP BY 1)"
@@ -223,7 +246,10 @@ def _budget(stacks: DataFrame) -> DataFrame:
     got = F.col("frame_end") - F.col("frame_start")
     req = F.col("requested_end") - F.col("requested_start")
     one = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return rows.agg(one(req).alias("available"), one(got).alias("returned"), one(req - got).alias("omitted"), F.count(F.lit(1)).alias("selected_paths"), F.count_if(F.col("available") > 0).alias("returned_paths"), F.count_if((F.col("available") > 0) & (got < req)).alias("cropped_paths"))
+    return rows.agg(
+        one(req).alias("available"), one(got).alias("returned"), one(req - got).alias("omitted"), F.count(F.lit(1)).alias("selected_paths"),
+        F.count_if(F.col("available") > 0).alias("returned_paths"), F.count_if((F.col("available") > 0) & (got < req)).alias("cropped_paths")
+    )
 
 
 add(

@@ -77,7 +77,9 @@ def _load(state: Path) -> dict:
         raise _corrupt("The manifest isn't one of version 1 with an active profile")
     for alias, e in entries.items():
         fine = isinstance(e, dict) and set(e) == set(_ENTRY) and all(type(e[k]) is kind for k, kind in _ENTRY.items())
-        if not (fine and valid_alias(alias) and _BLOB.fullmatch(e["fingerprint"] + ".folded") and e["file"] == f"{BLOBS}/{e['fingerprint']}.folded" and Path(e["source_name"]).name == e["source_name"] not in ("", ".", "..")):
+        if not (
+            fine and valid_alias(alias) and _BLOB.fullmatch(e["fingerprint"] + ".folded") and e["file"] == f"{BLOBS}/{e['fingerprint']}.folded" and Path(e["source_name"]).name == e["source_name"] not in ("", ".", "..")
+        ):
             raise _corrupt("The manifest has an invalid entry", alias=alias)
     return m
 
@@ -121,7 +123,9 @@ def _checked(alias: str) -> None:
 
 
 def register(workspace: Path, source: Path, alias: str | None, most_bytes: int, check: Callable[[Path], None]) -> dict:
-    """Stores the bytes of ``source`` under their hash and makes ``alias`` name them and active. ``check`` raises if the profile is invalid; nothing is written then."""
+    """Stores the bytes of ``source`` under their hash and makes ``alias`` name them and active. ``check`` raises if the profile is invalid; nothing
+    is written then.
+    """
     alias = default_alias(source) if alias is None else alias
     _checked(alias)
     if not source.exists():
@@ -129,7 +133,10 @@ def register(workspace: Path, source: Path, alias: str | None, most_bytes: int,
     if not source.is_file():
         raise ApiError("not_a_regular_file", "A profile must be a regular file", {"profile": text_of(source)}, "Give the path of a file.")
     if source.stat().st_size > most_bytes:
-        raise ApiError("profile_too_large", "The profile is larger than the limit", {"byte_len": source.stat().st_size, "limit": most_bytes}, "Raise the limit or make a smaller profile.")
+        raise ApiError(
+            "profile_too_large", "The profile is larger than the limit", {"byte_len": source.stat().st_size, "limit": most_bytes},
+            "Raise the limit or make a smaller profile."
+        )
     check(source)
     state = workspace.resolve() / FOLDER
     for folder in (state, state / BLOBS):
@@ -144,7 +151,10 @@ def register(workspace: Path, source: Path, alias: str | None, most_bytes: int,
         if not (blob.is_file() and not blob.is_symlink() and fingerprint(blob) == own):
             _write(blob, data)
             new = True
-        m["profiles"][alias] = {"fingerprint": own, "file": f"{BLOBS}/{own}.folded", "source_name": text_of(Path(source.name)), "byte_len": len(data), "registered_unix_ms": int(time.time() * 1000)}
+        m["profiles"][alias] = {
+            "fingerprint": own, "file": f"{BLOBS}/{own}.folded", "source_name": text_of(Path(source.name)), "byte_len": len(data),
+            "registered_unix_ms": int(time.time() * 1000)
+        }
         m["active"] = alias
         try:
             _write(state / MANIFEST, json.dumps(m, indent=1, sort_keys=True).encode())

@@ -51,11 +51,16 @@ class Profile:
 def folded_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``value, at, length``: each line, a struct that orders the lines of one file, and its bytes with the line feed. Only a line feed ends a line."""
     rows = spark.read.option("lineSep", "\n").text(path)
-    return rows.select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), (F.octet_length("value") + 1).alias("length"))
+    return rows.select(
+        "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+        (F.octet_length("value") + 1).alias("length")
+    )
 
 
 def parsed_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``lines`` with ``__errors``, ``__blank``, ``__frames`` and ``__weight``. Too long a line (its line feed counts) and one that isn't UTF-8 are ``invalid_folded_line``; a weight must fit 64 bits without sign."""
+    """``lines`` with ``__errors``, ``__blank``, ``__frames`` and ``__weight``. Too long a line (its line feed counts) and one that isn't UTF-8 are
+    ``invalid_folded_line``; a weight must fit 64 bits without sign.
+    """
     text = F.when((F.col("length") > limits.line_bytes) | ~F.is_valid_utf8("value"), F.lit("?")).otherwise(F.col("value"))
     return with_errors(lines.withColumns({"fmt": F.lit("folded"), "line": text}), max_weight=MOST_U64, max_depth=limits.depth)
 
@@ -82,20 +87,32 @@ def _overflow(good: DataFrame, sums: DataFrame) -> Row | None:
     if over.isEmpty():
         return None
     running = F.sum(F.col("weight").cast("decimal(38,0)")).over(Window.partitionBy("frames").orderBy("at"))
-    return good.join(over, "frames", "left_semi").withColumn("s", running).where(F.col("s") > F.expr(f"cast('{MOST_U64}' as decimal(38,0))")).agg(F.min("at").alias("at")).first()["at"]
+    return good.join(over, "frames", "left_semi").withColumn("s", running).where(
+        F.col("s") > F.expr(f"cast('{MOST_U64}' as decimal(38,0))")
+    ).agg(F.min("at").alias("at")).first()["at"]
 
 
 def read_profile(spark: SparkSession, path: str, limits: Limits = Limits(), meta: dict | None = None) -> Profile:
-    """The profile of one file, which is parsed once. What first goes wrong in file order is raised: a line that can't be read, a frame name too many, a stack whose weight exceeds 64 bits; the total weight
-    is held against its limit behind the last line. An empty file is a valid profile of weight 0."""
+    """The profile of one file, which is parsed once. What first goes wrong in file order is raised: a line that can't be read, a frame name too many,
+    a stack whose weight exceeds 64 bits; the total weight is held against its limit behind the last line. An empty file is a valid profile of
+    weight 0.
+    """
     ship(spark)
     if not os.path.exists(path):
         raise ApiError("profile_not_found", f"No profile at {path}", {"profile": path}, "Give the path of an existing file.")
     if (size := os.path.getsize(path)) > limits.file_bytes:
-        raise ApiError("profile_too_large", f"The profile has {size} bytes, more than {limits.file_bytes}", {"byte_len": size, "limit": limits.file_bytes}, "Raise the limit or make a smaller profile.")
+        raise ApiError(
+            "profile_too_large", f"The profile has {size} bytes, more than {limits.file_bytes}", {"byte_len": size, "limit": limits.file_bytes},
+            "Raise the limit or make a smaller profile."
+        )
     lines = parsed_lines(_without_last_feed(folded_lines(spark, os.path.abspath(path)), path), limits)
     preview = F.when(F.size("__errors") > 0, F.regexp_replace(F.left(F.make_valid_utf8("value"), F.lit(200)), r"\p{Cc}", "�"))
-    parsed = materialize(lines.select("at", F.get("__errors", F.lit(0)).alias("code"), preview.alias("preview"), "__blank", F.col("__frames").alias("frames"), F.col("__weight").alias("weight")))
+    parsed = materialize(
+        lines.select(
+            "at", F.get("__errors", F.lit(0)).alias("code"), preview.alias("preview"), "__blank", F.col("__frames").alias("frames"),
+            F.col("__weight").alias("weight")
+        )
+    )
     bad = parsed.where("code is not null").orderBy("at").limit(1).first()
     good = parsed.where("not __blank and code is null").select("frames", "weight", "at")
     if bad is not None:

@@ -39,5 +39,7 @@ def recorded(spark: SparkSession, d: str) -> DataFrame:
 
 def recorded_by_profile(spark: SparkSession, d: str) -> DataFrame:
     """``profile_id, frames, weight`` of every profile's unique stacks."""
-    rows = table(spark, d, "stack_records").where("frames is not null and size(frames) > 0 and weight >= 1").select("profile_id", "stack_id", "frames", "weight").distinct()
+    rows = table(spark, d, "stack_records").where(
+        "frames is not null and size(frames) > 0 and weight >= 1"
+    ).select("profile_id", "stack_id", "frames", "weight").distinct()
     return rows.groupBy("profile_id", "frames").agg(F.sum("weight").cast("bigint").alias("weight"))

@@ -55,7 +55,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once an application, through the shared folder; where that is no mounted folder, ``--py-files`` or PYTHONPATH must do it."""
+    """Gives the executors' Python this package, once an application, through the shared folder; where that is no mounted folder, ``--py-files`` or
+    PYTHONPATH must do it.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

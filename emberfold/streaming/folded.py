@@ -14,7 +14,9 @@ def _checked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def arriving_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The records ``frames, weight`` of the files that arrive in ``folder``, as a stream. A stream can't stop at the first bad line as a file's reader does; :func:`arriving_failures` gives those lines."""
+    """The records ``frames, weight`` of the files that arrive in ``folder``, as a stream. A stream can't stop at the first bad line as a file's
+    reader does; :func:`arriving_failures` gives those lines.
+    """
     return _checked(spark, folder).where("size(__errors) = 0 and not __blank").select(F.col("__frames").alias("frames"), F.col("__weight").alias("weight"))
 
 
@@ -25,6 +27,11 @@ def arriving_failures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def running_weights(records: DataFrame) -> DataFrame:
-    """``name, self_weight, inclusive_weight`` over all records so far. Both are sums over records, so equal stacks need no joining; unlike these, ``stack_count`` would need all stacks as state."""
+    """``name, self_weight, inclusive_weight`` over all records so far. Both are sums over records, so equal stacks need no joining; unlike these,
+    ``stack_count`` would need all stacks as state.
+    """
     each = records.select("weight", F.element_at("frames", -1).alias("leaf"), F.explode(F.array_distinct("frames")).alias("name"))
-    return each.groupBy("name").agg(F.sum(F.when(F.col("name") == F.col("leaf"), F.col("weight")).otherwise(0)).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("inclusive_weight"))
+    return each.groupBy("name").agg(
+        F.sum(F.when(F.col("name") == F.col("leaf"), F.col("weight")).otherwise(0)).cast("bigint").alias("self_weight"),
+        F.sum("weight").cast("bigint").alias("inclusive_weight")
+    )

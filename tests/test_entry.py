@@ -69,3 +69,17 @@ def test_pages(spark, stacks, levels, most, least):
     assert (rows, left) == walk(stacks, levels, most, least)
     stats = P.frame_stats(df).collect()
     assert sum(r["self_weight"] for r in stats) == sum(stacks.values()) and all(r["self_weight"] <= r["inclusive_weight"] for r in stats)
+
+
+def test_ids_of_many_names_and_deep_stacks(spark, monkeypatch):
+    """Also where names are too many to be sent, and with a stack of the largest depth."""
+    deep = [f"f{i % 3}" for i in range(4096)]
+    df = spark.createDataFrame([(["a", "b"], 1), (["a"], 2), (["b", "a"], 3), (deep, 5)], "frames array<string>, weight bigint")
+    want = [tuple(r) for r in T.node_ids(df, P.frame_ids(df)).orderBy("node_id").select("path", "total_weight").collect()]
+    assert len(want) == 4096 + 5 and want[0] == ("", 11) and want[1] == ("a", 3)
+    monkeypatch.setattr("emberfold.operators.tree.MOST_NAMES_SENT", 0)
+    assert [tuple(r) for r in T.node_ids(df, P.frame_ids(df)).orderBy("node_id").select("path", "total_weight").collect()] == want
+    assert [r["weight"] for r in T.stack_ids(df, P.frame_ids(df)).orderBy("stack_id").collect()] == [2, 1, 3, 5]
+    assert T.nodes(df.limit(0)).count() == P.frame_ids(df.limit(0)).count() == 0
+    shown, omitted = T.tree_page(df.limit(0))
+    assert shown.count() == omitted.count() == 0

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberfold.operators.badrows import failed_records, valid_records
 from emberfold.operators.difference import CHECKS, FIRST_ELEMENT, P, characteristic, horner, reconcile, table_difference
+from emberfold.operators.repeats import repeated
 from emberfold.operators.skewed import counts_that_disagree, stacks_per_frame
 
 ROW = "profile_id bigint, frame_id int, name string, self_weight bigint, inclusive_weight bigint, field string, side double"
@@ -63,6 +65,21 @@ def test_difference_of_hot_keys_and_absent_rows(spark, most):
         assert {r["field"]: r["count"] for r in got} == ({"missing_in_copy": missing} if missing else {}) | ({f: 1 for f in args[1]} if fields else {})
 
 
+def test_difference_of_many_keys(spark, monkeypatch):
+    monkeypatch.setattr("emberfold.operators.difference.MOST_KEYS_SENT", 0)
+    base = spark.range(500).selectExpr("id as k", "cast(id % 7 as string) as v", "id as __a")
+    copy = base.where("k % 10 > 0").withColumn("v", F.expr("if(k % 5 = 1, null, v)"))
+    got = table_difference(base, copy, ["k"], ["v"]).groupBy("field").count().collect()
+    assert {r["field"]: r["count"] for r in got} == {"missing_in_copy": 50, "v": 100}
+
+
+def test_repeated_rows(spark):
+    rows = [(1, ["a", None]), (1, ["a", None]), (1, [None, "a"]), (1, ["a"]), (None, []), (None, []), (None, []), (2, None), (2, None), (3, ["a"])]
+    df = spark.createDataFrame(rows, "k bigint, f array<string>").withColumn("__more", F.lit("x"))
+    assert {(r["k"], None if r["f"] is None else tuple(r["f"]), r["__more"]) for r in repeated(df, ["k", "f"]).collect()} == {(1, ("a", None), 1), (None, (), 2), (2, None, 1)}
+    assert repeated(df.limit(0), ["k", "f"]).count() == 0
+
+
 LINES = [
     ("folded", "a;b 1", None),
     ("folded", "  ", "blank"),
@@ -107,7 +124,11 @@ def test_bad_rows(spark):
     assert failed_records(raw.limit(0)).count() == 0
 
 
-def test_stack_counts(spark):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_stack_counts(spark, sent, monkeypatch):
+    """Also where hashes and names are too many to be sent to all tasks."""
+    monkeypatch.setattr("emberfold.operators.repeats.MOST_CODES_SENT", sent)
+    monkeypatch.setattr("emberfold.operators.skewed.MOST_NAMES_SENT", sent)
     records = [(1, 1, ["a", "b", "a"], 1), (1, 1, ["a", "b", "a"], 1), (1, 2, ["a", "b", "a"], 5), (1, 3, ["b"], None), (1, 4, None, 2), (1, 5, [], 2), (1, 6, ["c", None], 2), (None, 7, ["a"], 1)]
     df = spark.createDataFrame(records, "profile_id bigint, stack_id bigint, frames array<string>, weight bigint").withColumnRenamed("weight", "name")
     assert {tuple(r) for r in stacks_per_frame(df).collect()} == {(1, "a", 1), (1, "b", 2), (1, "c", 1), (None, "a", 1)}
