@@ -17,6 +17,7 @@ from .operators import profile as P
 from .operators import tree as T
 from .operators.paths import FrameWindow, paths, selected_paths
 from .sources.folded import Limits, Profile, read_profile
+from .storage import materialize
 
 SCHEMA_VERSION = "2"
 METRICS = {"self": "self_weight", "inclusive": "inclusive_weight"}
@@ -203,6 +204,7 @@ class Engine:
             raise ApiError("invalid_node_id", f"No node {root_node_id}", {"node_id": root_node_id}, "Use a node id of a tree page.")
         path = root["path"].split(";") if root is not None and root["path"] else []
         shown, omitted = T.tree_page(p.stacks, path, max_depth, max_nodes, min_scope_percent)
+        omitted = materialize(omitted)
         full = lambda rows: [";".join([*path, *r["path"]]) for r in rows]
         rows, reasons, next_ = shown.orderBy("rank").collect(), T.omitted_by_reason(omitted).orderBy("reason").collect(), T.continuations(omitted).orderBy("rank").collect()
         left = {
@@ -260,6 +262,7 @@ class Engine:
         _tree_budget(max_depth, max_nodes, min_scope_percent)
         frame_id, name = self._frame(p, frame)
         shown, omitted = T.tree_page(T.chains(p.stacks, name, upward), None, max_depth, max_nodes, min_scope_percent)
+        omitted = materialize(omitted)
         rows, reasons = shown.orderBy("rank").collect(), T.omitted_by_reason(omitted).orderBy("reason").collect()
         left = {
             tuple(r["parent"]): (r["n"], r["w"]) for r in omitted.groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("parent")).agg(

@@ -16,26 +16,19 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import percent, prefix_of
 from ..storage import materialize
-from .profile import numbered_by
+from .profile import numbered_by, weight_of
 
 CONTINUATIONS = 128
 #: The most frame names that are sent to every task.
 MOST_NAMES_SENT = 200_000
 
 
-def _next(last: Column, name: Column) -> Column:
-    return F.struct(F.xxhash64(last["a"], name).alias("a"), F.xxhash64(F.lit("b"), last["b"], name).alias("b"), last["a"].alias("ua"), last["b"].alias("ub"))
-
-
-def _hash(frames: Column) -> Column:
-    """A 128-bit hash ``a, b`` of ``frames``, made of that of all but the last, ``ua, ub``, and the last name."""
-    zero = F.lit(0).cast("bigint")
-    return F.aggregate(frames, F.struct(*[zero.alias(c) for c in ("a", "b", "ua", "ub")]), _next)
-
-
-def _hashes(frames: Column) -> Column:
-    """The hashes of all prefixes of ``frames``, from none to all."""
-    return F.aggregate(frames, F.array(_hash(F.array().cast("array<string>"))), lambda acc, x: F.concat(acc, F.array(_next(F.element_at(acc, -1), x))))
+def _hashes(frames: str) -> str:
+    """SQL for the 128-bit hashes ``a, b`` of all prefixes of ``frames``, from none to all, each made of the one before, which is ``ua, ub``, and one name."""
+    none = "struct(0L as a, 0L as b, 0L as ua, 0L as ub)"
+    last = "element_at(acc, -1)"
+    step = f"struct(xxhash64({last}.a, x) as a, xxhash64('b', {last}.b, x) as b, {last}.a as ua, {last}.b as ub)"
+    return f"aggregate({frames}, array({none}), (acc, x) -> concat(acc, array({step})))"
 
 
 def _below(stacks: DataFrame, root: list[str]) -> DataFrame:
@@ -52,26 +45,19 @@ def hashed_nodes(own: DataFrame, levels: int | None = None) -> DataFrame:
     """``a, b, ua, ub, depth, self_weight, total_weight, s``: each node by the hashes of its path and of its parent's, with one stack that it stands
     in. What is shuffled is linear in the depth.
     """
-    n = F.size("frames")
-    kept = F.col("frames") if levels is None else F.slice("frames", F.lit(1), F.least(n, F.lit(levels)))
-    each = own.select(
-        "weight", "s", n.alias("n"), F.posexplode(_hashes(kept)).alias("depth", "p")
-    ).select("p.*", "depth", "weight", "s", (F.col("n") == F.col("depth")).alias("ends"))
-    return each.groupBy("a", "b").agg(
-        F.first("ua").alias("ua"), F.first("ub").alias("ub"), F.first("depth").alias("depth"),
-        F.sum(
-            F.when(F.col("ends"), F.col("weight")).otherwise(0)
-        ).cast("bigint").alias("self_weight"), F.sum("weight").cast("bigint").alias("total_weight"), F.min("s").alias("s"),
-    )
+    kept = "frames" if levels is None else f"slice(frames, 1, least(size(frames), {levels}))"
+    each = own.selectExpr("weight", "s", "size(frames) as n", f"posexplode({_hashes(kept)}) as (depth, p)")
+    each = each.selectExpr("p.a", "p.b", "p.ua", "p.ub", "depth", "weight", "s", "if(n = depth, weight, 0L) as ended")
+    sums = ["first(ua) as ua", "first(ub) as ub", "first(depth) as depth", "cast(sum(ended) as bigint) as self_weight", "cast(sum(weight) as bigint) as total_weight", "min(s) as s"]
+    return each.groupBy("a", "b").agg(*[F.expr(x) for x in sums])
 
 
 def with_paths(found: DataFrame, own: DataFrame, *columns: Column | str) -> DataFrame:
     """``path`` and ``columns`` of nodes: each takes its path from its one stack; should two stacks have that stack's hash, the first half of the
     path's own tells which.
     """
-    paths = found.join(own.drop("weight"), "s").withColumn("path", prefix_of(F.col("frames"), F.col("depth")))
-    chain = F.aggregate("path", F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x))
-    return paths.where(chain == F.col("a")).select("path", *columns)
+    paths = found.join(own.drop("weight"), "s").selectExpr("*", "slice(frames, 1, depth) as path")
+    return paths.where("aggregate(path, 0L, (h, x) -> xxhash64(h, x)) = a").select("path", *columns)
 
 
 def nodes(stacks: DataFrame, root: list[str] | None = None, levels: int | None = None) -> DataFrame:
@@ -125,16 +111,14 @@ def _coded(own: DataFrame, ids: DataFrame) -> DataFrame:
 def _page(stacks: DataFrame, root: list[str] | None, max_depth: int, max_nodes: int, min_percent: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rendered nodes with ``path`` and ``key``, all nodes down to one level below the page, and the stacks."""
     own = materialize(_below(stacks, root or []))
-    every = materialize(hashed_nodes(own, max_depth + 1))
-    top = every.where("depth = 0").first()
-    inside = every.withColumn(
-        "scope_percent", percent(F.col("total_weight"), F.lit(top["total_weight"] if top else 0))
-    ).withColumn("fits", (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent))
+    every = hashed_nodes(own, max_depth + 1).withColumn("scope", weight_of(own))
+    inside = every.withColumn("scope_percent", percent(F.col("total_weight"), F.col("scope")))
+    inside = inside.withColumn("fits", (F.col("depth") == 0) | (F.col("scope_percent") >= min_percent))
     # in this order a node comes behind all heavier siblings, so only max_nodes of a parent can show; a parent's rows are cut before they are shuffled
     tied = F.rank().over(Window.partitionBy("ua", "ub", F.col("depth") == 0).orderBy(F.desc("total_weight")))
     shorter = inside.where((F.col("depth") <= max_depth) & F.col("fits")).withColumn("__r", tied).where(F.col("__r") <= max_nodes)
     candidates = materialize(with_paths(shorter, own, "a", "b", F.col("depth").cast("bigint").alias("depth"), "self_weight", "total_weight", "scope_percent"))
-    steps = candidates.select(F.col("a").alias("x"), F.col("b").alias("y"), "path", F.explode(_hashes(F.col("path"))).alias("p")).select("x", "y", "path", "p.a", "p.b")
+    steps = candidates.select(F.col("a").alias("x"), F.col("b").alias("y"), "path", F.expr(f"explode({_hashes('path')}) as p")).select("x", "y", "path", "p.a", "p.b")
     weighed = candidates.select("a", "b", F.col("depth").cast("int").alias("d"), F.col("total_weight").alias("t"))
     keys = steps.join(weighed, ["a", "b"]).groupBy("x", "y").agg(F.first("path").alias("path"), F.array_sort(F.collect_list(F.struct("d", "t"))).alias("k"))
     keys = keys.select(
