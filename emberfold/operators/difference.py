@@ -29,6 +29,8 @@ _M61, _M31, _M30 = np.uint64(P), np.uint64((1 << 31) - 1), np.uint64((1 << 30) -
 CHECKS = 2
 #: Elements are at or above it and points of evaluation below.
 FIRST_ELEMENT = 4096
+#: The most bytes of polynomials that are sent to all tasks; beyond, they are joined by bucket.
+MOST_BYTES_SENT = 16 << 20
 #: The most affected keys (8 bytes each) that are sent to all tasks; beyond, the tables are joined by hash.
 MOST_KEYS_SENT = 1_000_000
 
@@ -251,7 +253,7 @@ def _solve(pairs: DataFrame, bound: int) -> DataFrame:
     return pairs.mapInArrow(run, "bucket bigint, solved boolean, a array<bigint>, b array<bigint>, only_a bigint, only_b bigint")
 
 
-def _roots(packets: DataFrame, solved: DataFrame, side: str) -> DataFrame:
+def _roots(packets: DataFrame, solved: DataFrame, side: str, few: bool) -> DataFrame:
     """``bucket, k``: the key hashes of this side's elements that are roots; a null one for a bucket with another number of them than the solution
     has.
     """
@@ -275,7 +277,7 @@ def _roots(packets: DataFrame, solved: DataFrame, side: str) -> DataFrame:
                     names=["bucket", "k"]
                 )
 
-    return packets.join(asked, "bucket").mapInArrow(run, "bucket bigint, k bigint")
+    return packets.join(F.broadcast(asked) if few else asked, "bucket").mapInArrow(run, "bucket bigint, k bigint")
 
 
 def table_difference(
@@ -299,7 +301,8 @@ def table_difference(
         # sides whose values all agree hold the same rows
         pairs = a.join(b, "bucket", "full_outer").where(~F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("a") == F.col("b")), F.lit(False)))
         solved = stored(_solve(pairs.select("bucket", "n_a", "a", "n_b", "b"), bound))
-        roots = [_roots(x, solved, s) for x, s in zip(left, "ab", strict=True)]
+        few = solved.count() * 16 * (bound + 1) <= MOST_BYTES_SENT
+        roots = [_roots(x, solved, s, few) for x, s in zip(left, "ab", strict=True)]
         result = materialize(roots[0].unionByName(roots[1]).unionByName(solved.where(~F.col("solved")).selectExpr("bucket", "cast(null as bigint) as k")))
         found.append(result.where("k is not null").select("k"))
         open_ = result.where("k is null").select("bucket").distinct()

@@ -67,6 +67,7 @@ def test_difference_of_hot_keys_and_absent_rows(spark, most):
 
 def test_difference_of_many_keys(spark, monkeypatch):
     monkeypatch.setattr("emberfold.operators.difference.MOST_KEYS_SENT", 0)
+    monkeypatch.setattr("emberfold.operators.difference.MOST_BYTES_SENT", 0)
     base = spark.range(500).selectExpr("id as k", "cast(id % 7 as string) as v", "id as __a")
     copy = base.where("k % 10 > 0").withColumn("v", F.expr("if(k % 5 = 1, null, v)"))
     got = table_difference(base, copy, ["k"], ["v"]).groupBy("field").count().collect()
