@@ -240,14 +240,15 @@ def _sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     sizes = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return []
+    files, held = _files(docs, {c: min(n, 2 * rows) for c, n in sizes.items()})
     own = docs
-    if len(docs.inputFiles()) > 1 and (files := _files(docs, {c: min(n, 2 * rows) for c, n in sizes.items()})):
+    if files:
         own = docs.where(F.col("_metadata.file_path").isin(files))
         labelled = own.select("doc_id", label_code().alias("code"), F.xxhash64("doc_id").alias("h")).where("code is not null")
     # about 3 * rows a language pass the threshold, which bounds what is ranked
     near = F.lit(False)
-    for c, n in sizes.items():
-        share = 1.0 if own is not docs else min(1.0, 3 * rows / n)
+    for c, n in (held if files else sizes).items():
+        share = min(1.0, 3 * rows / n)
         near = near | ((F.col("code") == c) & (F.pmod("h", F.lit(1_000_000_007)) <= int(share * 1_000_000_007)))
     rank = F.expr("row_number() over (partition by code order by pmod(h, 1000000007), doc_id)")
     chosen = labelled.where(near).withColumn("__r", rank).where(F.col("__r") <= rows).select("doc_id", "code")
@@ -255,22 +256,22 @@ def _sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     return [(r["code"], r["text"]) for r in texts.select("code", "text").collect()]
 
 
-def _files(docs: DataFrame, wanted: dict[str, int]) -> list[str]:
-    """The fewest of the first ``_FILES`` files with ``wanted`` labelled rows of each language; none if these don't hold so many, or if rows aren't
-    from files.
+def _files(docs: DataFrame, wanted: dict[str, int]) -> tuple[list[str], Counter]:
+    """The fewest of the first ``_FILES`` files with ``wanted`` labelled rows of each language, and how many they have; none if these don't hold so
+    many, or if rows aren't from files.
     """
     try:
         rows = docs.select(F.col("_metadata.file_path").alias("f"), label_code().alias("code")).where("code is not null")
     except AnalysisException:
-        return []
-    by_file = rows.groupBy("f").pivot("code", sorted(wanted)).agg(F.count(F.lit(1))).orderBy(F.xxhash64(F.regexp_extract("f", "[^/]*$", 0))).limit(_FILES).collect()
+        return [], Counter()
+    by_file = rows.groupBy("f").pivot("code", sorted(wanted)).agg(F.count(F.lit(1)))
     held, files = Counter(), []
-    for r in by_file:
+    for r in by_file.orderBy(F.xxhash64(F.regexp_extract("f", "[^/]*$", 0)), "f").limit(_FILES).collect():
         files.append(r["f"])
         held.update({c: r[c] or 0 for c in wanted})
         if all(held[c] >= n for c, n in wanted.items()):
-            return files
-    return []
+            return files, held
+    return [], Counter()
 
 
 def fit(sample: list[tuple[str, str]], strange: float = STRANGE, most: float = MOST, least_texts: int = 4) -> Model | None:
