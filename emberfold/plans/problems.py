@@ -27,6 +27,10 @@ def p3_valid(spark: SparkSession, d: str) -> DataFrame:
     return valid_records(table(spark, d, "raw_stacks")).selectExpr("raw_id", "profile_id", "stack_id", "array_join(frames, ';') as stack", "weight")
 
 
+def p3_previews(spark: SparkSession, d: str) -> DataFrame:
+    return failed_records(table(spark, d, "raw_stacks")).select("raw_id", "preview")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     t = lambda name: table(spark, d, name)
     return counts_that_disagree(t("stack_records"), t("frames"), t("frame_stats")).select("profile_id", "frame_id").distinct()
@@ -49,7 +53,7 @@ def text_line_reasons(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_valid, p5_found, p5_stack_counts, text_line_reasons)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_valid, p3_previews, p5_found, p5_stack_counts, text_line_reasons)}
 
 _PARSED = r"""WITH l AS (SELECT raw_id, profile_id, fmt, line, rtrim(line, chr(32) || chr(9) || chr(12) || chr(13)) AS kept FROM raw_stacks WHERE line IS NOT NULL),
 s AS (SELECT *, CASE WHEN fmt = 'folded' THEN regexp_matches(kept, '[ \t\f\r]') END AS has_ws,
@@ -88,6 +92,7 @@ SELECT DISTINCT profile_id, frame_id FROM i FULL JOIN h USING (profile_id, frame
 WITH s AS (SELECT DISTINCT profile_id, frames FROM stack_records WHERE frames IS NOT NULL)
 SELECT profile_id, name, count(*) AS stack_count FROM (SELECT profile_id, unnest(list_distinct(frames)) AS name FROM s) GROUP BY ALL""",
     "p3_found": _PARSED + " SELECT raw_id, reason FROM r WHERE reason IS NOT NULL",
+    "p3_previews": _PARSED + r" SELECT raw_id, regexp_replace(left(line, 200), '\p{Cc}', '�', 'g') AS preview FROM r WHERE reason IS NOT NULL",
     "p3_valid": _PARSED
     + r""" SELECT raw_id, CASE WHEN fmt = 'csv' AND regexp_full_match(trim(p), '[+-]?[0-9]+') THEN coalesce(try_cast(trim(p) AS BIGINT), profile_id) ELSE profile_id END AS profile_id,
 CASE WHEN fmt = 'csv' AND regexp_full_match(trim(k), '[+-]?[0-9]+') THEN try_cast(trim(k) AS BIGINT) END AS stack_id, stack, digits::BIGINT AS weight

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import profile as P
 from ..operators import tree as T
 from ..operators.badrows import with_errors
+from ..operators.catalog import checked_entries
 from ..operators.paths import FrameWindow, paths, selected_paths
 from ..sources.profiles import events, recorded, recorded_by_profile, star
 from ..sources.tables import table
@@ -130,6 +131,33 @@ b AS (SELECT down AS name, 'caller' AS side, up AS other, weight FROM g UNION AL
 SELECT name, side, other, weight, row_number() OVER (PARTITION BY name, side ORDER BY weight DESC, other) AS rank FROM b QUALIFY rank <= 3""",
     )
 
+_IDS = "(SELECT row_number() OVER (ORDER BY seen) - 1 AS frame_id, name FROM (SELECT name, min({'l': frames, 'p': pos}) AS seen FROM (SELECT frames, unnest(frames) AS name, generate_subscripts(frames, 1) AS pos FROM s) GROUP BY name))"
+
+
+def _limits(stacks: DataFrame, part: str) -> DataFrame:
+    """How many rows a search and a ranking leave out at a limit of 20."""
+    stats = P.frame_stats(stacks)
+    found = stats.where(F.contains("name", F.lit(part)))
+    shown = P.find(stacks, part, limit=20).agg(F.count(F.lit(1)).alias("returned"))
+    return shown.withColumn("available", found.agg(F.count(F.lit(1))).scalar()).select("returned", "available", (F.col("available") - F.col("returned")).alias("omitted"))
+
+
+for _b in ("star", "events", "recorded"):
+    add(
+        f"row_limits_{_b}",
+        _b,
+        lambda s, p=PART[_b]: _limits(s, p),
+        f"SELECT least(n, 20) AS returned, n AS available, n - least(n, 20) AS omitted FROM (SELECT count(*) AS n FROM st WHERE contains(name, '{PART[_b]}'))",
+        stats_sql("s"),
+    )
+    add(f"frame_rows_{_b}", _b, lambda s: P.frame_ids(s).join(P.frame_stats(s), "name"), f"SELECT i.frame_id, st.* FROM st JOIN {_IDS} i USING (name)", stats_sql("s"))
+    add(
+        f"stack_fingerprints_{_b}",
+        _b,
+        lambda s: s.select(F.sha2(F.concat(F.array_join("frames", ";"), F.lit(" "), F.col("weight").cast("string")), 256).alias("fingerprint")),
+        "SELECT sha256(array_to_string(frames, ';') || ' ' || weight) AS fingerprint FROM s",
+    )
+
 # The tree
 
 
@@ -261,6 +289,26 @@ FROM (SELECT n, left_, least(n, left_) AS got FROM (SELECT n, greatest(100 - coa
     f", sel AS (SELECT len(frames) AS n, row_number() OVER (ORDER BY weight DESC, frames) AS rank FROM s WHERE list_contains(frames, '{FOCUS['recorded']}') QUALIFY rank <= 20)",
 )
 
+def _cropped(stacks: DataFrame) -> DataFrame:
+    rows = selected_paths(stacks, FOCUS["recorded"], limit=20, window=FrameWindow("around_target", before=2, after=1))
+    cropped = rows.where((F.col("requested_start") > 0) | (F.col("requested_end") < F.col("total_depth")))
+    return cropped.agg(
+        F.count(F.lit(1)).alias("cropped_paths"),
+        F.coalesce(F.sum("requested_start"), F.lit(0)).alias("omitted_before"),
+        F.coalesce(F.sum(F.col("total_depth") - F.col("requested_end")), F.lit(0)).alias("omitted_after"),
+    )
+
+
+add(
+    "paths_window_totals_recorded",
+    "recorded",
+    _cropped,
+    """SELECT count(*) AS cropped_paths, coalesce(sum(lo), 0)::BIGINT AS omitted_before, coalesce(sum(n - hi), 0)::BIGINT AS omitted_after
+FROM (SELECT n, greatest(pos[1] - 2, 0) AS lo, least(n, pos[-1] + 2) AS hi FROM sel) WHERE lo > 0 OR hi < n""",
+    f""", sel AS (SELECT len(frames) AS n, [i - 1 for i in range(1, len(frames) + 1) if frames[i] = '{FOCUS['recorded']}'] AS pos, row_number() OVER (ORDER BY weight DESC, frames) AS rank
+FROM s WHERE list_contains(frames, '{FOCUS['recorded']}') QUALIFY rank <= 20)""",
+)
+
 # Comparison of two profiles
 
 
@@ -294,8 +342,16 @@ def latest_registrations(spark: SparkSession, d: str) -> DataFrame:
     return last.select("alias", "r.registered_unix_ms", "r.profile_id", "r.fingerprint", "r.byte_len", "registrations")
 
 
-QUERIES |= {"frame_stats_by_profile": frame_stats_by_profile, "latest_registrations": latest_registrations}
+def catalog_entries(spark: SparkSession, d: str) -> DataFrame:
+    return checked_entries(table(spark, d, "profiles"))
+
+
+QUERIES |= {"catalog_entries": catalog_entries, "frame_stats_by_profile": frame_stats_by_profile, "latest_registrations": latest_registrations}
 ORACLES |= {
+    "catalog_entries": r"""SELECT profile_id, coalesce(regexp_full_match(alias, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}'), false) AS alias_ok,
+CASE WHEN regexp_full_match(stem, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') THEN stem ELSE 'default' END AS default_alias, coalesce(regexp_full_match(fingerprint, '[0-9a-f]{64}'), false) AS fingerprint_ok,
+strftime(make_timestamp(registered_unix_ms * 1000), '%Y-%m-%d') AS day, to_json({'alias': alias, 'source_name': source_name, 'fingerprint': fingerprint, 'byte_len': byte_len, 'registered_unix_ms': registered_unix_ms})::VARCHAR AS entry
+FROM (SELECT *, regexp_replace(source_name, '(.)[.][^.]*$', '\1') AS stem FROM profiles)""",
     "frame_stats_by_profile": """WITH s AS (SELECT profile_id, frames, sum(weight)::BIGINT AS weight FROM (SELECT DISTINCT profile_id, stack_id, frames, weight FROM stack_records WHERE frames IS NOT NULL AND len(frames) > 0 AND weight >= 1) GROUP BY ALL)
 SELECT profile_id, name, coalesce(sum(weight) FILTER (name = leaf), 0)::BIGINT AS self_weight, sum(weight)::BIGINT AS inclusive_weight, count(*) AS stack_count
 FROM (SELECT profile_id, weight, frames[-1] AS leaf, unnest(list_distinct(frames)) AS name FROM s) GROUP BY profile_id, name""",

@@ -17,7 +17,9 @@ from typing import Any
 from .errors import ApiError
 
 FOLDER, MANIFEST, BLOBS = ".emberfold", "manifest.json", "profiles"
-_ALIAS = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}")
+#: Fixed value: the grammar of an alias.
+ALIAS = r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}"
+_ALIAS = re.compile(ALIAS)
 _BLOB = re.compile(r"[0-9a-f]{64}\.folded")
 _ENTRY = {"fingerprint": str, "file": str, "source_name": str, "byte_len": int, "registered_unix_ms": int}
 

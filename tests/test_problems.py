@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberfold.operators.badrows import failed_records, valid_records
+from emberfold.operators.catalog import checked_entries
 from emberfold.operators.difference import CHECKS, FIRST_ELEMENT, P, characteristic, horner, reconcile, table_difference
 from emberfold.operators.repeats import repeated
 from emberfold.operators.skewed import counts_that_disagree, stacks_per_frame
@@ -138,3 +139,14 @@ def test_stack_counts(spark, sent, monkeypatch):
     got = {tuple(r) for r in counts_that_disagree(df, frames, stored).collect()}
     assert got == {(1, 1, 3, 2), (1, 2, 0, 1), (2, 3, 4, 0)}
     assert stacks_per_frame(df.limit(0)).count() == 0
+
+
+def test_catalog_entries(spark):
+    rows = [(1, "a-b.c_1", "x.y.folded", "0" * 64, 5, 0), (2, None, None, "0" * 63, None, None), (3, "a\n", ".folded", "G" * 64, 1, 86_400_000), (4, "ä", "bad name.folded", None, 1, -1), (5, "x" * 65, "noext", "a" * 64, 1, 1)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "profile_id bigint, alias string, source_name string, fingerprint string, byte_len bigint, registered_unix_ms bigint, entry string")
+    got = {r["profile_id"]: tuple(r)[1:5] for r in checked_entries(df).collect()}
+    assert got == {
+        1: (True, "x.y", True, "1970-01-01"), 2: (False, "default", False, None), 3: (False, "default", False, "1970-01-02"),
+        4: (False, "default", False, "1969-12-31"), 5: (False, "noext", True, "1970-01-01"),
+    }
+    assert '"alias":null' in checked_entries(df).where("profile_id = 2").first()["entry"] and checked_entries(df.limit(0)).count() == 0
