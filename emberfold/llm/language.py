@@ -88,7 +88,7 @@ class Model:
     """The frozen trees of all languages, merged: code lengths of every known context with its next byte, and escape lengths of every context."""
 
     def __init__(self, counts: dict[str, Counter], order: int = ORDER) -> None:
-        self.order, self.codes = order, [c for c in CODES if counts.get(c)]
+        self.order, self.codes, self.temperature = order, [c for c in CODES if counts.get(c)], 1.0
         trees = []
         for c in self.codes:
             tree: dict[bytes, Counter] = defaultdict(Counter)
@@ -195,12 +195,31 @@ def _path(costs: np.ndarray, change: float) -> np.ndarray:
     return out
 
 
-def _share(costs: np.ndarray, code: int) -> float:
-    """What ``code`` holds of the probability of a text with these code lengths, all languages alike before."""
-    return float(1 / np.exp2(np.clip(costs[code] - costs, -1000, 1000)).sum())
+def _share(costs: np.ndarray, code: int, temperature: float = 1.0) -> float:
+    """What ``code`` holds of the probability of a text with these code lengths over ``temperature``, all languages alike before."""
+    return float(1 / np.exp2(np.clip((costs[code] - costs) / temperature, -1000, 1000)).sum())
 
 
-def segments(costs: np.ndarray, counted: np.ndarray, para: np.ndarray, main: np.ndarray, change: float, least: int) -> Iterator[tuple[int, int, float, int]]:
+#: The words of the pieces that confidence is fitted on: so few that languages are mistaken for each other now and then.
+PIECE = 3
+
+
+def pieces(costs: np.ndarray) -> np.ndarray:
+    """The code lengths of runs of ``PIECE`` words that have evidence."""
+    own = costs[costs[:, 0] > 0]
+    n = len(own) // PIECE
+    return own[: n * PIECE].reshape(n, PIECE, -1).sum(axis=1)
+
+
+def fitted_temperature(costs: np.ndarray, own: np.ndarray) -> float:
+    """The temperature under which the languages ``own`` of pieces that no tree was fitted on are most likely; 1 without pieces."""
+    if not len(costs):
+        return 1.0
+    behind = (costs - costs[np.arange(len(own)), own][:, None]).astype(np.float64)
+    return min((float(np.logaddexp2.reduce(-behind / t, axis=1).sum()), t) for t in np.geomspace(0.5, 16, 41).tolist())[1]
+
+
+def segments(costs: np.ndarray, counted: np.ndarray, para: np.ndarray, main: np.ndarray, change: float, least: int, temperature: float = 1.0) -> Iterator[tuple[int, int, float, int]]:
     """``paragraph, language, confidence, words`` of each part of at least ``least`` words in another language than ``main``, which is given for each
     word.
 
@@ -225,7 +244,7 @@ def segments(costs: np.ndarray, counted: np.ndarray, para: np.ndarray, main: np.
         for a, b in zip(cut, np.append(cut[1:], len(way)), strict=True):
             n = int(counted[lo + a : lo + b].sum())
             if way[a] != main[lo] and n >= least:
-                yield int(para[lo]), int(way[a]), _share(own[a:b].sum(axis=0), int(way[a])), n
+                yield int(para[lo]), int(way[a]), _share(own[a:b].sum(axis=0), int(way[a]), temperature), n
 
 
 #: The files among which a sample is looked for before the whole table is.
@@ -312,7 +331,15 @@ def fit(sample: list[tuple[str, str]], strange: float = STRANGE, most: float = M
         right = np.add.reduceat(costs, first, axis=0).argmin(axis=1) == own
         keep.append(np.repeat(right, np.diff(np.append(first, len(para)))))
     again = counted(keep)
-    return Model(again) if any(again.values()) else scorer.model
+    model = Model(again) if any(again.values()) else scorer.model
+    # confidence is fitted on one half of the texts, by trees of the other
+    half = counted([k if i % 2 else None for i, k in enumerate(keep)])
+    if any(half.values()):
+        judge = Scorer(Model(half), strange, most)
+        held = [(pieces(judge.words(*t[1:5])[keep[i]]), judge.model.codes.index(t[0])) for i, t in enumerate(tables) if i % 2 == 0 and keep[i] is not None and t[0] in judge.model.codes]
+        if held:
+            model.temperature = fitted_temperature(np.concatenate([c for c, _ in held]), np.repeat([own for _, own in held], [len(c) for c, _ in held]))
+    return model
 
 
 _OUT = "doc_id bigint, para_no int, lang string, confidence double, words bigint, label string"
@@ -358,9 +385,9 @@ def languages(
                     main = total.argmin(axis=1)
                 for i in range(part.num_rows):
                     n = int(counted[edges[i] : edges[i + 1]].sum())
-                    rows.append((ids[i], -1, codes[main[i]], _share(total[i], int(main[i])), n, labels[i]) if n else (ids[i], -1, None, 0.0, 0, labels[i]))
+                    rows.append((ids[i], -1, codes[main[i]], _share(total[i], int(main[i]), scorer.model.temperature), n, labels[i]) if n else (ids[i], -1, None, 0.0, 0, labels[i]))
                 # the mark before each text's first byte makes its paragraphs differ from those of the text before
-                for p, c, conf, n in segments(costs, counted, mark + place, main[place], change, least):
+                for p, c, conf, n in segments(costs, counted, mark + place, main[place], change, least, scorer.model.temperature):
                     i = int(np.searchsorted(before + np.arange(len(before)), p, "right")) - 1
                     rows.append((ids[i], int(p - before[i] - i), codes[c], conf, n, labels[i]))
                 yield pa.RecordBatch.from_arrays(

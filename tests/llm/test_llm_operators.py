@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emberfold.llm.heavy_hitters import LossyCounter, exact_figures, frequent_items
-from emberfold.llm.language import Model, Scorer, fit, languages
+from emberfold.llm.language import Model, Scorer, _share, body, fit, languages, pieces
 from emberfold.llm.leakage import Index, Weights, Windows, fingerprints, leaked_items, shingle_hashes, size_class, word_ids
 from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, slots_of, token_counts
 from emberfold.llm import subsequences as subsequences_module
@@ -407,14 +407,24 @@ def test_held_out_accuracy(spark):
     scorer = Scorer(m)
     right = total = 0
     for code, text in rows[1::2]:
-        from emberfold.llm.language import body
-
         costs = scorer.words(*word_table([body(text)])[:4])
         if len(costs):
             total += 1
             right += m.codes[int(costs.sum(axis=0).argmin())] == code
     # some labels are wrong
     assert right / total > 0.9
+    # short pieces of texts that are in the language of their label: confidence is how often the language is right
+    sure, hit = [], []
+    for code, text in rows[1::2]:
+        costs = scorer.words(*word_table([body(text)])[:4])
+        if len(costs) and m.codes[int(costs.sum(axis=0).argmin())] == code:
+            for c in pieces(costs):
+                own = int(c.argmin())
+                sure.append(_share(c, own, m.temperature))
+                hit.append(m.codes[own] == code)
+    sure, hit = np.array(sure), np.array(hit)
+    print("temperature", m.temperature, [(len(hit[k]), round(sure[k].mean(), 3), round(hit[k].mean(), 3)) for k in (sure < 0.6, (sure >= 0.6) & (sure < 0.9), sure >= 0.9)])
+    assert abs(sure.mean() - hit.mean()) < 0.03
 
 
 def _labelled(df):
