@@ -295,12 +295,12 @@ def leaked_items(
     fills, at its beginning, middle and end. ``window`` is the largest class with such a pair, ``similarity`` that of its most alike pair, ``windows``
     the number of pairs of all classes and ``run_words`` the length of the longest run of equal words, 0 if it is below the smallest class. ``radius``
     and ``item_radius`` are (blocks, bits flipped in a block) of the smallest and of the other classes; all fingerprints within ``blocks * (flips + 1)
-    - 1`` bits are found, i.e. 2 and 11. Documents and items of fewer than ``window`` words, empty and null ones match nothing; an empty table gives
+    - 1`` bits are found, i.e. 2 and 11. Documents and items of fewer than ``window`` words, empty and null ones, and those without an id, match nothing; an empty table gives
     no rows. Repeated rows of a document give its row once. Items are read in blocks of ``block_chars`` characters, which bounds what a task holds and
     what is sent at once; if there are several, the corpus is taken apart once into a table that each block is held against.
     """
-    corpus = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").alias("text")).where("text is not null")
-    known = items.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t"))
+    corpus = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").alias("text")).where("doc_id is not null and text is not null")
+    known = items.where(F.col(f"`{item_text}`").isNotNull() & F.col(f"`{item_id}`").isNotNull()).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t"))
     weights = Weights(common_words(known))
     indexes = (x for x in (Index(ids, texts, window, radius, item_radius, weights) for ids, texts in _blocks(known, block_chars)) if x.classes)
     first, second = next(indexes, None), next(indexes, None)

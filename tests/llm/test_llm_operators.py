@@ -312,8 +312,8 @@ def test_leaks(spark):
         for a in range(len(x) - 11):
             runs[tuple(x[a : a + 12])].add(j)
     want = {(i, j) for i, t in enumerate(docs) for a in range(len(t.split()) - 11) for j in runs.get(tuple(t.split()[a : a + 12]), ())}
-    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(docs)] + [(0, docs[0], 0), (900, None, 0), (901, "", 0)], "doc_id bigint, text string, item_id int")
-    e = spark.createDataFrame([(j, " ".join(x).upper()) for j, x in enumerate(items)] + [(99, None)], "item_id bigint, text string")
+    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(docs)] + [(0, docs[0], 0), (900, None, 0), (901, "", 0), (None, docs[1], 0)], "doc_id bigint, text string, item_id int")
+    e = spark.createDataFrame([(j, " ".join(x).upper()) for j, x in enumerate(items)] + [(99, None), (None, docs[2])], "item_id bigint, text string")
     for block in (300, 4_000_000):
         rows = leaked_items(d, e, block_chars=block).collect()
         assert len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows}) and {(r["doc_id"], r["item_id"]) for r in rows if r["run_words"] >= 12} == want and want
