@@ -1,6 +1,6 @@
 """A profile as DataFrames: unique stacks, frame identities and statistics, rankings, symbol context and comparison.
 
-A profile is ``frames array<string>, weight bigint``, one row a unique stack with a weight of at least 1. Every function takes that and stays lazy.
+A profile is ``frames array<string>, weight bigint``, one row a unique stack with a weight of at least 1. Every function takes that and stays lazy, but for those that number rows, which sort them into the shared folder first.
 """
 
 from __future__ import annotations
