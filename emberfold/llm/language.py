@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -279,10 +278,9 @@ def _files(docs: DataFrame, wanted: dict[str, int]) -> tuple[list[str], Counter]
     """The fewest of the first ``_FILES`` files with ``wanted`` labelled rows of each language, and how many they have; none if these don't hold so
     many, or if rows aren't from files.
     """
-    try:
-        rows = docs.select(F.col("_metadata.file_path").alias("f"), label_code().alias("code")).where("code is not null")
-    except AnalysisException:
+    if "_metadata" not in docs._jdf.queryExecution().analyzed().metadataOutput().toString():
         return [], Counter()
+    rows = docs.select(F.col("_metadata.file_path").alias("f"), label_code().alias("code")).where("code is not null")
     by_file = rows.groupBy("f").pivot("code", sorted(wanted)).agg(F.count(F.lit(1)))
     held, files = Counter(), []
     for r in by_file.orderBy(F.xxhash64(F.regexp_extract("f", "[^/]*$", 0)), "f").limit(_FILES).collect():

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emberfold.llm.heavy_hitters import LossyCounter, exact_figures, frequent_items
-from emberfold.llm.language import Model, Scorer, _share, body, fit, languages, pieces
+from emberfold.llm.language import Model, Scorer, _files, _sample, _share, body, fit, languages, pieces
 from emberfold.llm.leakage import Index, Weights, Windows, fingerprints, leaked_items, shingle_hashes, size_class, word_ids
 from emberfold.llm.packing import SPLIT_PATTERN, VOCABULARY, TokenCounter, pack, plan, slots_of, token_counts
 from emberfold.llm import subsequences as subsequences_module
@@ -399,6 +399,18 @@ def test_languages(spark):
     assert fit([("en", None), ("de", "12")]) is None
 
 
+def test_sample_is_read_from_few_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}", ["en", "German", None][i % 3]) for i in range(600)], "doc_id bigint, text string, lang string")
+    df.repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    files, held = _files(docs, {"en": 50, "de": 20})
+    assert 1 < len(files) < 6 and held["en"] >= 50 and held["de"] >= 20
+    assert _files(docs, {"en": 5000}) == ([], Counter()) == _files(df, {"en": 1})
+    for table in (docs, df):
+        assert Counter(c for c, _ in _sample(table, 25)) == {"en": 25, "de": 25}
+        assert Counter(c for c, _ in _sample(table, 1000)) == {"en": 200, "de": 200}
+
+
 def test_held_out_accuracy(spark):
     """Models of one half of the labelled documents on the other half."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
