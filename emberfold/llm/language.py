@@ -207,7 +207,8 @@ def pieces(costs: np.ndarray) -> np.ndarray:
     """The code lengths of runs of ``PIECE`` words that have evidence."""
     own = costs[costs[:, 0] > 0]
     n = len(own) // PIECE
-    return own[: n * PIECE].reshape(n, PIECE, -1).sum(axis=1)
+    # numpy can't tell a size given as -1 where no piece is left
+    return own[: n * PIECE].reshape(n, PIECE, costs.shape[1]).sum(axis=1)
 
 
 def fitted_temperature(costs: np.ndarray, own: np.ndarray) -> float:

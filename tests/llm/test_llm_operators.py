@@ -399,6 +399,16 @@ def test_languages(spark):
     assert fit([("en", None), ("de", "12")]) is None
 
 
+def test_texts_of_fewer_words_than_a_piece():
+    """Among the texts that confidence is fitted on, some may have no word left, and others fewer than a piece."""
+    assert pieces(np.ones((2, 3), np.float32)).shape == (0, 3) and pieces(np.zeros((0, 3), np.float32)).shape == (0, 3)
+    assert pieces(np.ones((7, 3), np.float32)).tolist() == [[3.0] * 3] * 2
+    rng = random.Random(6)
+    rows = [(code, made(code, n, rng)) for n in (60, 60, 2, 60, 60, 60, 1) for code in SAMPLES]
+    assert set(fit(rows).codes) == set(SAMPLES)
+    assert fit([(code, text) for code in ("en", "de") for text in [" ".join(SAMPLES[code].split()[:2])] * 4]).temperature == 1.0
+
+
 def test_sample_is_read_from_few_files(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}", ["en", "German", None][i % 3]) for i in range(600)], "doc_id bigint, text string, lang string")
     df.repartition(6).write.parquet(str(tmp_path / "docs"))
