@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import percent
 from ..storage import materialize
+from .numbering import MOST_NAMES_SENT, few, first_seen
 
 UNKNOWN = "[unknown]"
 
@@ -36,8 +37,14 @@ def totals(stacks: DataFrame) -> DataFrame:
 def frame_ids(stacks: DataFrame, line: str = "frames") -> DataFrame:
     """``frame_id, name``: ids from 0 by first appearance, in the order of ``line`` and then of the place in the stack.
 
-    ``line`` is the line number of a file, or anything that orders the stacks, such as the stack itself.
+    ``line`` is the line number of a file, or anything that orders the stacks, such as the stack itself; stacks that order themselves aren't copied to
+    each of their frames where the names are few enough to be sent.
     """
+    if line == "frames":
+        names = materialize(stacks.select(F.explode("frames").alias("name")).distinct())
+        if few(names, MOST_NAMES_SENT):
+            sent = stacks.sparkSession.sparkContext.broadcast(sorted((r["name"] for r in names.collect()), key=str.encode))
+            return numbered_by(first_seen(stacks, sent), "at", "frame_id").select("frame_id", "name")
     seen = stacks.select(F.col(line).alias("line"), F.posexplode("frames").alias("pos", "name"))
     first = seen.groupBy("name").agg(F.min(F.struct("line", "pos")).alias("at"))
     return numbered_by(first, "at", "frame_id").select("frame_id", "name")

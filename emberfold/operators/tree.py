@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import percent, prefix_of
 from ..storage import materialize
+from .numbering import MOST_NAMES_SENT, few, keyed, nodes_in_order
 from .profile import numbered_by, weight_of
 
 CONTINUATIONS = 128
-#: The most frame names that are sent to every task.
-MOST_NAMES_SENT = 200_000
 
 
 def _hashes(frames: str) -> str:
@@ -70,14 +69,16 @@ def nodes(stacks: DataFrame, root: list[str] | None = None, levels: int | None =
 
 def node_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
     """``node_id, path, self_weight, total_weight`` of the whole tree: ids rank the nodes by the frame ids of their paths, the root being 0. ``ids``
-    is ``frame_id, name``.
+    is ``frame_id, name``; equal stacks are summed.
 
-    Stacks get their frames' ids once, where the names are few enough to be sent (``MOST_NAMES_SENT``) without a shuffle; a node takes its ids from
-    its one stack.
+    Stacks become keys of their frames' ids once, where the names are few enough to be sent (``MOST_NAMES_SENT``) without a shuffle; only keys are
+    sorted, and paths are made last.
     """
-    own = materialize(_coded(_below(stacks, []), ids))
-    found = with_paths(hashed_nodes(own), own, F.slice("ids", F.lit(1), F.col("depth")).alias("ids"), "self_weight", "total_weight")
-    return numbered_by(found.withColumn("path", F.array_join("path", ";")), "ids", "node_id")
+    if few(ids, MOST_NAMES_SENT):
+        sent = stacks.sparkSession.sparkContext.broadcast([r["name"] for r in ids.orderBy("frame_id").collect()])
+        return nodes_in_order(keyed(stacks, sent).groupBy("key").agg(F.sum("weight").cast("bigint").alias("weight")), sent)
+    coded = _coded(_below(stacks.groupBy("frames").agg(F.sum("weight").cast("bigint").alias("weight")), []), ids)
+    return nodes_in_order(coded.selectExpr("unhex(array_join(transform(ids, x -> lpad(hex(x), 8, '0')), '')) as key", "weight", "frames"), None)
 
 
 def stack_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def stack_ids(stacks: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _coded(own: DataFrame, ids: DataFrame) -> DataFrame:
     """Adds ``ids``, the frame ids of each stack."""
-    if ids.count() > MOST_NAMES_SENT:
+    if not few(ids, MOST_NAMES_SENT):
         each = own.select("s", "weight", "frames", F.posexplode("frames").alias("pos", "name")).join(ids, "name").groupBy("s", "frames").agg(
             F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("pos", "frame_id"))).alias("f")
         )

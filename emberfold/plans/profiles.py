@@ -12,7 +12,7 @@ from ..operators import tree as T
 from ..operators.badrows import with_errors
 from ..operators.catalog import checked_entries
 from ..operators.paths import FrameWindow, paths, selected_paths
-from ..sources.profiles import events, recorded, recorded_by_profile, star
+from ..sources.profiles import different_records, events, recorded, recorded_by_profile, star, valid_records
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +226,9 @@ FROM (SELECT s.*, [m[x] for x in s.frames] AS ids FROM s, (SELECT map(list(name)
         """, i AS (SELECT row_number() OVER (ORDER BY seen) - 1 AS frame_id, name FROM (SELECT name, min({'l': frames, 'p': pos}) AS seen FROM (SELECT frames, unnest(frames) AS name, generate_subscripts(frames, 1) AS pos FROM s) GROUP BY name))""",
     )
 
+# repeated records change no first place of a name, and equal stacks are summed with their nodes, so no stack is grouped before it is a key
+QUERIES["cct_node_ids_recorded"] = lambda s, d: T.node_ids(different_records(s, d), P.frame_ids(valid_records(s, d)))
+
 for _b, _root in (("star", ["ASIA"]), ("events", ["view", "click"]), ("recorded", ["boot_main"])):
     _d, _n, _m = PAGES[_b]
     _below = f", ch AS (SELECT frames[{len(_root) + 1}:] AS frames, sum(weight)::BIGINT AS weight FROM s WHERE frames[1:{len(_root)}] = {_root!r} GROUP BY 1)"

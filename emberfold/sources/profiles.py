@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.profile import unique_stacks
+from ..operators.repeats import recurring
 from .tables import table
 
 
@@ -37,6 +38,19 @@ def recorded(spark: SparkSession, d: str) -> DataFrame:
     return unique_stacks(table(spark, d, "stack_records").select("profile_id", "stack_id", "frames", "weight").distinct())
 
 
+def valid_records(spark: SparkSession, d: str) -> DataFrame:
+    """The stack records that are stacks, repeated ones as often as they stand."""
+    return table(spark, d, "stack_records").where("frames is not null and size(frames) > 0 and weight >= 1 and not exists(frames, x -> x is null)")
+
+
+def different_records(spark: SparkSession, d: str) -> DataFrame:
+    """``frames, weight`` of the stack records, of which stacks may be equal but no records; only records whose hash recurs are shuffled."""
+    names = ["profile_id", "stack_id", "frames", "weight"]
+    coded, codes = recurring(valid_records(spark, d).select(*names), names)
+    again = coded.join(codes, "__code", "left_semi").select(*names).distinct()
+    return coded.join(codes, "__code", "left_anti").select("frames", "weight").unionByName(again.select("frames", "weight"))
+
+
 def recorded_by_profile(spark: SparkSession, d: str) -> DataFrame:
     """``profile_id, frames, weight`` of every profile's unique stacks."""
     rows = table(spark, d, "stack_records").where(

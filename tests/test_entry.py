@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 from emberfold.operators import profile as P
 from emberfold.operators import tree as T
+from emberfold.storage import shared_dir
 
 FOLDER = "/root/testdata/sf0.001"
 CORE = [n for n in entry.oracle_sql() if not (n[0] == "p" and n[1].isdigit() and n[1] not in "235")]
@@ -83,3 +85,45 @@ def test_ids_of_many_names_and_deep_stacks(spark, monkeypatch):
     assert T.nodes(df.limit(0)).count() == P.frame_ids(df.limit(0)).count() == 0
     shown, omitted = T.tree_page(df.limit(0))
     assert shown.count() == omitted.count() == 0
+
+
+def numbered_walk(stacks):
+    """The tree's nodes in the order of the ids that names get by first appearance in sorted stacks, and what they hold."""
+    seen, own, total = {}, Counter(), Counter()
+    for f in sorted(stacks, key=lambda f: [x.encode() for x in f]):
+        for x in f:
+            seen.setdefault(x, len(seen))
+        own[f] += stacks[f]
+        for d in range(len(f) + 1):
+            total[f[:d]] += stacks[f]
+    return [(i, ";".join(p), own[p], total[p]) for i, p in enumerate(sorted(total, key=lambda p: [seen[x] for x in p]))]
+
+
+@pytest.mark.parametrize("held", ["emberfold.operators.numbering.MOST_BYTES_SENT", None])
+@pytest.mark.parametrize("seed,alphabet,n", [(1, "ab", 300), (2, "nmlkjihgfedcba", 60), (3, "aé€bßq", 120), (4, "zyx", 1)])
+def test_ids_over_several_ranges_and_batches(spark, monkeypatch, seed, alphabet, n, held):
+    """Nodes that are open where a batch or a range ends get the weight of what follows; names of many bytes aren't sent; equal stacks are summed."""
+    rng = random.Random(seed)
+    rows = [([rng.choice(alphabet) * rng.randrange(1, 3) for _ in range(rng.randrange(1, 9))], rng.randrange(1, 9)) for _ in range(n)]
+    stacks = Counter()
+    for f, w in rows:
+        stacks[tuple(f)] += w
+    if held:
+        monkeypatch.setattr(held, 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "frames array<string>, weight bigint")
+        got = T.node_ids(df, P.frame_ids(df)).select("node_id", "path", "self_weight", "total_weight").orderBy("node_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [tuple(r) for r in got] == numbered_walk(stacks)
+
+
+def test_ids_hold_no_paths(spark):
+    """What is kept to number the nodes is linear in the stacks, however long the paths are."""
+    folder = shared_dir(spark).removeprefix("file:")
+    kept = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    df = spark.createDataFrame([([f"{i % 7}{d}".rjust(60, "x") for d in range(300)], 1) for i in range(7)], "frames array<string>, weight bigint")
+    before = kept()
+    nodes = T.node_ids(df, P.frame_ids(df))
+    assert nodes.count() == 7 * 300 + 1 and kept() - before < 2_000_000
